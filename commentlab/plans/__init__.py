@@ -1,5 +1,5 @@
 """All registered queries, by module."""
 
-from . import registry, text_queries  # noqa: F401
+from . import registry, stats_queries, text_queries  # noqa: F401
 
 ENTRIES = registry.ENTRIES
