@@ -1,5 +1,11 @@
 """All registered queries, by module."""
 
-from . import registry, stats_queries, text_queries  # noqa: F401
+from . import (  # noqa: F401
+    ranking_queries,
+    registry,
+    relational_queries,
+    stats_queries,
+    text_queries,
+)
 
 ENTRIES = registry.ENTRIES
