@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .keyed import top_per_key, union_all
+from .keyed import scalar_of, top_per_key, union_all
 
 PREFIX = 4  # hex digits, so 65,536 parts per class
 
@@ -205,6 +205,12 @@ def exact_rank(
     )
 
 
+def even_buckets(df: DataFrame, col: str, n: int = 16**PREFIX) -> Column:
+    """At most ``n`` buckets of equal width over a numeric column, rising with it."""
+    lo, hi = scalar_of(df, F.min(col)), scalar_of(df, F.max(col))
+    return F.floor((F.col(col) - lo) * n / (hi - lo + 1))
+
+
 def shuffled_rank(
     df: DataFrame, key: str, groups: Sequence[str] = (), seed: int = 42, out: str = "rank"
 ) -> DataFrame:

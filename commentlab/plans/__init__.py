@@ -1,6 +1,9 @@
 """All registered queries, by module."""
 
 from . import (  # noqa: F401
+    curation_queries,
+    ingest_queries,
+    metrics_queries,
     ranking_queries,
     registry,
     relational_queries,

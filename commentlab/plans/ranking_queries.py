@@ -175,8 +175,7 @@ def resize_review_set(spark, sf):
   row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber) AS rank FROM lineitem""")
 def rank_within_group(spark, sf):
     df = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
-    # Buckets of neighbouring keys: no bucket grows with the size of a group.
-    bucket = F.floor(F.col("l_orderkey") / 1024)
+    bucket = ranking.even_buckets(df, "l_orderkey")
     return ranking.exact_rank(df, ["l_returnflag"], bucket, [F.asc("l_orderkey"), F.asc("l_linenumber")])
 
 
