@@ -63,7 +63,7 @@ def naive_bayes_test_predictions(spark, sf):
 @query("word_and_char_test_predictions", "M6 M7 T17 T19")
 def word_and_char_test_predictions(spark, sf):
     flags = tx.domain_flags("text", DEMO_PATTERNS)
-    df = models.with_char_terms(folded_features(spark, sf).withColumns(flags), "feature")
+    df = models.with_char_terms(folded_features(spark, sf).withColumns(flags), "feature").persist()
     train, test = train_test(df)
     stages = models.union_stages("feature", list(flags), cap=CAP)
     return test_table(models.fit_and_predict(train, test, stages, models.linear_svm("label_id", max_iter=STEPS), "label_id")[1])
