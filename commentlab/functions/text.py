@@ -21,10 +21,20 @@ HASHTAG = rf"#[{WORD}]+"
 KEPT_PUNCTUATION = r".,!?;:'\"()\-"
 
 
+def _merged(ranges: Sequence[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted(ranges):
+        if out and lo <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return out
+
+
 def emoji_class(ranges: Sequence[tuple[int, int]] = lx.EMOJI_RANGES) -> str:
     """The inside of a character class that matches the given code points."""
     return "".join(
-        rf"\x{{{lo:X}}}" if lo == hi else rf"\x{{{lo:X}}}-\x{{{hi:X}}}" for lo, hi in ranges
+        rf"\x{{{lo:X}}}" if lo == hi else rf"\x{{{lo:X}}}-\x{{{hi:X}}}" for lo, hi in _merged(ranges)
     )
 
 
@@ -34,12 +44,17 @@ def _text(text: str | Column) -> Column:
 
 
 def squeeze(text: str | Column) -> Column:
-    """Every run of white space becomes one space; none at the ends."""
-    return F.trim(F.regexp_replace(_text(text), rf"[{SPACE}]+", " "))
+    """Every run of white space becomes one space; none at the ends.
+
+    Single spaces, by far the most common run, do not match and are not rewritten.
+    """
+    run = rf"(?: [{SPACE}]|[{SPACE}&&[^ ]])[{SPACE}]*"
+    return F.trim(F.regexp_replace(_text(text), run, " "))
 
 
 def strip_urls(text: str | Column) -> Column:
-    return F.regexp_replace(_text(text), f"(?i){URL}", " ")
+    t = _text(text)
+    return F.regexp_replace(t, f"(?i){URL}", " ")
 
 
 def strip_mentions(text: str | Column) -> Column:
@@ -69,8 +84,13 @@ def clean_minimal(
 ) -> Column:
     """Lower case, no links, mentions or emoji; letters, digits and plain punctuation stay."""
     t = strip_mentions(strip_urls(F.lower(_text(text))))
-    dropped = rf"[{emoji_class(ranges)}[^{WORD}{KEPT_PUNCTUATION}]]+"
-    return F.trim(F.regexp_replace(t, dropped, " "))
+    plain = rf"[^{WORD}{KEPT_PUNCTUATION}]+"
+    with_emoji = rf"[{emoji_class(ranges)}[^{WORD}{KEPT_PUNCTUATION}]]+"
+    # The wide class is slow, and only texts with a code point that high can need it.
+    first = min(lo for lo, _ in ranges)
+    high = t.rlike(rf"[^\x00-\x{{{first - 1:X}}}]")
+    cleaned = F.when(high, F.regexp_replace(t, with_emoji, " ")).otherwise(F.regexp_replace(t, plain, " "))
+    return F.trim(cleaned)
 
 
 def tokens(text: str | Column) -> Column:
@@ -81,7 +101,8 @@ def tokens(text: str | Column) -> Column:
 def word_count(text: str | Column) -> Column:
     """Number of words; blank text has none."""
     t = squeeze(text)
-    return F.when(F.length(t) == 0, F.lit(0)).otherwise(F.size(F.split(t, " ")))
+    gaps = F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit("")))
+    return F.when(F.length(t) == 0, F.lit(0)).otherwise(gaps + 1)
 
 
 def replace_words(words: Column, mapping: Mapping[str, str]) -> Column:
@@ -112,7 +133,8 @@ def feature_tokens(
     stopwords: Sequence[str] = lx.STOPWORDS,
 ) -> Column:
     """Words of the aggressive path before stemming."""
-    replaced = replace_words(tokens(clean_aggressive(text)), mapping)
+    words = F.filter(F.split(clean_aggressive(text), " "), lambda w: w != "")
+    replaced = replace_words(words, mapping)
     if any(" " in v for v in mapping.values()):
         replaced = F.flatten(F.transform(replaced, lambda w: F.split(w, " ")))
     return drop_stopwords(replaced, stopwords)
@@ -127,13 +149,14 @@ def feature_text(
 
 
 def is_readable(text: str | Column) -> Column:
-    """At least three characters, three Latin letters in a row, half of it letters."""
-    t = squeeze(text)
-    solid = F.length(F.regexp_replace(t, f"[{SPACE}]+", ""))
+    """At least three characters, three Latin letters in a row, half of it letters.
+
+    Three letters in a row imply three characters, so that test needs no step of its own.
+    """
+    t = _text(text)
     letters = F.length(F.regexp_replace(t, r"[^\p{L}]+", ""))
-    ratio = letters / F.greatest(solid, F.lit(1))
-    trimmed = F.length(F.regexp_replace(_text(text), rf"^[{SPACE}]+|[{SPACE}]+$", ""))
-    return (trimmed >= 3) & t.rlike("[A-Za-z]{3,}") & (ratio >= 0.5)
+    solid = F.length(F.regexp_replace(t, f"[{SPACE}]+", ""))
+    return t.rlike("[A-Za-z]{3}") & (letters * 2 >= solid)
 
 
 def dedup_key(text: str | Column) -> Column:

@@ -6,41 +6,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .keyed import scalar_of
+from .keyed import explode_rows, scalar_of
 
 # The vocabulary is capped, so its table may be broadcast.
 VOCABULARY_CAP = 50_000
 
 
-def vocabulary(
-    docs: DataFrame, terms: str, min_df: int = 1, cap: int = VOCABULARY_CAP
-) -> DataFrame:
-    """Terms in at least ``min_df`` documents; the ``cap`` most frequent ones if there are more.
-
-    Frequency is the number of uses; equal terms are taken in alphabetical order.
-    """
-    per_doc = docs.select(F.explode(F.array_distinct(terms)).alias("term")).groupBy("term").agg(
-        F.count("*").alias("df")
-    )
-    uses = docs.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("uses"))
-    return (
-        per_doc.filter(F.col("df") >= min_df)
-        .join(uses, "term")
-        .orderBy(F.desc("uses"), "term")
-        .limit(cap)
-    )
-
-
 def term_counts(docs: DataFrame, key: str, terms: str) -> DataFrame:
     """(document, term, tf). Documents move once by key; counting then needs no shuffle."""
     spread = docs.select(key, terms).repartition(F.col(key))
     return (
-        spread.select(key, F.explode(terms).alias("term"))
+        explode_rows(spread, [key], terms, "term")
         .groupBy(key, "term")
         .agg(F.count("*").alias("tf"))
     )
 
 
+def vocabulary(counts: DataFrame, min_df: int = 1, cap: int = VOCABULARY_CAP) -> DataFrame:
+    """Terms in at least ``min_df`` documents; the ``cap`` most frequent ones if there are more.
+
+    ``counts`` comes from ``term_counts``. Frequency is the number of uses; equal terms are
+    taken in alphabetical order.
+    """
+    per_term = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("uses"))
+    return per_term.filter(F.col("df") >= min_df).orderBy(F.desc("uses"), "term").limit(cap)
+
+
 def tfidf(
     docs: DataFrame,
     key: str,
@@ -55,13 +46,12 @@ def tfidf(
     idf is ln((n+1)/(df+1)), plus one if asked. The norm is a window on the document key,
     which the counts are already partitioned by.
     """
-    vocab = vocabulary(docs, terms, min_df, cap).select("term", "df")
+    counts = term_counts(docs, key, terms)
+    vocab = vocabulary(counts, min_df, cap).select("term", "df")
     n = scalar_of(docs, F.count("*"))
     tf = (1 + F.log(F.col("tf"))) if sublinear else F.col("tf").cast("double")
     idf = F.log((n + 1) / (F.col("df") + 1)) + (1 if idf_plus_one else 0)
-    weighted = (
-        term_counts(docs, key, terms).join(F.broadcast(vocab), "term").withColumn("_raw", tf * idf)
-    )
+    weighted = counts.join(F.broadcast(vocab), "term").withColumn("_raw", tf * idf)
     norm = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(W.partitionBy(key)))
     weight = F.when(norm > 0, F.col("_raw") / norm).otherwise(F.lit(0.0))
     return weighted.select(key, "term", "tf", F.round(weight, 6).alias("weight"))

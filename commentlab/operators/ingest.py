@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as lb
 from ..functions.lexicons import JOB_STATUSES
-from .keyed import first_per_key, scalar_of, top_per_key
+from .keyed import explode_rows, first_per_key, scalar_of, top_per_key
 
 # Fields of a comment item; numbers may arrive as text.
 ITEM = (
@@ -24,11 +24,9 @@ PAGE = f"items array<{ITEM}>"
 
 def flatten_pages(pages: DataFrame, items: str, fetched_at: str | Column, keep: Sequence[str] = ()) -> DataFrame:
     """One row per item. Missing ids and texts become '', counts 0, all else NULL."""
-    rows = pages.select(
-        "video_id", "source_url", "source_title", F.lit(fetched_at).alias("fetched_at")
-        if isinstance(fetched_at, str) else fetched_at.alias("fetched_at"),
-        *keep, F.posexplode(items).alias("pos", "_item"),
-    )
+    at = F.lit(fetched_at) if isinstance(fetched_at, str) else fetched_at
+    page = ["video_id", "source_url", "source_title", at.alias("fetched_at"), *keep]
+    rows = explode_rows(pages, page, items, "_item", "pos")
     thread = F.col("_item.snippet")
     top = thread["topLevelComment"]
     s = top["snippet"]

@@ -69,6 +69,20 @@ def scalar_of(df: DataFrame, value: Column) -> Column:
     return df.agg(value.alias("v")).scalar()
 
 
+def explode_rows(
+    df: DataFrame, keep: Sequence[str | Column], array: str | Column, name: str, position: str | None = None
+) -> DataFrame:
+    """One row per array element, none for an empty array.
+
+    A plain explode of a column makes the optimizer add a filter on the array's size, which
+    then moves below the projection that computes the array and computes it twice. The outer
+    form has no such filter; its row for an empty array is dropped by position.
+    """
+    place = position or "_pos"
+    out = df.select(*keep, F.posexplode_outer(array).alias(place, name)).filter(F.col(place).isNotNull())
+    return out if position else out.drop(place)
+
+
 def union_all(parts: Sequence[DataFrame]) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as lb
 from ..functions.lexicons import LABELS
+from .keyed import explode_rows
 from .metrics import matrix_precision_recall
 
 _CLASS = "struct<precision:double, recall:double, f1:double, `f1-score`:double, f1_score:double, support:bigint>"
@@ -78,10 +79,10 @@ def per_class_metrics(blocks: DataFrame, keep: Sequence[str]) -> DataFrame:
 
 def confusion_table(blocks: DataFrame, keep: Sequence[str]) -> DataFrame:
     """The stored matrix in long form; a class without a name shows its number."""
-    rows = blocks.select(
-        *keep, _label_list().alias("_l"), F.posexplode("block.confusion_matrix").alias("_a", "_row")
+    rows = explode_rows(
+        blocks, [*keep, _label_list().alias("_l")], F.col("block.confusion_matrix"), "_row", "_a"
     )
-    cells = rows.select(*keep, "_l", "_a", F.posexplode("_row").alias("_p", "count"))
+    cells = explode_rows(rows, [*keep, "_l", "_a"], "_row", "count", "_p")
 
     def name(i: str) -> Column:
         return F.coalesce(F.get("_l", F.col(i)), F.col(i).cast("string"))
@@ -225,9 +226,8 @@ def label_distributions(leaves: DataFrame, keep: Sequence[str]) -> DataFrame:
     """Counts from every object that has all labels as keys."""
     labels = list(LABELS)
     at = F.transform("steps", lambda s, i: F.struct(s["key"].alias("label"), i.alias("at")))
-    hits = leaves.select(
-        *keep, "steps", "value", "value_type", F.explode(F.filter(at, lambda x: x["label"].isin(labels))).alias("_h")
-    ).select(
+    wanted = F.filter(at, lambda x: x["label"].isin(labels))
+    hits = explode_rows(leaves, [*keep, "steps", "value", "value_type"], wanted, "_h").select(
         *keep,
         _path(F.slice("steps", F.lit(1), F.col("_h.at"))).alias("source_path"),
         F.col("_h.label").alias("label"),
@@ -262,7 +262,7 @@ def term_lists(leaves: DataFrame, keep: Sequence[str]) -> DataFrame:
         lambda p: F.lower(p["key"]).rlike("term|word|token|vocab")
         & p["next"].isNotNull() & p["next"]["key"].isNull(),
     )
-    hit = leaves.filter("value_type <> 'empty'").select(*keep, "steps", "value", F.explode(wanted).alias("_h"))
+    hit = explode_rows(leaves.filter("value_type <> 'empty'"), [*keep, "steps", "value"], wanted, "_h")
     left = n - F.col("_h.at") - 2  # steps below the list item
     below = F.get("steps", F.col("_h.at") + 2)
     rows = hit.select(

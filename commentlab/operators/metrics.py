@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lexicons import LABELS
-from .keyed import first_per_key
+from .keyed import explode_rows, first_per_key
 
 K = len(LABELS)
 
@@ -114,7 +114,7 @@ def evaluate_per_class(
 
 def matrix_precision_recall(df: DataFrame, matrix: str, keep: Sequence[str], digits: int = 4) -> DataFrame:
     """Precision and recall per class of a stored square matrix; NULL where undefined."""
-    rows = df.select(*keep, matrix, F.posexplode(matrix).alias("label_id", "_row"))
+    rows = explode_rows(df, [*keep, matrix], matrix, "_row", "label_id")
     tp = F.get("_row", F.col("label_id"))
     support = F.aggregate("_row", F.lit(0).cast("bigint"), lambda a, x: a + x)
     guessed = F.aggregate(matrix, F.lit(0).cast("bigint"), lambda a, r: a + F.get(r, F.col("label_id")))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lexicons import LABELS
 from ..functions.text import word_count
-from .keyed import scalar_of, top_per_key
+from .keyed import explode_rows, scalar_of, top_per_key
 
 
 def class_distribution(df: DataFrame, col: str) -> DataFrame:
@@ -76,17 +76,19 @@ def leakage(df: DataFrame, key: str, feature: str, fold: str) -> DataFrame:
     final group as one row per fold.
     """
 
-    def shared(value: Column, rows: DataFrame) -> DataFrame:
-        per_fold = rows.groupBy(value.alias("_v"), fold).agg(F.count("*").alias("_n"))
+    def shared(rows: DataFrame) -> DataFrame:
+        per_fold = rows.groupBy("_v", fold).agg(F.count("*").alias("_n"), F.max("_used").alias("_used"))
         return (
             per_fold.groupBy("_v")
-            .agg(F.count("*").alias("_folds"), F.sum("_n").alias("_rows"))
-            .filter(F.col("_folds") > 1)
+            .agg(F.count("*").alias("_folds"), F.sum("_n").alias("_rows"), F.max("_used").alias("_used"))
+            .filter((F.col("_folds") > 1) & F.col("_used"))
         )
 
-    filled = df.filter(F.length(F.trim(feature)) > 0)
-    texts = shared(F.md5(feature), filled)
-    ids = shared(F.col(key), df)
+    # Blank features are dropped after the count: a filter before it would move below the
+    # projection and compute the feature a second time.
+    filled = F.length(F.trim(feature)) > 0
+    texts = shared(df.select(F.md5(feature).alias("_v"), fold, filled.alias("_used")))
+    ids = shared(df.select(F.col(key).alias("_v"), fold, F.lit(True).alias("_used")))
     return texts.agg(
         F.count("*").alias("shared_texts"),
         F.coalesce(F.sum("_rows"), F.lit(0)).alias("rows_affected"),
@@ -148,7 +150,11 @@ def lift(
 def class_terms(words: DataFrame, token: str, group: str, min_count: int = 5, n: int = 12) -> DataFrame:
     """Lift by occurrences: share of the class's words over share of all words."""
     counts = term_class_counts(words, token, group, len(LABELS))
-    totals = words.groupBy(group).agg(F.count("*").alias("class_total"))
+    # Class sizes are column sums of the same counts, so the words are made only once.
+    sums = [
+        F.struct(F.lit(i).alias(group), F.sum(f"n_{i}").alias("class_total")) for i in range(len(LABELS))
+    ]
+    totals = counts.agg(F.array(*sums).alias("_t")).select(F.inline("_t"))
     return lift(counts, token, totals, group, "class_total", min_count, n)
 
 
@@ -156,7 +162,7 @@ def class_terms_by_document(
     docs: DataFrame, tokens: str, group: str, min_docs: int = 8, n: int = 12
 ) -> DataFrame:
     """Lift by documents: each document counts a word once."""
-    words = docs.select(group, F.explode(F.array_distinct(tokens)).alias("token"))
+    words = explode_rows(docs, [group], F.array_distinct(tokens), "token")
     counts = term_class_counts(words, "token", group, len(LABELS))
     totals = docs.groupBy(group).agg(F.count("*").alias("class_total"))
     return lift(counts, "token", totals, group, "class_total", min_docs, n)

@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lexicons import PROTECTED_ROOTS
-from .keyed import salted_join
+from .keyed import explode_rows, salted_join
 
 # A stem table of at most this many rows is broadcast.
 BROADCAST_ROWS = 500_000
 
 
 def vocabulary(df: DataFrame, tokens: str) -> DataFrame:
-    return df.select(F.explode(tokens).alias("token")).distinct()
+    return explode_rows(df, [], tokens, "token").distinct()
 
 
 def stem_table_from(
@@ -63,7 +63,7 @@ def stem_tokens(
     joined with a salt, because a few words make up a large part of any text.
     """
     table = _effective(stems, protected)
-    words = df.select(key, F.posexplode(tokens).alias("_pos", "token"))
+    words = explode_rows(df, [key], tokens, "token", "_pos")
     if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         joined = words.join(F.broadcast(table), "token", "left")
     else:

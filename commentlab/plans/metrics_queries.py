@@ -27,7 +27,7 @@ def docs(spark, sf):
 
 @query("term_vocabulary", "M1", f"WITH {TF_SQL.replace('{cap}', '500')} SELECT term, df, uses FROM vocab")
 def term_vocabulary(spark, sf):
-    return features.vocabulary(docs(spark, sf), "words", 2, 500)
+    return features.vocabulary(features.term_counts(docs(spark, sf), "comment_id", "words"), 2, 500)
 
 
 @query("sublinear_term_frequency", "M2", f"""WITH {TF_SQL.replace('{cap}', '50000')}
@@ -42,7 +42,8 @@ SELECT term, round(ln(((SELECT count(*) FROM docs) + 1) / (df + 1)), 6) AS idf F
 def inverse_document_frequency(spark, sf):
     d = docs(spark, sf)
     n = features.scalar_of(d, F.count("*"))
-    return features.vocabulary(d, "words", 2).select("term", F.round(F.log((n + 1) / (F.col("df") + 1)), 6).alias("idf"))
+    counts = features.term_counts(d, "comment_id", "words")
+    return features.vocabulary(counts, 2).select("term", F.round(F.log((n + 1) / (F.col("df") + 1)), 6).alias("idf"))
 
 
 def tfidf_sql(plus: str) -> str:

@@ -12,7 +12,7 @@ from ..operators.keyed import union_all
 from ..operators.ranking import even_buckets, exact_rank
 from . import sqltext as st
 from .registry import query
-from .tables import COMMENTS_SQL, LABELLED_SQL, NAME_SQL, PREDICTIONS_SQL, comments, labelled, predictions, table
+from .tables import COMMENTS_SQL, LABELLED_SQL, NAME_SQL, PREDICTIONS_SQL, comments, labelled, predictions, table, text_table
 
 # A second reading of the German comments: labels moved on by one, sure of itself.
 CORRECTIONS_SQL = LABELLED_SQL + """, corrections AS (
@@ -25,12 +25,12 @@ def corrections(spark, sf):
 
 
 def path_a(spark, sf):
-    return table(spark, sf, "documents").select(
+    return text_table(spark, sf, "documents").select(
         F.col("doc_id").alias("comment_id"), F.md5(tx.clean_aggressive("text")).alias("aggressive"))
 
 
 def path_b(spark, sf):
-    return table(spark, sf, "documents").filter("n_chars >= 500").select(
+    return text_table(spark, sf, "documents").filter("n_chars >= 500").select(
         F.col("doc_id").alias("comment_id"), F.md5(tx.clean_minimal("text")).alias("minimal"))
 
 
@@ -70,7 +70,7 @@ WHERE length({st.clean_aggressive('html')}) > 0 AND length({st.clean_minimal('ht
 def rows_filled_on_both_paths(spark, sf):
     both = (F.length(tx.clean_aggressive("html")) > 0) & (F.length(tx.clean_minimal("html")) > 0)
     either = (F.length(tx.clean_aggressive("url")) > 0) | (F.length(tx.clean_minimal("url")) > 0)
-    return table(spark, sf, "pages").filter(both).select("page_id", either.alias("keep_any"))
+    return text_table(spark, sf, "pages").filter(both).select("page_id", either.alias("keep_any"))
 
 
 @query("class_membership", "P4", f"""WITH {LABELLED_SQL}

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import labels as lb
 from ..functions import text as tx
 from ..operators import ranking, stats
-from ..operators.keyed import top_per_key
+from ..operators.keyed import explode_rows, top_per_key
+from ..session import new_path
+from ..sources.writers import write_parquet
 from . import sqltext as st
 from .registry import query
 from .tables import (
@@ -21,6 +23,7 @@ from .tables import (
     labelled,
     predictions,
     table,
+    text_table,
 )
 from .text_queries import DEMO_SLANG, DEMO_STOPWORDS
 
@@ -36,7 +39,7 @@ def feature_docs(spark, sf):
 
 
 def feature_tokens(spark, sf):
-    return feature_docs(spark, sf).select("comment_id", "label_id", F.explode("words").alias("token"))
+    return explode_rows(feature_docs(spark, sf), ["comment_id", "label_id"], "words", "token")
 
 
 @query("class_terms_by_lift", "A11 J8 G14", f"""WITH {TOKENS_SQL},
@@ -305,7 +308,7 @@ SELECT count(*) AS n, count(*) FILTER (a = b) AS aggressive_equal,
   round(count(*) FILTER (a = b) / count(*), 6) AS aggressive_share,
   count(*) FILTER (c = d) AS minimal_equal, round(count(*) FILTER (c = d) / count(*), 6) AS minimal_share FROM t""")
 def pipeline_parity(spark, sf):
-    df = table(spark, sf, "documents").select(
+    df = text_table(spark, sf, "documents").select(
         tx.clean_aggressive("text").alias("a"),
         F.trim(F.regexp_replace(F.lower("text"), "[^a-z]+", " ")).alias("b"),
         tx.clean_minimal("text").alias("c"), tx.squeeze(F.lower("text")).alias("d"))
@@ -354,10 +357,12 @@ def word_count_band(spark, sf):
 
 
 def eda_report(spark, sf):
-    """All corpus figures in one row."""
-    df = labelled(spark, sf).select(
+    """All corpus figures in one row, from a feature table that is written first."""
+    path = new_path(spark, "features")
+    write_parquet(labelled(spark, sf).select(
         "comment_id", "label_id", "text", tx.feature_text("text", DEMO_SLANG, DEMO_STOPWORDS).alias("feature"),
-        tx.clean_minimal("text").alias("minimal"))
+        tx.clean_minimal("text").alias("minimal")), path)
+    df = spark.read.parquet(path)
     folded = ranking.stratified_split(df, "comment_id", "label_id")
     words = df.select("label_id", F.explode(tx.tokens("feature")).alias("token"))
 

@@ -6,10 +6,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# Tables whose rows are long texts, with a column that spreads them evenly.
+TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table of texts with work for every core.
+
+    Cleaning text costs far more than reading it, so a table that comes in fewer splits than
+    there are cores is spread first. One with enough splits is read as it is, with no shuffle.
+    """
+    df = table(spark, sf, name)
+    cores = spark.sparkContext.defaultParallelism
+    if df.select(TEXT_KEYS[name]).rdd.getNumPartitions() < cores:
+        df = df.repartition(cores, TEXT_KEYS[name])
+    return df
+
+
 # Class of a document from its two flags: toxic, else low quality, else good.
 LABEL_SQL = "CASE WHEN l.toxic = 1 THEN 0 WHEN l.quality = 0 THEN 1 WHEN l.quality = 1 THEN 2 END"
 
@@ -64,7 +81,7 @@ def label_dim(spark: SparkSession) -> DataFrame:
 
 
 def comments(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
+    docs = text_table(spark, sf, "documents")
     labels = table(spark, sf, "labels")
     label = (
         F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2)

@@ -8,6 +8,7 @@ from ..functions import labels as lb
 from ..functions import lexicons as lx
 from ..functions import text as tx
 from ..operators.stemming import distinct_stems, stem_tokens
+from ..session import new_path
 from . import sqltext as st
 from .registry import query
 from .tables import (
@@ -19,6 +20,7 @@ from .tables import (
     labelled,
     predictions,
     table,
+    text_table,
 )
 
 # Small dictionaries for the languages of the test tables.
@@ -46,7 +48,7 @@ DOCS = "documents"
 
 
 def docs(spark, sf, *cols):
-    return table(spark, sf, DOCS).select(F.col("doc_id").alias("comment_id"), *cols)
+    return text_table(spark, sf, DOCS).select(F.col("doc_id").alias("comment_id"), *cols)
 
 
 @query("clean_aggressive", "T1 F1 F3",
@@ -58,7 +60,7 @@ def clean_aggressive(spark, sf):
 @query("clean_aggressive_pages", "T1",
        f"SELECT page_id, {st.clean_aggressive('html')} AS clean FROM pages")
 def clean_aggressive_pages(spark, sf):
-    return table(spark, sf, "pages").select("page_id", tx.clean_aggressive("html").alias("clean"))
+    return text_table(spark, sf, "pages").select("page_id", tx.clean_aggressive("html").alias("clean"))
 
 
 @query("clean_minimal", "T2 T8 F2",
@@ -150,7 +152,10 @@ SELECT d.doc_id AS comment_id, coalesce(t.stemmed, '') AS stemmed FROM documents
   FROM words w LEFT JOIN stems s ON w.token = s.token GROUP BY doc_id) t ON d.doc_id = t.doc_id""")
 def stem_text(spark, sf):
     words = docs(spark, sf, tx.tokens(tx.clean_aggressive("text")).alias("tokens"))
-    stemmed = stem_tokens(words, "comment_id", "tokens", demo_stems(spark, sf), ("this", "les", "des"))
+    # The stem table is used more than once, so it is written, not recomputed.
+    path = new_path(spark, "stems")
+    demo_stems(spark, sf).write.parquet(path)
+    stemmed = stem_tokens(words, "comment_id", "tokens", spark.read.parquet(path), ("this", "les", "des"))
     return stemmed.select("comment_id", F.array_join("tokens", " ").alias("stemmed"))
 
 
