@@ -48,7 +48,7 @@ def allot(totals: DataFrame, group: str, size: str, amount: Column, out: str) ->
 def hash_cutoffs(
     df: DataFrame, group: str, key: str, cuts: DataFrame, seed: int = 42, prefix: int = PREFIX
 ) -> DataFrame:
-    """For each (group, cut, rank) of ``cuts``, the hash and key of the row at that rank.
+    """For each (group, _cut, _rank) of ``cuts``, the hash and key of the row at that rank.
 
     ``cuts`` is small: a few ranks for each class. A rank of 0 gives no row.
     """
@@ -60,15 +60,15 @@ def hash_cutoffs(
     spans = counts.withColumn("_hi", upto).withColumn("_lo", F.col("_hi") - F.col("_cnt"))
     located = (
         spans.join(F.broadcast(cuts), group)
-        .filter((F.col("rank") > F.col("_lo")) & (F.col("rank") <= F.col("_hi")))
-        .select(group, "_bucket", "cut", (F.col("rank") - F.col("_lo")).alias("_need"))
+        .filter((F.col("_rank") > F.col("_lo")) & (F.col("_rank") <= F.col("_hi")))
+        .select(group, "_bucket", "_cut", (F.col("_rank") - F.col("_lo")).alias("_need"))
     )
     inside = keyed.join(F.broadcast(located), [group, "_bucket"])
-    place = F.row_number().over(W.partitionBy(group, "cut").orderBy("_h", key))
+    place = F.row_number().over(W.partitionBy(group, "_cut").orderBy("_h", key))
     return (
         inside.withColumn("_place", place)
         .filter(F.col("_place") == F.col("_need"))
-        .select(group, "cut", F.col("_h").alias("cut_hash"), F.col(key).alias("cut_key"))
+        .select(group, "_cut", F.col("_h").alias("_cut_hash"), F.col(key).alias("_cut_key"))
     )
 
 
@@ -85,11 +85,11 @@ def assign_by_cutoffs(
     """Label each row with the first cut it does not exceed, else ``rest``. No shuffle."""
     wide = cutoffs.groupBy(group).agg(
         *[
-            F.max(F.when(F.col("cut") == F.lit(n), F.struct("cut_hash", "cut_key"))).alias(f"_c{i}")
+            F.max(F.when(F.col("_cut") == F.lit(n), F.struct("_cut_hash", "_cut_key"))).alias(f"_c{i}")
             for i, n in enumerate(names)
         ]
     )
-    here = F.struct(F.col("_h").alias("cut_hash"), F.col(key).alias("cut_key"))
+    here = F.struct(F.col("_h").alias("_cut_hash"), F.col(key).alias("_cut_key"))
     value = F.lit(rest)
     for i, n in reversed(list(enumerate(names))):
         value = F.when(F.coalesce(here <= F.col(f"_c{i}"), F.lit(False)), F.lit(n)).otherwise(value)
@@ -119,15 +119,12 @@ def stratified_split(
 ) -> DataFrame:
     """Deterministic train / val / test of exact sizes, in proportion within each class."""
     quotas = split_quotas(df.select(group), group)
-    cuts = quotas.select(
-        group,
-        F.explode(
-            F.array(
-                F.struct(F.lit("test").alias("cut"), F.col("n_test").alias("rank")),
-                F.struct(F.lit("val").alias("cut"), (F.col("n_test") + F.col("n_val")).alias("rank")),
-            )
-        ).alias("c"),
-    ).select(group, "c.cut", "c.rank")
+    upto = F.col("n_test") + F.col("n_val")
+    ranks = F.array(
+        F.struct(F.lit("test").alias("_cut"), F.col("n_test").alias("_rank")),
+        F.struct(F.lit("val").alias("_cut"), upto.alias("_rank")),
+    )
+    cuts = quotas.select(group, F.inline(ranks))
     found = hash_cutoffs(df.select(group, key), group, key, cuts, seed)
     return assign_by_cutoffs(df, group, key, found, ["test", "val"], "train", out, seed)
 
@@ -136,12 +133,11 @@ def stratified_kfold(
     df: DataFrame, key: str, group: str, k: int = 5, seed: int = 42, out: str = "kfold"
 ) -> DataFrame:
     """``k`` folds whose sizes differ by at most one row per class."""
-    totals = df.groupBy(group).agg(F.count("*").alias("n"))
-    cuts = totals.select(
-        group,
-        F.explode(F.sequence(F.lit(1), F.lit(k - 1))).alias("i"),
-        "n",
-    ).select(group, (F.col("i") - 1).alias("cut"), F.expr(f"(n * i) div {k}").alias("rank"))
+    totals = df.groupBy(group).agg(F.count("*").alias("_n"))
+    step = F.explode(F.sequence(F.lit(1), F.lit(k - 1))).alias("_i")
+    cuts = totals.select(group, "_n", step).select(
+        group, (F.col("_i") - 1).alias("_cut"), F.expr(f"(_n * _i) div {k}").alias("_rank")
+    )
     found = hash_cutoffs(df.select(group, key), group, key, cuts, seed)
     return assign_by_cutoffs(df, group, key, found, list(range(k - 1)), k - 1, out, seed)
 
@@ -173,7 +169,7 @@ def sample_exact(
         rank = F.when(F.col("_n") >= want, want.cast("bigint")).otherwise(
             F.raise_error(F.lit("sample is larger than the pool")).cast("bigint")
         )
-    cuts = totals.select(group, F.lit("in").alias("cut"), rank.alias("rank"))
+    cuts = totals.select(group, F.lit("in").alias("_cut"), rank.alias("_rank"))
     found = hash_cutoffs(df.select(group, key), group, key, cuts, seed)
     picked = assign_by_cutoffs(df, group, key, found, ["in"], "out", "_pick", seed)
     picked = picked.filter(F.col("_pick") == "in").drop("_pick")
