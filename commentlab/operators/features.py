@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .keyed import explode_rows, scalar_of
+from .keyed import explode_rows, scalar_of, small_table
 
 # The vocabulary is capped, so its table may be broadcast.
 VOCABULARY_CAP = 50_000
@@ -60,11 +60,11 @@ def tfidf(
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """Weight N / (k * n) per class, so that all classes weigh the same."""
     counts = df.groupBy(label).agg(F.count("*").alias("n"))
-    n, k = scalar_of(df, F.count("*")), scalar_of(counts, F.count("*"))
+    n, k = scalar_of(counts, F.sum("n")), scalar_of(counts, F.count("*"))
     return counts.select(label, "n", (n / (k * F.col("n"))).alias("weight"))
 
 
 def add_class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     """Each row with the weight of its class; the joined side has one row per class."""
     weights = class_weights(df, label).select(label, F.col("weight").alias(out))
-    return df.join(F.broadcast(weights), label, "left")
+    return df.join(small_table(weights), label, "left")

@@ -57,11 +57,16 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, salts: int = 16) ->
     )
 
 
-def small_side(df: DataFrame, limit: int = 100_000) -> DataFrame:
-    """Mark for broadcast only after counting that it has at most ``limit`` rows."""
-    if df.limit(limit + 1).count() <= limit:
-        return F.broadcast(df)
-    return df
+def small_table(df: DataFrame, limit: int = 10_000) -> DataFrame:
+    """For a side expected to be small: run it once and broadcast the result if it is.
+
+    At most ``limit`` + 1 rows reach the driver. Past the limit the frame is returned as it
+    is, so that the join using it is planned as an ordinary shuffle join.
+    """
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
 def scalar_of(df: DataFrame, value: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .keyed import scalar_of, top_per_key, union_all
+from .keyed import scalar_of, small_table, top_per_key, union_all
 
 PREFIX = 4  # hex digits, so 65,536 parts per class
 
@@ -50,7 +50,8 @@ def hash_cutoffs(
 ) -> DataFrame:
     """For each (group, _cut, _rank) of ``cuts``, the hash and key of the row at that rank.
 
-    ``cuts`` is small: a few ranks for each class. A rank of 0 gives no row.
+    ``cuts`` holds a few ranks for each class. A rank of 0 gives no row. Only narrow columns
+    are read: once to count the prefixes, once to rank the rows of the prefixes in question.
     """
     keyed = df.select(group, key, seeded_hash(key, seed).alias("_h")).withColumn(
         "_bucket", F.substring("_h", 1, prefix)
@@ -59,11 +60,11 @@ def hash_cutoffs(
     upto = F.sum("_cnt").over(W.partitionBy(group).orderBy("_bucket"))
     spans = counts.withColumn("_hi", upto).withColumn("_lo", F.col("_hi") - F.col("_cnt"))
     located = (
-        spans.join(F.broadcast(cuts), group)
+        spans.join(small_table(cuts), group)
         .filter((F.col("_rank") > F.col("_lo")) & (F.col("_rank") <= F.col("_hi")))
         .select(group, "_bucket", "_cut", (F.col("_rank") - F.col("_lo")).alias("_need"))
     )
-    inside = keyed.join(F.broadcast(located), [group, "_bucket"])
+    inside = keyed.join(small_table(located), [group, "_bucket"])
     place = F.row_number().over(W.partitionBy(group, "_cut").orderBy("_h", key))
     return (
         inside.withColumn("_place", place)
@@ -82,7 +83,10 @@ def assign_by_cutoffs(
     out: str,
     seed: int = 42,
 ) -> DataFrame:
-    """Label each row with the first cut it does not exceed, else ``rest``. No shuffle."""
+    """Label each row with the first cut it does not exceed, else ``rest``.
+
+    With up to thousands of classes this is a comparison in the scan, with no shuffle.
+    """
     wide = cutoffs.groupBy(group).agg(
         *[
             F.max(F.when(F.col("_cut") == F.lit(n), F.struct("_cut_hash", "_cut_key"))).alias(f"_c{i}")
@@ -95,7 +99,7 @@ def assign_by_cutoffs(
         value = F.when(F.coalesce(here <= F.col(f"_c{i}"), F.lit(False)), F.lit(n)).otherwise(value)
     return (
         df.withColumn("_h", seeded_hash(key, seed))
-        .join(F.broadcast(wide), group, "left")
+        .join(small_table(wide), group, "left")
         .withColumn(out, value)
         .drop("_h", *[f"_c{i}" for i in range(len(names))])
     )
@@ -254,7 +258,7 @@ def exact_median(
     holds = (r1.between(F.col("_lo") + 1, F.col("_hi"))) | (r2.between(F.col("_lo") + 1, F.col("_hi")))
     middle = spans.filter(holds)
     values = (
-        base.join(F.broadcast(middle), [group, "_b"])
+        base.join(small_table(middle), [group, "_b"])
         .groupBy(group, "_b", "_v", "_lo", "_n")
         .agg(F.count("*").alias("_c"))
     )

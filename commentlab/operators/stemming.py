@@ -64,6 +64,7 @@ def stem_tokens(
     """
     table = _effective(stems, protected)
     words = explode_rows(df, [key], tokens, "token", "_pos")
+    # The count reads the stem table only, not the texts.
     if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         joined = words.join(F.broadcast(table), "token", "left")
     else:

@@ -93,11 +93,11 @@ def standard_predictions(spark, sf):
 
 
 @query("standard_features", "D5 P10 G13", """SELECT p_brand AS label, p_name AS feature, p_retailprice AS weight,
-  CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS INTEGER) AS rank FROM part""")
+  row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rank FROM part""")
 def standard_features(spark, sf):
     raw = table(spark, sf, "part").select(
         F.col("p_brand").alias("kelas"), F.col("p_name").alias("kata"), F.col("p_retailprice").alias("koef"), "p_partkey")
-    return mart.standard_features(raw, [F.asc("p_partkey")])
+    return mart.standard_features(raw, "p_partkey")
 
 
 @query("typed_columns", "P12", """SELECT event_id, TRY_CAST(CASE WHEN event_type = 'error' THEN 'n/a' ELSE CAST(value AS VARCHAR) END AS DOUBLE) AS weight,
@@ -206,6 +206,12 @@ def parquet_round_trip(spark, sf):
     return readers.read_columns(spark, path, ["comment_id", "video_id", "lang"])
 
 
+@query("required_fields", "S11", "SELECT doc_id, lang, source FROM documents")
+def required_fields(spark, sf):
+    wanted = ["doc_id", "lang", "source"]
+    return readers.require_columns(table(spark, sf, "documents"), wanted).select(*wanted)
+
+
 @query("relabel_batches", "S5 T25", """SELECT user_id AS idx, CASE arg_max(event_type, event_id) WHEN 'view' THEN 'Negatif' WHEN 'click' THEN 'Netral' ELSE 'Positif' END AS label,
   coalesce(arg_max(CASE WHEN event_type = 'click' THEN -1.0 ELSE value END, event_id), 0.9) AS confidence FROM events GROUP BY 1""")
 def relabel_batches(spark, sf):

@@ -294,4 +294,4 @@ def variant_table(spark, sf):
     per_class = metrics.per_class_from_cells(cells, ["variant"]).groupBy("variant").agg(
         *[F.max(F.when(F.col("label_id") == i, F.col("f1"))).alias(n)
           for i, n in enumerate(["f1_negatif", "f1_netral", "f1_positif"])])
-    return metrics.scores_from_cells(cells, ["variant"]).join(F.broadcast(per_class), "variant")
+    return metrics.scores_from_cells(cells, ["variant"]).join(per_class, "variant")

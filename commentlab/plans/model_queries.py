@@ -10,6 +10,7 @@ from ..operators import models
 from ..operators.keyed import union_all
 from ..operators.metrics import evaluate
 from ..operators.ranking import stratified_split
+from ..session import materialize
 from .registry import query
 from .tables import labelled, table
 from .text_queries import DEMO_PATTERNS, DEMO_SLANG, DEMO_STOPWORDS
@@ -21,7 +22,7 @@ MIN_DFS, REGS, STEPS, CAP = (2.0, 3.0), (0.01, 0.1), 10, 5000
 def folded_features(spark, sf):
     df = labelled(spark, sf).select(
         "comment_id", "label_id", "text", tx.feature_text("text", DEMO_SLANG, DEMO_STOPWORDS).alias("feature"))
-    return stratified_split(df, "comment_id", "label_id").persist()
+    return materialize(stratified_split(df, "comment_id", "label_id"), "folds", "fold")
 
 
 def train_test(folded):
@@ -38,7 +39,7 @@ def svm_grid_search(spark, sf):
     return models.grid_search(folded_features(spark, sf), "feature", "label_id", min_dfs=MIN_DFS, regs=REGS, max_iter=STEPS, cap=CAP)
 
 
-@query("svm_test_predictions", "M9 M13 M16 M24 P2")
+@query("svm_test_predictions", "M9 M13 M16 M24 P2 F4 F6")
 def svm_test_predictions(spark, sf):
     folded = folded_features(spark, sf)
     grid = models.grid_search(folded, "feature", "label_id", min_dfs=(2.0,), regs=REGS, max_iter=STEPS, cap=CAP)
@@ -63,7 +64,7 @@ def naive_bayes_test_predictions(spark, sf):
 @query("word_and_char_test_predictions", "M6 M7 T17 T19")
 def word_and_char_test_predictions(spark, sf):
     flags = tx.domain_flags("text", DEMO_PATTERNS)
-    df = models.with_char_terms(folded_features(spark, sf).withColumns(flags), "feature").persist()
+    df = materialize(models.with_char_terms(folded_features(spark, sf).withColumns(flags), "feature"), "terms")
     train, test = train_test(df)
     stages = models.union_stages("feature", list(flags), cap=CAP)
     return test_table(models.fit_and_predict(train, test, stages, models.linear_svm("label_id", max_iter=STEPS), "label_id")[1])
@@ -94,7 +95,7 @@ def version_sweep(spark, sf):
     subsets = {"all": base, "english": base.filter("lang = 'en'"), "long": base.filter("n_chars >= 1000")}
     parts = []
     for name, df in subsets.items():
-        train, test = train_test(stratified_split(df, "comment_id", "label_id").persist())
+        train, test = train_test(materialize(stratified_split(df, "comment_id", "label_id"), "folds", "fold"))
         stages = models.word_stages("feature", 2.0, cap=CAP)
         _, predicted = models.fit_and_predict(train, test, stages, models.complement_nb("label_id"), "label_id")
         parts.append(evaluate(predicted, "label_id", "prediction").withColumn("subset", F.lit(name)))
@@ -106,6 +107,6 @@ def embedding_classifier(spark, sf):
     vectors = table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("comment_id"), F.col("label").alias("label_id"),
         array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    folded = stratified_split(vectors, "comment_id", "label_id").persist()
+    folded = materialize(stratified_split(vectors, "comment_id", "label_id"), "folds", "fold")
     train, test = folded.filter("fold <> 'test'"), folded.filter("fold = 'test'")
     return test_table(models.fit_and_predict(train, test, [], models.logistic("label_id"), "label_id")[1])

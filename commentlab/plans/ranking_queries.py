@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import curation, ranking
 from ..operators.keyed import first_per_key, top_per_key
+from ..session import materialize
 from . import sqltext as st
 from .registry import query
 from .tables import LABELLED_SQL, PREDICTIONS_SQL, comments, labelled, predictions, table
@@ -218,4 +219,5 @@ SELECT comment_id, label_id FROM (SELECT *, row_number() OVER (
   PARTITION BY label_id ORDER BY md5('42:' || comment_id), comment_id) AS r FROM p) WHERE r <= 3""")
 def class_samples_of_middle_length(spark, sf):
     pool = labelled(spark, sf).filter(tx.word_count("text").between(50, 200)).select("comment_id", "label_id")
-    return ranking.sample_exact(pool, "comment_id", 3, "label_id")
+    # Sampling reads its pool a few times, so texts are counted once and the ids kept.
+    return ranking.sample_exact(materialize(pool, "pool"), "comment_id", 3, "label_id")

@@ -8,8 +8,7 @@ from ..functions import labels as lb
 from ..functions import text as tx
 from ..operators import ranking, stats
 from ..operators.keyed import explode_rows, top_per_key
-from ..session import new_path
-from ..sources.writers import write_parquet
+from ..session import materialize
 from . import sqltext as st
 from .registry import query
 from .tables import (
@@ -185,7 +184,7 @@ def confidence_profile(spark, sf):
         F.round(F.avg("confidence"), 6).alias("mean_confidence"),
         F.min("confidence").alias("min_confidence"), F.max("confidence").alias("max_confidence"))
     median = ranking.exact_median(df, "label_id", "confidence", 0.0, 1.0, "median_confidence")
-    return basic.join(F.broadcast(median), "label_id").withColumn(
+    return basic.join(median, "label_id").withColumn(
         "median_confidence", F.round("median_confidence", 6))
 
 
@@ -358,11 +357,9 @@ def word_count_band(spark, sf):
 
 def eda_report(spark, sf):
     """All corpus figures in one row, from a feature table that is written first."""
-    path = new_path(spark, "features")
-    write_parquet(labelled(spark, sf).select(
+    df = materialize(labelled(spark, sf).select(
         "comment_id", "label_id", "text", tx.feature_text("text", DEMO_SLANG, DEMO_STOPWORDS).alias("feature"),
-        tx.clean_minimal("text").alias("minimal")), path)
-    df = spark.read.parquet(path)
+        tx.clean_minimal("text").alias("minimal")), "features")
     folded = ranking.stratified_split(df, "comment_id", "label_id")
     words = df.select("label_id", F.explode(tx.tokens("feature")).alias("token"))
 

@@ -8,7 +8,7 @@ from ..functions import labels as lb
 from ..functions import lexicons as lx
 from ..functions import text as tx
 from ..operators.stemming import distinct_stems, stem_tokens
-from ..session import new_path
+from ..session import materialize
 from . import sqltext as st
 from .registry import query
 from .tables import (
@@ -153,9 +153,8 @@ SELECT d.doc_id AS comment_id, coalesce(t.stemmed, '') AS stemmed FROM documents
 def stem_text(spark, sf):
     words = docs(spark, sf, tx.tokens(tx.clean_aggressive("text")).alias("tokens"))
     # The stem table is used more than once, so it is written, not recomputed.
-    path = new_path(spark, "stems")
-    demo_stems(spark, sf).write.parquet(path)
-    stemmed = stem_tokens(words, "comment_id", "tokens", spark.read.parquet(path), ("this", "les", "des"))
+    stems = materialize(demo_stems(spark, sf), "stems")
+    stemmed = stem_tokens(words, "comment_id", "tokens", stems, ("this", "les", "des"))
     return stemmed.select("comment_id", F.array_join("tokens", " ").alias("stemmed"))
 
 

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -47,3 +47,21 @@ def shared_dir(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared one, so that no run overwrites another."""
     return f"{shared_dir(spark).rstrip('/')}/commentlab/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+    """Write a frame that is read more than once to the shared folder and read it back.
+
+    Unlike a cache it survives the loss of executors and cuts the lineage.
+    """
+    path = new_path(df.sparkSession, name)
+    writer = df.write.partitionBy(partition_by) if partition_by else df.write
+    writer.parquet(path)
+    return df.sparkSession.read.schema(_order(df, partition_by)).parquet(path)
+
+
+def _order(df: DataFrame, last: str | None):
+    from pyspark.sql.types import StructType
+
+    fields = sorted(df.schema.fields, key=lambda f: f.name == last)
+    return StructType(fields)
