@@ -21,14 +21,16 @@ def with_absent(counts: DataFrame, dim: DataFrame, col: str, n: str = "n") -> Da
     return dim.join(counts, col, "left").withColumn(n, F.coalesce(n, F.lit(0).cast("bigint")))
 
 
-def length_profile(df: DataFrame, texts: dict[str, str], maxima: Sequence[str]) -> DataFrame:
+def length_profile(
+    df: DataFrame, texts: dict[str, str], maxima: Sequence[str], digits: int = 2
+) -> DataFrame:
     """Mean, median and maximum word counts of several text columns in one aggregate.
 
     Word counts are small whole numbers, so the exact median keeps one entry per length.
     """
     counted = df.select(*[word_count(c).alias(name) for name, c in texts.items()])
     return counted.agg(
-        *[F.round(F.avg(n), 2).alias(f"avg_{n}") for n in texts],
+        *[F.round(F.avg(n), digits).alias(f"avg_{n}") for n in texts],
         *[F.percentile(n, 0.5).cast("int").alias(f"median_{n}") for n in texts],
         *[F.max(n).alias(f"max_{n}") for n in maxima],
     )
@@ -51,7 +53,7 @@ def length_summary(df: DataFrame, text: str) -> DataFrame:
     )
 
 
-def quality(df: DataFrame, feature: str) -> DataFrame:
+def quality(df: DataFrame, feature: str, digits: int = 2) -> DataFrame:
     """Blank and repeated features; both shares are of all rows."""
     filled = F.length(F.trim(feature)) > 0
     counts = df.agg(
@@ -63,9 +65,9 @@ def quality(df: DataFrame, feature: str) -> DataFrame:
     return counts.select(
         "n_total",
         "n_empty",
-        F.round(100 * F.col("n_empty") / F.col("n_total"), 2).alias("empty_pct"),
+        F.round(100 * F.col("n_empty") / F.col("n_total"), digits).alias("empty_pct"),
         dup.alias("n_duplicate"),
-        F.round(100 * dup / F.col("n_total"), 2).alias("duplicate_pct"),
+        F.round(100 * dup / F.col("n_total"), digits).alias("duplicate_pct"),
     )
 
 

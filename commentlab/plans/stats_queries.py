@@ -99,15 +99,15 @@ n AS (SELECT {wc_sql('a')} AS raw, {wc_sql('b')} AS feature, {wc_sql('c')} AS mi
 
 
 @query("length_profile", "A3 A4", f"""WITH {THREE_SQL}
-SELECT round(avg(raw), 2) AS avg_raw, round(avg(feature), 2) AS avg_feature,
-  round(avg(minimal), 2) AS avg_minimal,
+SELECT round(avg(raw), 6) AS avg_raw, round(avg(feature), 6) AS avg_feature,
+  round(avg(minimal), 6) AS avg_minimal,
   CAST(floor(quantile_cont(raw, 0.5)) AS INTEGER) AS median_raw,
   CAST(floor(quantile_cont(feature, 0.5)) AS INTEGER) AS median_feature,
   CAST(floor(quantile_cont(minimal, 0.5)) AS INTEGER) AS median_minimal,
   CAST(max(raw) AS INTEGER) AS max_raw, CAST(max(feature) AS INTEGER) AS max_feature FROM n""")
 def length_profile(spark, sf):
     texts = {"raw": "text", "feature": "feature", "minimal": "minimal"}
-    return stats.length_profile(three_texts(spark, sf), texts, ["raw", "feature"])
+    return stats.length_profile(three_texts(spark, sf), texts, ["raw", "feature"], digits=6)
 
 
 @query("approximate_median_lengths", "A4")
@@ -142,10 +142,10 @@ def top_terms(spark, sf):
 @query("feature_quality", "A8", f"""WITH f AS (SELECT {st.join_words(FEATURE_SQL)} AS feature FROM documents),
 c AS (SELECT count(*) AS n_total, count(*) FILTER (trim(feature) = '') AS n_empty,
       count(DISTINCT feature) FILTER (trim(feature) <> '') AS nd FROM f)
-SELECT n_total, n_empty, round(100 * n_empty / n_total, 2) AS empty_pct,
-  n_total - n_empty - nd AS n_duplicate, round(100 * (n_total - n_empty - nd) / n_total, 2) AS duplicate_pct FROM c""")
+SELECT n_total, n_empty, round(100 * n_empty / n_total, 6) AS empty_pct,
+  n_total - n_empty - nd AS n_duplicate, round(100 * (n_total - n_empty - nd) / n_total, 6) AS duplicate_pct FROM c""")
 def feature_quality(spark, sf):
-    return stats.quality(three_texts(spark, sf), "feature")
+    return stats.quality(three_texts(spark, sf), "feature", digits=6)
 
 
 LEAK_SQL = """per AS (SELECT feature, count(DISTINCT fold) AS nf, count(*) AS nr FROM f
