@@ -174,12 +174,13 @@ def agreement_counts(df: DataFrame, a: str, b: str, k: int = len(LABELS)) -> Dat
 def cohen_kappa(df: DataFrame, a: str, b: str, k: int = len(LABELS)) -> DataFrame:
     """Raw agreement, Cohen's kappa and its band; kappa is NULL when chance agrees fully."""
     cells = [[F.col(f"c{i}{j}") for j in range(k)] for i in range(k)]
-    n = sum((c for row in cells for c in row), F.lit(0))
+    total = sum((c for row in cells for c in row), F.lit(0))
+    n = F.nullif(total, F.lit(0).cast("bigint"))  # no rows: no agreement, rather than an error
     po = sum((cells[i][i] for i in range(k)), F.lit(0)) / n
     rows = [sum(cells[i], F.lit(0)) for i in range(k)]
     cols = [sum((cells[i][j] for i in range(k)), F.lit(0)) for j in range(k)]
     pe = sum((rows[i] / n * cols[i] / n for i in range(k)), F.lit(0.0))
-    out = agreement_counts(df, a, b, k).select(n.alias("n"), po.alias("_po"), pe.alias("_pe"))
+    out = agreement_counts(df, a, b, k).select(total.alias("n"), po.alias("_po"), pe.alias("_pe"))
     kappa = F.when(F.col("_pe") < 1, (F.col("_po") - F.col("_pe")) / (1 - F.col("_pe")))
     return out.select(
         "n", F.round("_po", 6).alias("agreement"), F.round(kappa, 6).alias("kappa")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lexicons import LABELS
@@ -62,12 +62,13 @@ def quality(df: DataFrame, feature: str, digits: int = 2) -> DataFrame:
         F.count_distinct(F.when(filled, F.md5(feature))).alias("_distinct"),
     )
     dup = F.col("n_total") - F.col("n_empty") - F.col("_distinct")
+    rows = F.nullif("n_total", F.lit(0).cast("bigint"))
     return counts.select(
         "n_total",
         "n_empty",
-        F.round(100 * F.col("n_empty") / F.col("n_total"), digits).alias("empty_pct"),
+        F.round(100 * F.col("n_empty") / rows, digits).alias("empty_pct"),
         dup.alias("n_duplicate"),
-        F.round(100 * dup / F.col("n_total"), digits).alias("duplicate_pct"),
+        F.round(100 * dup / rows, digits).alias("duplicate_pct"),
     )
 
 
@@ -227,5 +228,5 @@ def parity(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
     cols = [n.alias("n")]
     for name, (a, b) in pairs.items():
         same = F.count_if(F.col(a) == F.col(b))
-        cols += [same.alias(f"{name}_equal"), F.round(same / n, 6).alias(f"{name}_share")]
+        cols += [same.alias(f"{name}_equal"), F.round(F.try_divide(same, n), 6).alias(f"{name}_share")]
     return df.agg(*cols)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .keyed import first_per_key
+from .keyed import first_per_key, union_all
 
 
 def replace_rows(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -60,8 +60,6 @@ def delete_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 
 def delete_report(tables: dict[str, DataFrame], keys: DataFrame, key: str) -> DataFrame:
     """Rows per table that the deletion takes and leaves."""
-    from .keyed import union_all
-
     listed = keys.select(key).distinct().withColumn("_gone", F.lit(True))
     return union_all(
         [

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as lb
 from ..operators import curation, upsert
 from ..operators.keyed import union_all
+from ..operators.ranking import sample_exact
 from . import sqltext as st
 from .registry import query
 from .relational_queries import CORRECTIONS_SQL, corrections
@@ -21,6 +22,7 @@ from .tables import (
     label_dim,
     labelled,
     predictions,
+    scores,
     table,
 )
 
@@ -158,8 +160,6 @@ def label_provenance(spark, sf):
 SELECT comment_id, video_id, md5(text) AS text_md5, {NAME} AS reference_label FROM labelled
 ORDER BY md5('42:' || comment_id), comment_id LIMIT 60""")
 def blind_tasks(spark, sf):
-    from ..operators.ranking import sample_exact
-
     picked = sample_exact(labelled(spark, sf), "comment_id", 60)
     blind = picked.select("comment_id", "video_id", F.md5("text").alias("text_md5"))
     reference = picked.select("comment_id", lb.label_name("label_id").alias("reference_label"))
@@ -234,8 +234,6 @@ def match_tasks(spark, sf):
 SELECT comment_id, label_id, CAST(min(p) AS INTEGER) AS predicted, count(*) AS n_models FROM v GROUP BY 1, 2
 HAVING min(p) = max(p) AND min(p) <> label_id""")
 def consensus_wrong(spark, sf):
-    from .tables import scores
-
     s = scores(spark, sf)
     a, b = F.col("s0") >= 0.5, F.col("s1") >= 0.5
     votes = s.select("comment_id", "label_id", F.explode(F.array(

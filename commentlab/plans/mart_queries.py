@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as lb
 from ..operators import mart, metrics
+from ..operators.curation import apply_updates
+from ..operators.keyed import union_all
 from ..session import new_path
 from ..sources import readers, writers
-from . import sqltext as st
-from .metrics_queries import CELLS, RUN, RUN_CELLS, RUN_SCORES, f1_sql, run_cells
+from .metrics_queries import RUN, RUN_CELLS, RUN_SCORES, f1_sql, run_cells
 from .registry import query
 from .tables import LABELLED_SQL, NAME_SQL, PREDICTIONS_SQL, comments, labelled, predictions, table
 
@@ -86,8 +87,6 @@ SELECT CASE WHEN lang = 'en' THEN 'first' ELSE 'second' END AS model, CAST(comme
   a AS actual_label, b AS predicted_label, a = b AS is_correct, CASE WHEN a = b THEN 'Benar' ELSE 'Salah' END AS error_status,
   a || ' → ' || b AS error_pair, CASE WHEN lang = 'en' THEN confidence END AS confidence FROM p""")
 def standard_predictions(spark, sf):
-    from ..operators.keyed import union_all
-
     return union_all([
         mart.standard_predictions(df).withColumn("model", F.lit(name)) for name, df in raw_predictions(spark, sf).items()])
 
@@ -232,7 +231,5 @@ def published_table(spark, sf):
     root = new_path(spark, "customer")
     writers.publish(table(spark, sf, "customer").select("c_custkey", "c_acctbal"), root)
     zero = table(spark, sf, "customer").filter("c_mktsegment = 'BUILDING'").select("c_custkey", F.lit(0.0).alias("c_acctbal"))
-    from ..operators.curation import apply_updates
-
     writers.publish(apply_updates(writers.read_current(spark, root), zero, "c_custkey", ["c_acctbal"]), root)
     return writers.read_current(spark, root)

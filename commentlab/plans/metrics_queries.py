@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import labels as lb
@@ -119,11 +120,11 @@ SCORE_COLS = f"""round(CASE WHEN {N_CELLS} <> 0 THEN (c00 + c11 + c22) / {N_CELL
   round(CASE WHEN {N_CELLS} <> 0 THEN ({" + ".join(f"{f1_sql(i)} * (c{i}0 + c{i}1 + c{i}2)" for i in range(3))}) / {N_CELLS} ELSE 0e0 END, 6) AS weighted_f1,
   {N_CELLS} AS n_test"""
 
-BIAS_SQL = f"""WITH {SCORES_SQL}, g AS (SELECT (range - 6) / 10e0 AS b FROM range(13)),
+BIAS_CELLS = f"""WITH {SCORES_SQL}, g AS (SELECT (range - 6) / 10e0 AS b FROM range(13)),
 p AS (SELECT a.b AS bias_0, c.b AS bias_2, label_id AS actual, {ARGMAX.format('(s0 + a.b)', 's1', '(s2 + c.b)')} AS predicted
       FROM scores, g a, g c),
-cells AS (SELECT bias_0, bias_2, {CELLS} FROM p GROUP BY 1, 2)
-SELECT bias_0, bias_2, {SCORE_COLS} FROM cells"""
+cells AS (SELECT bias_0, bias_2, {CELLS} FROM p GROUP BY 1, 2)"""
+BIAS_SQL = f"{BIAS_CELLS} SELECT bias_0, bias_2, {SCORE_COLS} FROM cells"
 
 
 @query("bias_grid", "M19 J11", BIAS_SQL)
@@ -235,13 +236,9 @@ def fold_mean_and_spread(spark, sf):
     return metrics.mean_and_spread(per_fold, "macro_f1")
 
 
-@query("grid_ranking", "M26", f"""WITH {BIAS_SQL[5:].replace('SELECT bias_0, bias_2, ' + SCORE_COLS + ' FROM cells', '')}
-s AS (SELECT bias_0, bias_2, {SCORE_COLS} FROM cells)
-SELECT bias_0, bias_2, macro_f1, CAST(rank() OVER (ORDER BY macro_f1 DESC) AS INTEGER) AS rank FROM s""".replace(
-    "GROUP BY 1, 2)\n\ns AS", "GROUP BY 1, 2),\ns AS"))
+@query("grid_ranking", "M26", f"""{BIAS_CELLS}, s AS (SELECT bias_0, bias_2, {SCORE_COLS} FROM cells)
+SELECT bias_0, bias_2, macro_f1, CAST(rank() OVER (ORDER BY macro_f1 DESC) AS INTEGER) AS rank FROM s""")
 def grid_ranking(spark, sf):
-    from pyspark.sql import Window as W
-
     grid = bias_grid(spark, sf).select("bias_0", "bias_2", "macro_f1")  # one row per pair of biases
     return grid.withColumn("rank", F.rank().over(W.orderBy(F.desc("macro_f1"))))
 

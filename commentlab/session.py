@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -57,11 +58,5 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     path = new_path(df.sparkSession, name)
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
-    return df.sparkSession.read.schema(_order(df, partition_by)).parquet(path)
-
-
-def _order(df: DataFrame, last: str | None):
-    from pyspark.sql.types import StructType
-
-    fields = sorted(df.schema.fields, key=lambda f: f.name == last)
-    return StructType(fields)
+    fields = sorted(df.schema.fields, key=lambda f: f.name == partition_by)
+    return df.sparkSession.read.schema(StructType(fields)).parquet(path)
