@@ -26,9 +26,9 @@ def docs(spark, sf):
         "comment_id", "label_id", tx.tokens(tx.clean_aggressive("text")).alias("words"))
 
 
-@query("term_vocabulary", "M1", f"WITH {TF_SQL.replace('{cap}', '500')} SELECT term, df, uses FROM vocab")
+@query("term_vocabulary", "M1", f"WITH {TF_SQL.replace('{cap}', '50000')} SELECT term, df, uses FROM vocab")
 def term_vocabulary(spark, sf):
-    return features.vocabulary(features.term_counts(docs(spark, sf), "comment_id", "words"), 2, 500)
+    return features.vocabulary(features.term_counts(docs(spark, sf), "comment_id", "words"), 2)
 
 
 @query("sublinear_term_frequency", "M2", f"""WITH {TF_SQL.replace('{cap}', '50000')}

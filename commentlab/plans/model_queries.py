@@ -16,7 +16,7 @@ from .tables import labelled, table
 from .text_queries import DEMO_PATTERNS, DEMO_SLANG, DEMO_STOPWORDS
 
 # Fewer settings and steps than the operators' own defaults, so that one query stays short.
-MIN_DFS, REGS, STEPS, CAP = (2.0, 3.0), (0.01, 0.1), 10, 5000
+MIN_DFS, REGS, STEPS = (2.0, 3.0), (0.01, 0.1), 10
 
 
 def folded_features(spark, sf):
@@ -36,28 +36,28 @@ def test_table(predicted):
 
 @query("svm_grid_search", "M13 M26")
 def svm_grid_search(spark, sf):
-    return models.grid_search(folded_features(spark, sf), "feature", "label_id", min_dfs=MIN_DFS, regs=REGS, max_iter=STEPS, cap=CAP)
+    return models.grid_search(folded_features(spark, sf), "feature", "label_id", min_dfs=MIN_DFS, regs=REGS, max_iter=STEPS)
 
 
 @query("svm_test_predictions", "M9 M13 M16 M24 P2 F4 F6")
 def svm_test_predictions(spark, sf):
     folded = folded_features(spark, sf)
-    grid = models.grid_search(folded, "feature", "label_id", min_dfs=(2.0,), regs=REGS, max_iter=STEPS, cap=CAP)
-    _, predicted = models.refit_best(folded, "feature", "label_id", grid, max_iter=STEPS, cap=CAP)
+    grid = models.grid_search(folded, "feature", "label_id", min_dfs=(2.0,), regs=REGS, max_iter=STEPS)
+    _, predicted = models.refit_best(folded, "feature", "label_id", grid, max_iter=STEPS)
     return models.with_margin(predicted).select("comment_id", "label_id", F.col("prediction").cast("int").alias("predicted"), "margin")
 
 
 @query("logistic_test_predictions", "M10")
 def logistic_test_predictions(spark, sf):
     train, test = train_test(folded_features(spark, sf))
-    stages = models.word_stages("feature", 2.0, cap=CAP)
+    stages = models.word_stages("feature", 2.0)
     return test_table(models.fit_and_predict(train, test, stages, models.logistic("label_id", max_iter=STEPS), "label_id")[1])
 
 
 @query("naive_bayes_test_predictions", "M11")
 def naive_bayes_test_predictions(spark, sf):
     train, test = train_test(folded_features(spark, sf))
-    stages = models.word_stages("feature", 2.0, cap=CAP)
+    stages = models.word_stages("feature", 2.0)
     return test_table(models.fit_and_predict(train, test, stages, models.complement_nb("label_id"), "label_id")[1])
 
 
@@ -66,7 +66,7 @@ def word_and_char_test_predictions(spark, sf):
     flags = tx.domain_flags("text", DEMO_PATTERNS)
     df = materialize(models.with_char_terms(folded_features(spark, sf).withColumns(flags), "feature"), "terms")
     train, test = train_test(df)
-    stages = models.union_stages("feature", list(flags), cap=CAP)
+    stages = models.union_stages("feature", list(flags))
     return test_table(models.fit_and_predict(train, test, stages, models.linear_svm("label_id", max_iter=STEPS), "label_id")[1])
 
 
@@ -74,7 +74,7 @@ def word_and_char_test_predictions(spark, sf):
 def out_of_fold_predictions(spark, sf):
     df = models.nonempty(folded_features(spark, sf).drop("fold"), "feature")
     predicted = models.out_of_fold(
-        df, "comment_id", "label_id", lambda: models.word_stages("feature", 2.0, cap=CAP),
+        df, "comment_id", "label_id", lambda: models.word_stages("feature", 2.0),
         lambda: models.complement_nb("label_id"), 5)
     return predicted.select("comment_id", "label_id", "kfold", F.col("prediction").cast("int").alias("predicted"))
 
@@ -82,7 +82,7 @@ def out_of_fold_predictions(spark, sf):
 @query("top_model_features", "M25 G1")
 def top_model_features(spark, sf):
     train, test = train_test(folded_features(spark, sf))
-    stages = models.word_stages("feature", 2.0, cap=CAP)
+    stages = models.word_stages("feature", 2.0)
     model, _ = models.fit_and_predict(train, test, stages, models.linear_svm("label_id", max_iter=STEPS), "label_id")
     return models.top_coefficients(model)
 
@@ -96,7 +96,7 @@ def version_sweep(spark, sf):
     parts = []
     for name, df in subsets.items():
         train, test = train_test(materialize(stratified_split(df, "comment_id", "label_id"), "folds", "fold"))
-        stages = models.word_stages("feature", 2.0, cap=CAP)
+        stages = models.word_stages("feature", 2.0)
         _, predicted = models.fit_and_predict(train, test, stages, models.complement_nb("label_id"), "label_id")
         parts.append(evaluate(predicted, "label_id", "prediction").withColumn("subset", F.lit(name)))
     return union_all(parts)

@@ -192,12 +192,12 @@ def human_and_model_labels(spark, sf):
 @query("terms_in_class_and_overall", "J8", f"""WITH {LABELLED_SQL},
 t AS (SELECT label_id, unnest({st.words(st.clean_aggressive('text'))}) AS token FROM labelled),
 o AS (SELECT token, count(*) AS n_all FROM t GROUP BY 1), c AS (SELECT label_id, token, count(*) AS n_in FROM t GROUP BY 1, 2)
-SELECT c.label_id, c.token, n_in, n_all FROM c JOIN o ON c.token = o.token WHERE n_all >= 50""")
+SELECT c.label_id, c.token, n_in, n_all FROM c JOIN o ON c.token = o.token WHERE n_all >= 5""")
 def terms_in_class_and_overall(spark, sf):
     words = labelled(spark, sf).select("label_id", F.explode(tx.tokens(tx.clean_aggressive("text"))).alias("token"))
     per_class = words.groupBy("label_id", "token").agg(F.count("*").alias("n_in"))
     # Both sides are already one row per term, so no word is hot any more.
-    overall = per_class.groupBy("token").agg(F.sum("n_in").alias("n_all")).filter("n_all >= 50")
+    overall = per_class.groupBy("token").agg(F.sum("n_in").alias("n_all")).filter("n_all >= 5")
     return per_class.join(overall, "token")
 
 
