@@ -11,7 +11,7 @@ from ..functions import labels as lb
 from ..functions.lexicons import LABELS
 from .keyed import explode_rows
 from .metrics import matrix_precision_recall
-from .ranking import even_buckets, exact_rank
+from .ranking import exact_rank, quantile_buckets
 
 _CLASS = "struct<precision:double, recall:double, f1:double, `f1-score`:double, f1_score:double, support:bigint>"
 _BLOCK = {
@@ -137,13 +137,13 @@ def standard_predictions(df: DataFrame) -> DataFrame:
 def standard_features(df: DataFrame, position: str | None = None) -> DataFrame:
     """Top features to one contract.
 
-    Without a rank column the rank is the place within the label along the numeric column
-    ``position``.
+    Without a rank column the rank is the place within the label along the unique numeric
+    column ``position``.
     """
     out = rename_known(df, FEATURE_ALIASES)
     out = with_missing(out, {"label": "string", "feature": "string", "weight": "double"})
     if "rank" not in out.columns:
-        out = exact_rank(out, ["label"], even_buckets(out, position), [F.asc(position)])
+        out = exact_rank(out, ["label"], quantile_buckets(out, position), [F.asc(position)])
     return out.select("label", "feature", "weight", "rank")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .keyed import scalar_of, small_table, top_per_key, union_all
+from .keyed import small_table, top_per_key, union_all
 
 PREFIX = 4  # hex digits, so 65,536 parts per class
 
@@ -205,10 +205,21 @@ def exact_rank(
     )
 
 
-def even_buckets(df: DataFrame, col: str, n: int = 16**PREFIX) -> Column:
-    """At most ``n`` buckets of equal width over a numeric column, rising with it."""
-    lo, hi = scalar_of(df, F.min(col)), scalar_of(df, F.max(col))
-    return F.floor((F.col(col) - lo) * n / (hi - lo + 1))
+def quantile_buckets(df: DataFrame, position: str, side: int = 32) -> Column:
+    """Up to ``side`` squared buckets of nearly equal size over a unique numeric column.
+
+    The bounds are approximate quantiles, so clustered values do not share one bucket; any
+    bounds give exact ranks. A row finds its bucket in two steps of ``side`` comparisons.
+    """
+    n = side * side
+    shares = F.array(*[F.lit(i / n) for i in range(1, n + 1)])
+    found = df.agg(F.percentile_approx(position, shares, 10 * n)).first()[0]
+    if found is None:  # no rows
+        return F.lit(0)
+    bounds, x = F.lit(found), F.col(position)
+    row = F.least(F.size(F.filter(F.lit(found[side - 1 :: side]), lambda b: b < x)), F.lit(side - 1))
+    within = F.size(F.filter(F.slice(bounds, row * side + 1, side), lambda b: b < x))
+    return row * (side + 1) + within
 
 
 def shuffled_rank(

@@ -9,7 +9,7 @@ from ..functions import text as tx
 from ..operators import upsert
 from ..operators.curation import apply_updates
 from ..operators.keyed import union_all
-from ..operators.ranking import even_buckets, exact_rank
+from ..operators.ranking import exact_rank, quantile_buckets
 from . import sqltext as st
 from .registry import query
 from .tables import COMMENTS_SQL, LABELLED_SQL, NAME_SQL, PREDICTIONS_SQL, comments, labelled, predictions, table, text_table
@@ -224,7 +224,7 @@ SELECT c.event_id, c.idx, o.score, o.idx IS NULL AS missing FROM c LEFT JOIN o O
 def candidate_index_join(spark, sf):
     events = table(spark, sf, "events")
     views = events.filter("event_type = 'view'").select("event_id")
-    numbered = exact_rank(views, [], even_buckets(views, "event_id"), [F.asc("event_id")], "idx")
+    numbered = exact_rank(views, [], quantile_buckets(views, "event_id"), [F.asc("event_id")], "idx")
     numbered = numbered.withColumn("idx", F.col("idx") - 1)
     batch = events.filter("event_type = 'click'").groupBy(F.col("user_id").alias("idx")).agg(
         F.max("value").alias("score"), F.lit(True).alias("found"))
