@@ -89,42 +89,42 @@ def running_sums(numbers: Column) -> Column:
     return F.when(F.size(numbers) == 0, F.array().cast("array<bigint>")).otherwise(let(numbers, by_chunk))
 
 
-def spans(text: Column, pattern: str, group: int = 0) -> Column:
-    """All leftmost matches that do not overlap: ``array<struct<start, end, found, part>>``.
+SPAN = "array<struct<start:bigint,end:bigint,found:string,before:string,after:string>>"
+MARK, OTHER = "\x01", "\x02"
 
-    Places are code points, the end is exclusive; ``part`` is the text of ``group``. The texts
-    between the matches come from a split by the same pattern, so places are sums of lengths.
-    The pattern must not match the empty text.
-    """
-    kind = "array<struct<start:bigint,end:bigint,found:string,part:string>>"
-
-    def placed(found: Column) -> Column:
-        between = F.split(text, pattern, -1)
-        parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-
-        def with_starts(gaps: Column) -> Column:
-            steps = F.transform(
-                found,
-                lambda _, i: (F.length(gaps[i]) + F.when(i == 0, 0).otherwise(F.length(found[i - 1]))).cast("long"),
-            )
-
-            def build(starts: Column) -> Column:
-                return let(
-                    parts,
-                    lambda p: F.transform(
-                        found,
-                        lambda m, i: F.struct(
-                            starts[i].alias("start"), (starts[i] + F.length(m)).alias("end"),
-                            m.alias("found"), p[i].alias("part"),
-                        ),
-                    ),
-                )
 
-            return let(running_sums(steps), build)
+def spans(text: Column, pattern: str, before: int = 40, after: int = 20) -> Column:
+    """All leftmost matches that do not overlap, with the characters around them.
 
-        return F.when(F.size(found) == 0, F.array().cast(kind)).otherwise(let(between, with_starts).cast(kind))
-
-    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
+    Places are code points, the end is exclusive. Matches are put between marks and the text is
+    split at those, so that places are sums of lengths and the work grows with the text alone.
+    ``before`` and ``after`` reach to the neighbouring match at most. The pattern must match
+    neither the empty text nor control characters.
+    """
+    clean = F.when(F.contains(text, F.lit(MARK)), F.translate(text, MARK, OTHER)).otherwise(text)
+    marked = F.split(F.regexp_replace(clean, pattern, f"{MARK}$0{MARK}"), MARK, -1)
+
+    def placed(parts: Column) -> Column:
+        def build(ends: Column) -> Column:
+            places = F.sequence(F.lit(1), F.size(parts) - 2, F.lit(2))
+            return F.transform(
+                places,
+                lambda i: F.struct(
+                    ends[i - 1].alias("start"), ends[i].alias("end"), parts[i].alias("found"),
+                    F.right(parts[i - 1], F.lit(before)).alias("before"),
+                    F.left(parts[i + 1], F.lit(after)).alias("after"),
+                ),
+            ).cast(SPAN)
+
+        lengths = F.transform(parts, lambda x: F.length(x).cast("long"))
+        return F.when(F.size(parts) < 3, F.array().cast(SPAN)).otherwise(let(running_sums(lengths), build))
+
+    return let(marked, placed)
+
+
+def of_kind(found: Column, kind: str) -> Column:
+    """Spans as ``struct<kind, start, end>``."""
+    return F.transform(found, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
 
 
 def span_text(found: Column) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination
+from . import decontamination, pii, secrets
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,3 +22,15 @@ def query(run: Query) -> Query:
 @query
 def op1_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontamination.report(documents(spark, sf), documents(spark, sf, "benchmark"))
+
+
+@query
+def op4_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    docs = documents(spark, sf)
+    model = secrets.train(secrets.labelled_samples(docs, documents(spark, sf, "labels")))
+    return secrets.report(docs, model)
+
+
+@query
+def op8_pii(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.report(documents(spark, sf))
