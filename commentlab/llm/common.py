@@ -39,7 +39,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def text_key(text: str = "text") -> Column:
     """With the id, names a row by its content: rows alike in both get the same results."""
-    return F.xxhash64(whole(text), F.col(text).isNull())
+    return F.xxhash64(F.col(text), F.col(text).isNull())
 
 
 def same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
@@ -58,6 +58,16 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """All columns inside one struct ``row``, out of the way of helper columns of any name."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
+
+
+def unpacked(df: DataFrame, *more: str) -> DataFrame:
+    """The columns of ``row`` again, then ``more``."""
+    return df.select("row.*", *more)
+
+
 CHUNK = 256
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from commentlab.operators.keyed import explode_rows
 from commentlab.session import materialize
 
-from .common import ascii_lower, same, text_key, whole
+from .common import ascii_lower, packed, same, text_key, unpacked, whole
 
 PHRASE = 10
 # What stands between words: ASCII other than digits and a-z, once A-Z is in lower case.
@@ -94,8 +94,8 @@ def alignments(index: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
-def matched_texts(docs: DataFrame, benchmark: DataFrame, size: int = PHRASE) -> DataFrame:
-    """Each document row's ``doc_id``, its ``words`` and ``hits``: the exact phrase matches as
+def matched_rows(docs: DataFrame, benchmark: DataFrame, size: int = PHRASE) -> DataFrame:
+    """Each document as ``row``, its number of words, and ``hits``: its exact phrase matches as
     ``array<struct<ids, start, width>>``, where ``start`` is the word position."""
     texts = materialize(phrases_of(benchmark, size), "items")
     terms = materialize(texts.select(F.explode("words").alias("term")).distinct(), "terms")
@@ -103,9 +103,9 @@ def matched_texts(docs: DataFrame, benchmark: DataFrame, size: int = PHRASE) ->
     near = alignments(index, texts).join(texts, "item").groupBy(*DOC).agg(
         F.collect_list(F.struct("ids", "base", "starts", F.col("words").alias("test"), "width")).alias("near")
     )
-    rows = docs.select("doc_id", text_key().alias("text_key"), "text")
+    rows = packed(docs).withColumns({"doc_id": F.col("row.doc_id"), "text_key": text_key("row.text")})
     joined = rows.join(near, same(rows, near, DOC), "left").select(
-        rows["doc_id"], test_words(whole(rows["text"])).alias("words"), near["near"]
+        "row", test_words(whole("row.text")).alias("words"), "near"
     )
 
     def confirmed(a: Column) -> Column:
@@ -122,15 +122,20 @@ def matched_texts(docs: DataFrame, benchmark: DataFrame, size: int = PHRASE) ->
     hits = F.when(F.col("near").isNull(), F.array().cast(kind)).otherwise(
         F.flatten(F.transform("near", confirmed)).cast(kind)
     )
-    return joined.select("doc_id", "words", hits.alias("hits"), F.size("words").cast("long").alias("n_words"))
+    return joined.select("row", F.size("words").cast("long").alias("n_words"), hits.alias("hits"))
 
 
 def phrase_matches(docs: DataFrame, benchmark: DataFrame, size: int = PHRASE) -> DataFrame:
     """Exact phrase matches: ``doc_id, item_id, start, width``, one row per occurrence."""
-    found = matched_texts(docs, benchmark, size).select("doc_id", F.explode("hits").alias("h"))
+    found = matched_rows(docs, benchmark, size).select(F.col("row.doc_id").alias("doc_id"), F.explode("hits").alias("h"))
     return found.select("doc_id", F.explode("h.ids").alias("item_id"), "h.start", "h.width").distinct()
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, size: int = PHRASE) -> DataFrame:
+    """The documents without any exact phrase match, with their own columns."""
+    return unpacked(matched_rows(docs, benchmark, size).filter(F.size("hits") == 0))
+
+
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, reach: int = 20, size: int = PHRASE) -> DataFrame:
     """Looser matches: all terms of a phrase within ``reach`` words of an occurrence of its rarest.
 
@@ -170,14 +175,14 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, reach: int = 20, si
 
 def report(docs: DataFrame, benchmark: DataFrame, size: int = PHRASE) -> DataFrame:
     """Per document row: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``."""
-    found = matched_texts(docs, benchmark, size)
+    found = matched_rows(docs.select("doc_id", "text"), benchmark, size)
     inside = F.array_distinct(
         F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["width"] - 1)))
     )
     ids = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["ids"]))))
     some = F.size("hits") > 0
     return found.select(
-        "doc_id", "n_words",
+        F.col("row.doc_id").alias("doc_id"), "n_words",
         F.when(some, F.size(inside)).otherwise(0).cast("long").alias("n_hit"),
         F.when(some, ids).otherwise(F.array().cast("array<string>")).alias("named"),
     ).select(

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, pii, secrets
+from . import decontamination, mixing, pii, quality, secrets, sharding
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,3 +34,23 @@ def op4_secrets(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op8_pii(spark: SparkSession, sf: str) -> DataFrame:
     return pii.report(documents(spark, sf))
+
+
+@query
+def op5_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    return sharding.report(documents(spark, sf))
+
+
+@query
+def op6_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = documents(spark, sf)
+    return quality.report(docs, quality.fit(docs, quality.trusted_ids(documents(spark, sf, "labels"))))
+
+
+@query
+def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.report(documents(spark, sf))
+
+
+ORACLE_SQL["op5_sharding"] = sharding.ORACLE_SQL
+ORACLE_SQL["op10_mixing"] = mixing.ORACLE_SQL
