@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, mixing, pii, quality, secrets, sharding
+from . import decontamination, mixing, neardup, pii, quality, secrets, sharding
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,3 +54,8 @@ def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
 
 ORACLE_SQL["op5_sharding"] = sharding.ORACLE_SQL
 ORACLE_SQL["op10_mixing"] = mixing.ORACLE_SQL
+
+
+@query
+def op7_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    return neardup.report(documents(spark, sf))

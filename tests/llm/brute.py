@@ -92,3 +92,36 @@ def op8(text):
     kinds = [("email", email), ("ip", ip), ("card", card), ("phone", phone)]
     base = [f"{n}:{s}:{e}" for n, x in kinds for s, e in x]
     return len(email), len(ip), len(card), len(phone), sha(",".join(base)), base
+
+
+def fingerprint(text):
+    import xxhash
+
+    w = re.findall(r"[^\x20\x09-\x0D]+", lower(text))
+    if not w:
+        return 0
+    shingles = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else [" ".join(w)]
+    hashes = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def components(prints, radius=2):
+    """Smallest id reachable, of (id, fingerprint) rows."""
+    distinct = sorted({p for _, p in prints})
+    root = {p: p for p in distinct}
+
+    def top(p):
+        while root[p] != p:
+            p = root[p]
+        return p
+
+    for i, p in enumerate(distinct):
+        for q in distinct[:i]:
+            if (p ^ q).bit_count() <= radius:
+                root[max(top(p), top(q))] = min(top(p), top(q))
+    least = {}
+    for d, p in prints:
+        r = top(p)
+        ids = [x for x in (least.get(r), d) if x is not None]
+        least[r] = min(ids) if ids else None
+    return [least[top(p)] for _, p in prints]
