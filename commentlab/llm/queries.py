@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, mixing, neardup, pii, quality, secrets, sharding
+from . import decontamination, mixing, neardup, pii, quality, secrets, sharding, token_counts, token_files, urls
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,3 +60,18 @@ ORACLE_SQL["op10_mixing"] = mixing.ORACLE_SQL
 @query
 def op7_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.report(documents(spark, sf))
+
+
+@query
+def op2_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return token_counts.report(documents(spark, sf), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op3_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    return token_files.report(documents(spark, sf), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op9_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return urls.report(documents(spark, sf, "pages"))
