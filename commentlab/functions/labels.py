@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicons as lx
+from .text import strip
 
 
 def _col(c: str | Column) -> Column:
@@ -16,7 +17,7 @@ def _col(c: str | Column) -> Column:
 
 def canonical_label(value: str | Column) -> Column:
     """A known spelling becomes its label; anything else is NULL."""
-    key = F.lower(F.trim(_col(value)))
+    key = F.lower(strip(value))
     out = F.lit(None).cast("string")
     for label in lx.LABELS:
         spellings = [k for k, v in lx.LABEL_ALIASES.items() if v == label]
@@ -37,7 +38,7 @@ def label_name(label_id: str | Column, labels: Sequence[str] = lx.LABELS) -> Col
 
 def strict_label(value: str | Column, labels: Sequence[str] = lx.LABELS) -> Column:
     """Upper-first form of the value; the job fails on a word outside the vocabulary."""
-    form = F.initcap(F.trim(_col(value)))
+    form = F.initcap(strip(value))
     return F.when(form.isin(list(labels)), form).otherwise(
         F.raise_error(F.concat(F.lit("unknown label: "), F.coalesce(form, F.lit("NULL"))))
     )
@@ -48,12 +49,24 @@ def tolerant_bool(
     true_words: Sequence[str] = lx.TRUE_WORDS,
     false_words: Sequence[str] = lx.FALSE_WORDS,
 ) -> Column:
-    v = F.lower(F.trim(_col(value).cast("string")))
+    v = F.lower(strip(_col(value).cast("string")))
     return F.when(v.isin(list(true_words)), True).when(v.isin(list(false_words)), False)
 
 
 def safe_int(value: str | Column, default: int = 0) -> Column:
-    return F.coalesce(F.trim(_col(value).cast("string")).try_cast("int"), F.lit(default))
+    """A text of a whole number, or a number without its fraction, as bigint; else ``default``."""
+    text = strip(_col(value).cast("string"))
+    whole = F.when(text.rlike(r"^[+-]?[0-9]+\z"), text.try_cast("bigint"))
+    return F.coalesce(whole, F.lit(default).cast("bigint"))
+
+
+def safe_int_of(value: str | Column, default: int = 0) -> Column:
+    """``safe_int`` of a VARIANT: numbers lose their fraction, texts must be whole numbers."""
+    v = _col(value)
+    text, number = F.try_variant_get(v, "$", "string"), F.try_variant_get(v, "$", "double")
+    is_text = F.schema_of_variant(v) == "STRING"
+    whole = F.coalesce(F.try_variant_get(v, "$", "bigint"), number.try_cast("bigint"))
+    return F.when(is_text, safe_int(text, default)).otherwise(F.coalesce(whole, F.lit(default).cast("bigint")))
 
 
 def sortable_confidence(value: str | Column) -> Column:
@@ -100,7 +113,7 @@ def agreement_band(kappa: str | Column) -> Column:
     """Landis-Koch words for a kappa value."""
     k = _col(kappa)
     return (
-        F.when(k < 0.0, "poor")
+        F.when(k < 0.0, "poor (lebih buruk dari acak)")
         .when(k < 0.2, "slight")
         .when(k < 0.4, "fair")
         .when(k < 0.6, "moderate")

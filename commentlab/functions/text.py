@@ -52,6 +52,17 @@ def squeeze(text: str | Column) -> Column:
     return F.trim(F.regexp_replace(_text(text), run, " "))
 
 
+def strip(text: str | Column) -> Column:
+    """The text without white space of any kind at its ends; null stays null."""
+    col = F.col(text) if isinstance(text, str) else text
+    return F.regexp_replace(col, rf"^[{SPACE}]+|[{SPACE}]+\z", "")
+
+
+def is_blank(text: str | Column) -> Column:
+    """Whether a text has nothing but white space; true for null."""
+    return ~_text(text).rlike(f"[^{SPACE}]")
+
+
 def strip_urls(text: str | Column) -> Column:
     t = _text(text)
     return F.regexp_replace(t, f"(?i){URL}", " ")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as lb
 from ..functions import text as tx
 from ..functions.lexicons import LABELS
-from .keyed import first_per_key, top_per_key
+from .keyed import first_per_key, one_per_key, top_per_key
 
 ANNOTATION_TASK = (
     "data struct<comment_id:string, video_id:string, text:string>, "
@@ -66,12 +66,15 @@ def parse_annotations(
 
 
 def apply_updates(
-    df: DataFrame, updates: DataFrame, key: str, columns: Sequence[str], flag: str | None = None
+    df: DataFrame, updates: DataFrame, key: str, columns: Sequence[str], flag: str | None = None,
+    order: Sequence[Column] = (),
 ) -> DataFrame:
     """Rows whose key has an update take the given columns from it; ``flag`` marks them.
 
-    ``updates`` has one row per key. A presence mark, not a NULL test, decides.
+    Of several updates of one key the first in ``order`` counts; without an order a repeated
+    key fails the job. A presence mark, not a NULL test, decides.
     """
+    updates = one_per_key(updates, key, order)
     new = updates.select(key, *[F.col(c).alias(f"_new_{c}") for c in columns], F.lit(True).alias("_hit"))
     hit = F.col("_hit").isNotNull()
     out = df.join(new, key, "left")

@@ -9,24 +9,29 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as lb
 from ..functions.lexicons import JOB_STATUSES
+from ..functions.text import is_blank
 from .keyed import explode_rows, first_per_key, scalar_of, top_per_key
 
-# Fields of a comment item; numbers may arrive as text.
+# Fields of a comment item; numbers may arrive as text, so counts keep their JSON type.
 ITEM = (
-    "struct<etag:string, snippet:struct<totalReplyCount:string, topLevelComment:struct<id:string, "
+    "struct<etag:string, snippet:struct<totalReplyCount:variant, topLevelComment:struct<id:string, "
     "snippet:struct<textDisplay:string, textOriginal:string, authorDisplayName:string, "
     "authorProfileImageUrl:string, authorChannelUrl:string, authorChannelId:struct<value:string>, "
-    "likeCount:string, publishedAt:string, updatedAt:string, videoOwnerChannelId:string, "
-    "canRate:boolean, viewerRating:string>>>>"
+    "likeCount:variant, publishedAt:string, updatedAt:string, videoOwnerChannelId:string, "
+    "canRate:variant, viewerRating:string>>>>"
 )
-PAGE = f"items array<{ITEM}>"
+# Items are kept whole, with the fields that no column is made of.
+PAGE = "items array<variant>"
 
 
 def flatten_pages(pages: DataFrame, items: str, fetched_at: str | Column, keep: Sequence[str] = ()) -> DataFrame:
-    """One row per item. Missing ids and texts become '', counts 0, all else NULL."""
+    """One row per item. Missing ids and texts become '', counts 0, all else NULL.
+
+    ``raw_json`` has all of the item, also the fields without a column.
+    """
     at = F.lit(fetched_at) if isinstance(fetched_at, str) else fetched_at
     page = ["video_id", "source_url", "source_title", at.alias("fetched_at"), *keep]
-    rows = explode_rows(pages, page, items, "_item", "pos")
+    rows = explode_rows(pages, page, items, "_raw", "pos").withColumn("_item", F.try_variant_get("_raw", "$", ITEM))
     thread = F.col("_item.snippet")
     top = thread["topLevelComment"]
     s = top["snippet"]
@@ -39,18 +44,18 @@ def flatten_pages(pages: DataFrame, items: str, fetched_at: str | Column, keep:
         s["authorProfileImageUrl"].alias("author_profile_image"),
         s["authorChannelUrl"].alias("author_channel_url"),
         s["authorChannelId"]["value"].alias("author_channel_id"),
-        lb.safe_int(s["likeCount"]).alias("like_count"),
-        lb.safe_int(thread["totalReplyCount"]).alias("total_reply_count"),
+        lb.safe_int_of(s["likeCount"]).alias("like_count"),
+        lb.safe_int_of(thread["totalReplyCount"]).alias("total_reply_count"),
         s["publishedAt"].alias("published_at"),
         s["updatedAt"].alias("updated_at"),
         "source_url",
         "source_title",
         s["videoOwnerChannelId"].alias("video_owner_channel_id"),
-        s["canRate"].alias("can_rate"),
+        F.try_variant_get(s["canRate"], "$", "boolean").alias("can_rate"),
         s["viewerRating"].alias("viewer_rating"),
         F.col("_item.etag").alias("etag"),
         "fetched_at",
-        F.to_json("_item").alias("raw_json"),
+        F.to_json("_raw").alias("raw_json"),
         *keep,
         "pos",
     )
@@ -58,7 +63,7 @@ def flatten_pages(pages: DataFrame, items: str, fetched_at: str | Column, keep:
 
 def keep_arrivals(df: DataFrame, video: str, text: str, order: Sequence[Column], n: int) -> DataFrame:
     """Rows with text, at most ``n`` per video in order of arrival."""
-    return top_per_key(df.filter(F.trim(text) != ""), [video], order, n)
+    return top_per_key(df.filter(~is_blank(text)), [video], order, n)
 
 
 def split_links(df: DataFrame, url: str, position: str, patterns: Sequence[str], id_pattern: str) -> DataFrame:

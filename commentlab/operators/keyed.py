@@ -21,6 +21,19 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
     return top_per_key(df, keys, order, 1)
 
 
+def one_per_key(df: DataFrame, key: str, order: Sequence[Column] = ()) -> DataFrame:
+    """At most one row per key: the first in the given order, or, without one, the only row.
+
+    Without an order a key that occurs twice fails the job. Only a second row per key and task
+    is kept for that test, so a hot key stays small.
+    """
+    if order:
+        return first_per_key(df, [key], order)
+    ranked = top_per_key(df, [key], [F.asc(key)], 2, "_rank")
+    repeated = F.raise_error(F.concat(F.lit(f"repeated {key}: "), F.coalesce(F.col(key).cast("string"), F.lit("NULL"))))
+    return ranked.filter(F.when(F.col("_rank") == 1, True).otherwise(repeated.cast("boolean"))).drop("_rank")
+
+
 def top_per_key(
     df: DataFrame,
     keys: Sequence[str],

@@ -7,17 +7,26 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .keyed import first_per_key, union_all
+from .keyed import first_per_key, one_per_key, union_all
 
 
-def replace_rows(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """New rows replace old ones of the same key whole; fields they lack are gone."""
+def replace_rows(old: DataFrame, new: DataFrame, key: str, order: Sequence[Column] = ()) -> DataFrame:
+    """New rows replace old ones of the same key whole; fields they lack are gone.
+
+    Of several new rows with one key the first in ``order`` counts; without an order a repeated
+    key fails the job.
+    """
+    new = one_per_key(new, key, order)
     kept = old.join(new.select(key), key, "left_anti")
     return kept.unionByName(new, allowMissingColumns=True)
 
 
-def set_fields(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Named fields of matching rows change, also to NULL; unknown keys are added."""
+def set_fields(old: DataFrame, new: DataFrame, key: str, order: Sequence[Column] = ()) -> DataFrame:
+    """Named fields of matching rows change, also to NULL; unknown keys are added.
+
+    Repeated keys among the new rows as in ``replace_rows``.
+    """
+    new = one_per_key(new, key, order)
     fields = [c for c in new.columns if c != key]
     staged = new.select(key, *[F.col(c).alias(f"_new_{c}") for c in fields], F.lit(True).alias("_hit"))
     out = old.join(staged, key, "full_outer")
@@ -43,6 +52,14 @@ def insert_new(old: DataFrame, new: DataFrame, key: str, order: Sequence[Column]
     return first_per_key(new, [key], order).join(old.select(key), key, "left_anti")
 
 
+def insert_report(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """How many of the new rows are inserted and how many skipped as known or repeated."""
+    per_key = new.groupBy(key).agg(F.count("*").alias("_rows"))
+    marked = per_key.join(old.select(key, F.lit(True).alias("_known")), key, "left")
+    given, inserted = F.coalesce(F.sum("_rows"), F.lit(0)), F.count_if(F.col("_known").isNull())
+    return marked.agg(given.alias("n_given"), inserted.alias("n_inserted"), (given - inserted).alias("n_skipped"))
+
+
 def missing_rows(source: DataFrame, derived: DataFrame, key: str) -> DataFrame:
     """Source rows the derived table does not have yet."""
     return source.join(derived.select(key), key, "left_anti")
@@ -54,6 +71,16 @@ def set_membership(members: DataFrame, subset: str, ids: DataFrame, key: str) ->
     return members.filter(F.col("subset") != subset).select("subset", key).unionByName(listed)
 
 
+def membership_report(members: DataFrame, subset: str, ids: DataFrame, key: str) -> DataFrame:
+    """How many members a replaced subset loses, has set, and keeps among those."""
+    old = members.filter(F.col("subset") == subset).select(key).distinct().withColumn("_old", F.lit(True))
+    both = old.join(ids.select(key).distinct().withColumn("_new", F.lit(True)), key, "full_outer")
+    was, now = F.col("_old").isNotNull(), F.col("_new").isNotNull()
+    return both.agg(
+        F.count_if(was & ~now).alias("n_cleared"), F.count_if(now).alias("n_set"), F.count_if(was & now).alias("n_kept")
+    )
+
+
 def delete_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return df.join(keys.select(key), key, "left_anti")
 
@@ -79,3 +106,9 @@ def set_difference(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     b = new.select(key).distinct().withColumn("_b", F.lit(1))
     side = F.when(F.col("_b").isNull(), "out").when(F.col("_a").isNull(), "in")
     return a.join(b, key, "full_outer").select(key, side.alias("side")).filter("side IS NOT NULL")
+
+
+def difference_report(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """How many keys come in and how many go out."""
+    changes = set_difference(old, new, key)
+    return changes.agg(F.count_if(F.col("side") == "in").alias("n_in"), F.count_if(F.col("side") == "out").alias("n_out"))

@@ -172,7 +172,7 @@ m AS (SELECT (SELECT coalesce(sum(n), 0) FROM c WHERE a = b) / t.n AS po,
   (SELECT coalesce(sum(ra.n / t.n * rb.n / t.n), 0) FROM ra JOIN rb ON ra.k = rb.k) AS pe, t.n FROM t),
 k AS (SELECT CAST(n AS BIGINT) AS n, round(po, 6) AS agreement,
   CASE WHEN pe < 1 THEN round((po - pe) / (1 - pe), 6) END AS kappa FROM m)
-SELECT n, agreement, kappa, CASE WHEN kappa < 0 THEN 'poor' WHEN kappa < 0.2 THEN 'slight' WHEN kappa < 0.4 THEN 'fair'
+SELECT n, agreement, kappa, CASE WHEN kappa < 0 THEN 'poor (lebih buruk dari acak)' WHEN kappa < 0.2 THEN 'slight' WHEN kappa < 0.4 THEN 'fair'
   WHEN kappa < 0.6 THEN 'moderate' WHEN kappa < 0.8 THEN 'substantial' WHEN kappa IS NOT NULL THEN 'almost perfect' END AS band FROM k"""
 
 
@@ -190,7 +190,7 @@ def class_agreement(spark, sf):
     return curation.class_agreement(labelled(spark, sf), "human_id", "label_id", label_dim(spark), 1411)
 
 
-@query("agreement_bands", "L12", """SELECT l_orderkey, l_linenumber, CASE WHEN k < 0 THEN 'poor' WHEN k < 0.2 THEN 'slight'
+@query("agreement_bands", "L12", """SELECT l_orderkey, l_linenumber, CASE WHEN k < 0 THEN 'poor (lebih buruk dari acak)' WHEN k < 0.2 THEN 'slight'
   WHEN k < 0.4 THEN 'fair' WHEN k < 0.6 THEN 'moderate' WHEN k < 0.8 THEN 'substantial' ELSE 'almost perfect' END AS band
 FROM (SELECT *, l_quantity / 40 - 0.25e0 AS k FROM lineitem)""")
 def agreement_bands(spark, sf):
@@ -276,6 +276,74 @@ def update_existing(spark, sf):
     return curation.apply_updates(old_table(spark, sf), fresh_rows(spark, sf), "comment_id", ["lang"])
 
 
+# Updates of customers by the event stream, where a user comes many times: the last one counts.
+EVENT_SQL = """latest AS (SELECT user_id, arg_max(event_type, event_id) AS kind FROM events GROUP BY 1),
+held AS (SELECT c_custkey AS user_id, c_mktsegment AS kind, c_acctbal FROM customer WHERE c_custkey % 2 = 0)"""
+
+
+def held_rows(spark, sf):
+    return table(spark, sf, "customer").filter("c_custkey % 2 = 0").select(
+        F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("kind"), "c_acctbal")
+
+
+def event_updates(spark, sf):
+    return table(spark, sf, "events").select("user_id", F.col("event_type").alias("kind"), "event_id")
+
+
+@query("upsert_repeated_keys", "K5", f"""WITH {EVENT_SQL}
+SELECT user_id, kind, c_acctbal FROM held WHERE user_id NOT IN (SELECT user_id FROM latest)
+UNION ALL SELECT user_id, kind, NULL FROM latest""")
+def upsert_repeated_keys(spark, sf):
+    new = event_updates(spark, sf)
+    return upsert.replace_rows(held_rows(spark, sf), new, "user_id", [F.desc("event_id")]).drop("event_id")
+
+
+@query("set_fields_repeated_keys", "K6", f"""WITH {EVENT_SQL}
+SELECT coalesce(h.user_id, l.user_id) AS user_id, coalesce(l.kind, h.kind) AS kind, c_acctbal
+FROM held h FULL JOIN latest l ON h.user_id = l.user_id""")
+def set_fields_repeated_keys(spark, sf):
+    new = event_updates(spark, sf)
+    return upsert.set_fields(held_rows(spark, sf), new, "user_id", [F.desc("event_id")]).drop("event_id")
+
+
+@query("update_repeated_keys", "K7 J10", f"""WITH {EVENT_SQL}
+SELECT h.user_id, coalesce(l.kind, h.kind) AS kind, c_acctbal, l.user_id IS NOT NULL AS verified
+FROM held h LEFT JOIN latest l ON h.user_id = l.user_id""")
+def update_repeated_keys(spark, sf):
+    return curation.apply_updates(
+        held_rows(spark, sf), event_updates(spark, sf), "user_id", ["kind"], "verified", [F.desc("event_id")])
+
+
+@query("insert_counts", "K8", """WITH n AS (SELECT DISTINCT user_id FROM events),
+o AS (SELECT c_custkey FROM customer WHERE c_acctbal > 0)
+SELECT (SELECT count(*) FROM events) AS n_given, count(*) FILTER (user_id NOT IN (SELECT c_custkey FROM o)) AS n_inserted,
+  (SELECT count(*) FROM events) - count(*) FILTER (user_id NOT IN (SELECT c_custkey FROM o)) AS n_skipped FROM n""")
+def insert_counts(spark, sf):
+    old = table(spark, sf, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("user_id"))
+    return upsert.insert_report(old, table(spark, sf, "events").select("user_id"), "user_id")
+
+
+@query("membership_counts", "K10", """WITH e AS (SELECT doc_id FROM documents WHERE lang = 'en'),
+n AS (SELECT doc_id FROM documents WHERE n_chars > 1000)
+SELECT count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM n)) AS n_cleared,
+  (SELECT count(*) FROM n) AS n_set, count(*) FILTER (doc_id IN (SELECT doc_id FROM n)) AS n_kept FROM e""")
+def membership_counts(spark, sf):
+    docs = table(spark, sf, "documents")
+    i = F.col("doc_id").alias("comment_id")
+    members = docs.filter("lang = 'en'").select(F.lit("english").alias("subset"), i)
+    return upsert.membership_report(members, "english", docs.filter("n_chars > 1000").select(i), "comment_id")
+
+
+@query("subset_change_counts", "U3", """WITH e AS (SELECT doc_id FROM documents WHERE lang = 'en'),
+n AS (SELECT doc_id FROM documents WHERE n_chars > 1000)
+SELECT (SELECT count(*) FROM n WHERE doc_id NOT IN (SELECT doc_id FROM e)) AS n_in,
+  (SELECT count(*) FROM e WHERE doc_id NOT IN (SELECT doc_id FROM n)) AS n_out""")
+def subset_change_counts(spark, sf):
+    docs = table(spark, sf, "documents")
+    return upsert.difference_report(
+        docs.filter("lang = 'en'").select("doc_id"), docs.filter("n_chars > 1000").select("doc_id"), "doc_id")
+
+
 @query("update_report", "K7 U4", f"""WITH {OLD_SQL}
 SELECT count(*) AS n_labels, count(o.comment_id) AS n_matched, count(*) - count(o.comment_id) AS n_unmatched
 FROM fresh f LEFT JOIN old o ON f.comment_id = o.comment_id""")

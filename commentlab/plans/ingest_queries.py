@@ -37,18 +37,22 @@ def split_links(spark, sf):
 
 
 def answer_pages(spark, sf):
-    """One answer per conversation turn, as JSON: a full item and an empty one."""
+    """One answer per conversation turn, as JSON: a full item and an empty one.
+
+    The item has fields without a column, a count with a fraction and one beyond 32 bits.
+    """
     t = table(spark, sf, "conversations")
     snippet = F.struct(
         F.col("text").alias("textDisplay"), F.upper("role").alias("textOriginal"),
         F.col("role").alias("authorDisplayName"),
         F.when(F.col("role") == "user", F.struct(F.concat(F.lit("ch"), F.col("conv_id")).alias("value"))).alias("authorChannelId"),
         F.when(F.col("role") == "user", F.col("turn").cast("string")).otherwise("4.2").alias("likeCount"),
+        F.lit(True).alias("isPublic"),
         F.lit("2024-01-01T00:00:00Z").alias("publishedAt"), F.lit(True).alias("canRate"))
     top = F.struct(F.concat_ws("-", "conv_id", "turn").alias("id"), snippet.alias("snippet"))
     item = F.struct(
-        F.lit("e1").alias("etag"),
-        F.struct((F.col("turn") * 2).cast("string").alias("totalReplyCount"), top.alias("topLevelComment")).alias("snippet"))
+        F.lit("e1").alias("etag"), F.concat(F.lit("kind-"), F.col("role")).alias("kind"),
+        F.struct((F.col("turn") * 2 + 3_000_000_000.5).alias("totalReplyCount"), top.alias("topLevelComment")).alias("snippet"))
     body = F.concat(F.lit('{"items":['), F.to_json(item), F.lit(',{"etag":"e2"}]}'))
     return t.select(
         F.concat(F.lit("v"), F.col("conv_id")).alias("video_id"), F.lit("u").alias("source_url"),
@@ -58,21 +62,25 @@ def answer_pages(spark, sf):
 @query("flatten_answers", "I1 I2", """WITH b AS (SELECT 'v' || conv_id AS video_id, conv_id || '-' || turn AS cid, * FROM conversations)
 SELECT cid AS comment_id, video_id, md5(text) AS text_md5, upper(role) AS text_original, role AS author_display_name,
   CASE WHEN role = 'user' THEN 'ch' || conv_id END AS author_channel_id,
-  CAST(CASE WHEN role = 'user' THEN turn ELSE 0 END AS INTEGER) AS like_count, CAST(turn * 2 AS INTEGER) AS total_reply_count,
-  '2024-01-01T00:00:00Z' AS published_at, CAST(NULL AS VARCHAR) AS updated_at, TRUE AS can_rate, 'e1' AS etag FROM b
-UNION ALL SELECT '', video_id, md5(''), '', NULL, NULL, 0, 0, NULL, NULL, NULL, 'e2' FROM b""")
+  CAST(CASE WHEN role = 'user' THEN turn ELSE 0 END AS BIGINT) AS like_count, CAST(turn * 2 + 3000000000 AS BIGINT) AS total_reply_count,
+  '2024-01-01T00:00:00Z' AS published_at, CAST(NULL AS VARCHAR) AS updated_at, TRUE AS can_rate, 'e1' AS etag, 'kind-' || role AS raw_kind, 'true' AS raw_public FROM b
+UNION ALL SELECT '', video_id, md5(''), '', NULL, NULL, 0, 0, NULL, NULL, NULL, 'e2', NULL, NULL FROM b""")
 def flatten_answers(spark, sf):
     pages = answer_pages(spark, sf).withColumn("page", F.from_json("body", ingest.PAGE))
     flat = ingest.flatten_pages(pages, "page.items", "2024-01-01T00:00:00")
     return flat.select(
         "comment_id", "video_id", F.md5("text").alias("text_md5"), "text_original", "author_display_name",
-        "author_channel_id", "like_count", "total_reply_count", "published_at", "updated_at", "can_rate", "etag")
+        "author_channel_id", "like_count", "total_reply_count", "published_at", "updated_at", "can_rate", "etag",
+        F.get_json_object("raw_json", "$.kind").alias("raw_kind"),
+        F.get_json_object("raw_json", "$.snippet.topLevelComment.snippet.isPublic").alias("raw_public"))
 
 
 @query("keep_arrivals", "I3", """SELECT video_id, comment_id FROM (SELECT source AS video_id, doc_id AS comment_id,
-  row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents WHERE trim(text) <> '') WHERE r <= 25""")
+  row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents WHERE doc_id % 7 <> 0 AND trim(text) <> '') WHERE r <= 25""")
 def keep_arrivals(spark, sf):
-    df = table(spark, sf, "documents").select(F.col("source").alias("video_id"), F.col("doc_id").alias("comment_id"), "text")
+    """Some texts are nothing but white space and take up no place."""
+    text = F.when(F.col("doc_id") % 7 == 0, " \t\n\u00a0").otherwise(F.col("text")).alias("text")
+    df = table(spark, sf, "documents").select(F.col("source").alias("video_id"), F.col("doc_id").alias("comment_id"), text)
     return ingest.keep_arrivals(df, "video_id", "text", [F.asc("comment_id")], 25).drop("text")
 
 

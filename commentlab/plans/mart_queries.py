@@ -189,8 +189,8 @@ def label_csv_round_trip(spark, sf):
     lang = F.col("lang")
     master = labelled(spark, sf).select(
         F.col("comment_id").cast("string").alias("comment_id"),
-        F.when(lang == "es", "Entah").otherwise(lb.label_name("label_id")).alias("label"),
-        F.when(lang == "en", " llm ").otherwise("  ").alias("annotator"),
+        F.when(lang == "es", "Entah").otherwise(F.concat(F.lit("\t"), lb.label_name("label_id"), F.lit("\u00a0\n"))).alias("label"),
+        F.when(lang == "en", "\tllm ").otherwise("  ").alias("annotator"),
         F.when(lang == "fr", "high").otherwise(F.col("confidence").cast("string")).alias("confidence"),
         F.when(lang == "de", 'line one\nsaid "two"').alias("notes"))
     path = new_path(spark, "labels-csv")
@@ -216,7 +216,7 @@ def required_fields(spark, sf):
 def relabel_batches(spark, sf):
     """JSON lines in file order, where a later line for an index replaces an earlier one."""
     kind = F.col("event_type")
-    word = F.when(kind == "view", "negatif").when(kind == "click", " NETRAL").otherwise("positif")
+    word = F.when(kind == "view", "negatif").when(kind == "click", "\tNETRAL\u00a0").otherwise("positif")
     lines = table(spark, sf, "events").select(
         "event_id", F.col("user_id").alias("idx"), word.alias("label"),
         F.when(kind == "click", F.lit(-1.0)).otherwise(F.col("value")).alias("confidence"))

@@ -356,12 +356,12 @@ def tolerant_booleans(spark, sf):
 @query("sortable_confidence", "T27 I2", """SELECT event_id,
   coalesce(TRY_CAST(CASE WHEN event_type = 'error' THEN 'n/a' WHEN event_type = 'view' THEN NULL
                     ELSE CAST(value AS VARCHAR) END AS DOUBLE), -1.0) AS confidence,
-  coalesce(TRY_CAST(CASE WHEN event_type = 'error' THEN 'x' ELSE CAST(user_id AS VARCHAR) END AS INTEGER), 0) AS safe
+  coalesce(TRY_CAST(CASE WHEN event_type = 'error' THEN 'x' ELSE CAST(user_id * 1000000 AS VARCHAR) || chr(10) END AS BIGINT), 0) AS safe
 FROM events""")
 def sortable_confidence(spark, sf):
     kind = F.col("event_type")
     raw = F.when(kind == "error", "n/a").when(kind != "view", F.col("value").cast("string"))
-    count = F.when(kind == "error", "x").otherwise(F.col("user_id").cast("string"))
+    count = F.when(kind == "error", "x").otherwise(F.concat((F.col("user_id") * 1_000_000).cast("string"), F.lit("\n")))
     return table(spark, sf, "events").select(
         "event_id", lb.sortable_confidence(raw).alias("confidence"), lb.safe_int(count).alias("safe"))
 

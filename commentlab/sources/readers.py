@@ -10,6 +10,7 @@ from pyspark.sql.types import StructType
 
 from ..functions import labels as lb
 from ..functions.lexicons import LABELS
+from ..functions.text import is_blank, strip
 from ..operators.curation import ANNOTATION_TASK
 from ..operators.ingest import PAGE
 from ..operators.keyed import first_per_key
@@ -48,11 +49,11 @@ def require_columns(df: DataFrame, names: Iterable[str]) -> DataFrame:
 def valid_labels(df: DataFrame) -> DataFrame:
     """Rows with an id and a known label; blank notes and bad confidences become NULL."""
     def blank_to_null(c: str):
-        return F.nullif(F.trim(c), F.lit("")).alias(c)
+        return F.nullif(strip(c), F.lit("")).alias(c)
 
-    return df.filter((F.trim("comment_id") != "") & F.trim("label").isin(list(LABELS))).select(
-        F.trim("comment_id").alias("comment_id"),
-        F.trim("label").alias("label"),
+    return df.filter(~is_blank("comment_id") & strip("label").isin(list(LABELS))).select(
+        strip("comment_id").alias("comment_id"),
+        strip("label").alias("label"),
         blank_to_null("annotator"),
         F.col("confidence").cast("string").try_cast("double").alias("confidence"),
         blank_to_null("notes"),
@@ -77,15 +78,20 @@ def read_batches(spark: SparkSession, path: str) -> DataFrame:
     """Re-label results from JSON lines; of a repeated ``idx`` the last one counts.
 
     Order is file name, then place in the file: the start of the split, then the row within
-    it. Labels are put in canonical form and an unknown one fails the job.
+    it. Labels are put in canonical form. An unknown label, a broken line or one without ``idx``
+    fails the job; blank lines are skipped.
     """
-    lines = spark.read.text(path).select(
+    texts = spark.read.text(path).filter(~is_blank("value"))
+    lines = texts.select(
+        "value",
         F.from_json("value", "idx bigint, label string, confidence double").alias("o"),
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_line"),
     )
-    rows = lines.filter(F.col("o.idx").isNotNull()).select("o.*", "_file", "_block", "_line")
+    broken = F.raise_error(F.concat(F.lit("no idx in line: "), F.left("value", F.lit(200))))
+    idx = F.when(F.col("o.idx").isNotNull(), F.col("o.idx")).otherwise(broken.cast("bigint"))
+    rows = lines.select(idx.alias("idx"), "o.label", "o.confidence", "_file", "_block", "_line")
     last = first_per_key(rows, ["idx"], [F.desc("_file"), F.desc("_block"), F.desc("_line")])
     return last.select(
         "idx",

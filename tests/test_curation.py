@@ -186,14 +186,14 @@ def test_links(spark):
 
 def test_flatten_item_without_snippet(spark):
     pages = [json.dumps({"items": [{"etag": "e"}, {"snippet": {"totalReplyCount": 3, "topLevelComment": {"id": "c", "snippet": {
-        "textDisplay": "x", "likeCount": like}}}}]}) for like in ("12", None, "x", "4.2", 5)]
+        "textDisplay": "x", "likeCount": like}}}}]}) for like in ("12", None, "x", "4.2", 5, 4.9, "3000000000", " 8\n")]
     df = spark.createDataFrame([(p,) for p in pages], "j string").select(
         F.lit("v").alias("video_id"), F.lit("u").alias("source_url"), F.lit(None).cast("string").alias("source_title"),
         F.from_json("j", ingest.PAGE).alias("p"))
     rows = ingest.flatten_pages(df, "p.items", "now").collect()
-    assert sorted(r["like_count"] for r in rows if r["comment_id"] == "c") == [0, 0, 0, 5, 12]
+    assert sorted(r["like_count"] for r in rows if r["comment_id"] == "c") == [0, 0, 0, 4, 5, 8, 12, 3000000000]
     empty = [r for r in rows if r["comment_id"] == ""]
-    assert len(empty) == 5 and empty[0]["text"] == "" and empty[0]["author_display_name"] is None
+    assert len(empty) == 8 and empty[0]["text"] == "" and empty[0]["author_display_name"] is None
     assert {r["total_reply_count"] for r in rows} == {0, 3}
 
 
@@ -241,3 +241,22 @@ def test_report_row(spark, sf):
     assert json.loads(row["quality"])["n_total"] == row["n_total"]
     assert json.loads(row["leakage"])["id_overlap"] == 0
     assert len(json.loads(row["top_terms"])) == 12
+
+
+def test_repeated_update_keys(spark):
+    old = spark.createDataFrame([(1, "a"), (2, "b")], "id int, x string")
+    new = spark.createDataFrame([(2, "c", 1), (2, "d", 2), (3, "e", 1)], "id int, x string, at int")
+    last = [F.desc("at")]
+    for table in (upsert.replace_rows(old, new, "id", last), upsert.set_fields(old, new, "id", last)):
+        assert {r["id"]: r["x"] for r in table.collect()} == {1: "a", 2: "d", 3: "e"}
+    assert {r["id"]: r["x"] for r in curation.apply_updates(old, new, "id", ["x"], order=last).collect()} == {1: "a", 2: "d"}
+    for change in (upsert.replace_rows, upsert.set_fields, lambda o, n, k: curation.apply_updates(o, n, k, ["x"])):
+        with pytest.raises(Exception, match="repeated id: 2"):
+            change(old, new, "id").collect()
+
+
+def test_raw_json_keeps_unknown_fields(spark):
+    item = {"kind": "k", "id": "i", "etag": "e", "snippet": {"isPublic": True, "topLevelComment": {"id": "c", "snippet": {"textDisplay": "x", "new": [1]}}}}
+    page = spark.createDataFrame([("v", "u", "t", json.dumps({"items": [item]}))], "video_id string, source_url string, source_title string, b string")
+    rows = ingest.flatten_pages(page.withColumn("p", F.from_json("b", ingest.PAGE)), "p.items", "now").collect()
+    assert json.loads(rows[0]["raw_json"]) == item and rows[0]["comment_id"] == "c"

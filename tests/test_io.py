@@ -232,3 +232,11 @@ def test_stream_counts_equal_batch(spark, tmp_path):
     jobs.write_updates(jobs.running_counts(stream, "k"), target, str(tmp_path / "cp")).awaitTermination()
     got = {r["k"]: r["n"] for r in jobs.latest_counts(spark, target, "k").collect()}
     assert got == {r["k"]: r["count"] for r in spark.read.parquet(source).groupBy("k").count().collect()}
+
+
+def test_broken_batch_lines_fail(spark, tmp_path):
+    for i, line in enumerate(('{"idx":', '{"label":"positif"}', "nonsense")):
+        path = tmp_path / f"b{i}.jsonl"
+        path.write_text('{"idx":1,"label":"\\tpositif\\n"}\n \t \n' + line + "\n")
+        with pytest.raises(Exception, match="no idx in line"):
+            readers.read_batches(spark, str(path)).collect()

@@ -176,7 +176,7 @@ def test_response_class(spark):
 def test_agreement_band(spark):
     rows = [-0.1, 0.0, 0.19, 0.2, 0.4, 0.6, 0.8, 1.0]
     assert run(spark, rows, lb.agreement_band("t"), "double") == [
-        "poor", "slight", "slight", "fair", "moderate", "substantial", "almost perfect", "almost perfect"]
+        "poor (lebih buruk dari acak)", "slight", "slight", "fair", "moderate", "substantial", "almost perfect", "almost perfect"]
 
 
 @settings(max_examples=5, deadline=None)
@@ -198,3 +198,11 @@ def test_cleaning_against_plain_python(spark, rows):
     assert run(spark, rows, tx.clean_aggressive("t")) == [aggressive(r) for r in rows]
     assert run(spark, rows, tx.clean_minimal("t")) == [minimal(r) for r in rows]
     assert run(spark, rows, tx.word_count("t")) == [len(r.split()) for r in rows]
+
+
+def test_white_space_at_the_ends(spark):
+    spaced = ["Positif\n", "\tneg ", " Netral　", None, " x y "]
+    assert run(spark, spaced, lb.canonical_label("t")) == ["Positif", "Negatif", "Netral", None, None]
+    assert run(spark, spaced, tx.strip("t")) == ["Positif", "neg", "Netral", None, "x y"]
+    assert run(spark, ["\t\n", " ", "", None, " a"], tx.is_blank("t")) == [True, True, True, True, False]
+    assert run(spark, ["3000000000", "7\n", "4.0", "1e3"], lb.safe_int("t")) == [3000000000, 7, 0, 0]
