@@ -153,14 +153,13 @@ def mark_provenance(df: DataFrame, manual: DataFrame, key: str, label: str) -> D
 
 def match_tasks(labels: DataFrame, tasks: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """State of each label: to push, already done, or without a task."""
-    known = tasks.select(key, "task_id")
+    # The done marks join the tasks, not the labels: labels without a task have no key to join by.
     finished = done.select("task_id", F.lit(True).alias("_done")).distinct()
+    known = tasks.select(key, "task_id").join(finished, "task_id", "left")
     state = (
         F.when(F.col("task_id").isNull(), "missing").when(F.col("_done"), "skipped").otherwise("push")
     )
-    return labels.join(known, key, "left").join(finished, "task_id", "left").withColumn(
-        "state", state
-    ).drop("_done")
+    return labels.join(known, key, "left").withColumn("state", state).drop("_done")
 
 
 def agreement_counts(df: DataFrame, a: str, b: str, k: int = len(LABELS)) -> DataFrame:

@@ -6,10 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .keyed import explode_rows, scalar_of, small_table
-
-# The vocabulary is capped, so its table may be broadcast.
-VOCABULARY_CAP = 50_000
+from .keyed import explode_rows, lookup, scalar_of
 
 
 def term_counts(docs: DataFrame, key: str, terms: str) -> DataFrame:
@@ -22,14 +19,15 @@ def term_counts(docs: DataFrame, key: str, terms: str) -> DataFrame:
     )
 
 
-def vocabulary(counts: DataFrame, min_df: int = 1, cap: int = VOCABULARY_CAP) -> DataFrame:
-    """Terms in at least ``min_df`` documents; the ``cap`` most frequent ones if there are more.
+def vocabulary(counts: DataFrame, min_df: int = 1, cap: int | None = None) -> DataFrame:
+    """Terms in at least ``min_df`` documents, all of them unless a ``cap`` is asked for.
 
-    ``counts`` comes from ``term_counts``. Frequency is the number of uses; equal terms are
-    taken in alphabetical order.
+    ``counts`` comes from ``term_counts``. With a cap the terms with most uses stay; equal
+    terms are taken in alphabetical order.
     """
     per_term = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("uses"))
-    return per_term.filter(F.col("df") >= min_df).orderBy(F.desc("uses"), "term").limit(cap)
+    kept = per_term.filter(F.col("df") >= min_df)
+    return kept if cap is None else kept.orderBy(F.desc("uses"), "term").limit(cap)
 
 
 def tfidf(
@@ -39,19 +37,19 @@ def tfidf(
     min_df: int = 1,
     sublinear: bool = True,
     idf_plus_one: bool = False,
-    cap: int = VOCABULARY_CAP,
+    cap: int | None = None,
 ) -> DataFrame:
     """(document, term, tf, weight) with rows of length one.
 
-    idf is ln((n+1)/(df+1)), plus one if asked. The norm is a window on the document key,
-    which the counts are already partitioned by.
+    idf is ln((n+1)/(df+1)), plus one if asked. Spark joins the vocabulary by its size: by
+    broadcast, else by term, where a frequent term's rows are split as skewed.
     """
     counts = term_counts(docs, key, terms)
     vocab = vocabulary(counts, min_df, cap).select("term", "df")
     n = scalar_of(docs, F.count("*"))
     tf = (1 + F.log(F.col("tf"))) if sublinear else F.col("tf").cast("double")
     idf = F.log((n + 1) / (F.col("df") + 1)) + (1 if idf_plus_one else 0)
-    weighted = counts.join(F.broadcast(vocab), "term").withColumn("_raw", tf * idf)
+    weighted = counts.join(vocab, "term").withColumn("_raw", tf * idf)
     norm = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(W.partitionBy(key)))
     weight = F.when(norm > 0, F.col("_raw") / norm).otherwise(F.lit(0.0))
     return weighted.select(key, "term", "tf", F.round(weight, 6).alias("weight"))
@@ -65,6 +63,5 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def add_class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
-    """Each row with the weight of its class; the joined side has one row per class."""
-    weights = class_weights(df, label).select(label, F.col("weight").alias(out))
-    return df.join(small_table(weights), label, "left")
+    """Each row with the weight of its class, looked up in one map of the classes."""
+    return df.withColumn(out, lookup(class_weights(df, label), label, F.col("weight")))

@@ -9,8 +9,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Up to this rank Spark trims each map task to the first n rows per key before the shuffle.
-GROUP_LIMIT = 1000
-SALTS = 256
+GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
+
+
+def salts_of(df: DataFrame) -> int:
+    """Places for the rows of a hot key: as many as a shuffle has partitions."""
+    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -43,9 +47,9 @@ def top_per_key(
 ) -> DataFrame:
     """The first ``n`` rows of each key. The order should end with a unique column."""
     name = rank or "_rank"
-    if n > GROUP_LIMIT:
+    if n > int(df.sparkSession.conf.get(GROUP_LIMIT)):
         # Past Spark's own limit, trim within salted parts of a key first.
-        part = F.pmod(F.xxhash64(*df.columns), F.lit(SALTS))
+        part = F.pmod(F.xxhash64(*df.columns), F.lit(salts_of(df)))
         by_part = W.partitionBy(*keys, "_part").orderBy(*order)
         df = (
             df.withColumn("_part", part)
@@ -58,28 +62,29 @@ def top_per_key(
     return kept if rank else kept.drop(name)
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, salts: int = 16) -> DataFrame:
+def salted_join(
+    left: DataFrame, right: DataFrame, key: str, salts: int = 16, by: Sequence[str] = ()
+) -> DataFrame:
     """Left join where one key may fill the left side; ``right`` has one row per key.
 
-    The left rows of a key go to ``salts`` places and each right row is sent to all of them.
+    The left rows of a key go to ``salts`` places, by the columns ``by`` or else all, and each
+    right row is sent to all of them.
     """
-    spread = F.pmod(F.xxhash64(*left.columns), F.lit(salts))
+    spread = F.pmod(F.xxhash64(*(by or left.columns)), F.lit(salts))
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return (
         left.withColumn("_salt", spread.cast("int")).join(copies, [key, "_salt"], "left").drop("_salt")
     )
 
 
-def small_table(df: DataFrame, limit: int = 10_000) -> DataFrame:
-    """For a side expected to be small: run it once and broadcast the result if it is.
+def lookup(table: DataFrame, key: str, value: Column) -> Column:
+    """``value`` of the row of ``table`` with the current row's ``key``, else NULL.
 
-    At most ``limit`` + 1 rows reach the driver. Past the limit the frame is returned as it
-    is, so that the join using it is planned as an ordinary shuffle join.
+    ``table`` has a row per class (of few). It becomes one map in a scalar subquery: evaluated
+    once, when the query runs, and shipped as a constant, so the big side is not moved.
     """
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+    pairs = table.filter(F.col(key).isNotNull()).select(F.struct(F.col(key).alias("k"), value.alias("v")).alias("p"))
+    return F.element_at(pairs.agg(F.map_from_entries(F.collect_list("p")).alias("m")).scalar(), F.col(key))
 
 
 def scalar_of(df: DataFrame, value: Column) -> Column:

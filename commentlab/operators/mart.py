@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as lb
 from ..functions.lexicons import LABELS
-from .keyed import explode_rows
+from ..session import materialize
+from .keyed import explode_rows, union_all
 from .metrics import matrix_precision_recall
-from .ranking import exact_rank, quantile_buckets
+from .ranking import exact_rank, with_quantile_bucket
 
 _CLASS = "struct<precision:double, recall:double, f1:double, `f1-score`:double, f1_score:double, support:bigint>"
 _BLOCK = {
@@ -143,7 +144,7 @@ def standard_features(df: DataFrame, position: str | None = None) -> DataFrame:
     out = rename_known(df, FEATURE_ALIASES)
     out = with_missing(out, {"label": "string", "feature": "string", "weight": "double"})
     if "rank" not in out.columns:
-        out = exact_rank(out, ["label"], quantile_buckets(out, position), [F.asc(position)])
+        out = exact_rank(with_quantile_bucket(out, position), ["label"], F.col("_quantile"), [F.asc(position)])
     return out.select("label", "feature", "weight", "rank")
 
 
@@ -170,45 +171,40 @@ def split_merged_terms(df: DataFrame, merged: str, source: str) -> DataFrame:
 
 # --- JSON trees ------------------------------------------------------------------------
 
-DEPTH = 8
 _TYPES = {"BIGINT": "int", "STRING": "str", "BOOLEAN": "bool", "VOID": "NoneType"}
 
 
-def json_leaves(df: DataFrame, json: str, keep: Sequence[str], depth: int = DEPTH) -> DataFrame:
-    """Every scalar of a JSON tree with its steps from the root, in one pass over the rows.
+def json_leaves(df: DataFrame, json: str, keep: Sequence[str]) -> DataFrame:
+    """Every scalar of a JSON tree, however deep, with its steps from the root.
 
-    Each level opens objects and arrays and leaves scalars as they are. A tree deeper than
-    ``depth`` fails the job rather than lose values. Empty objects and arrays come out with
-    type 'empty'.
+    Each round opens the objects and arrays found by the one before, until there are none; a
+    round's values are written, so that no round repeats the work of another. Empty objects
+    and arrays come out with type 'empty'.
     """
-    out = df.select(*keep, F.parse_json(json).alias("_v"), F.expr("array()").cast(
-        "array<struct<key:string,pos:int>>").alias("steps"))
     tvf = df.sparkSession.tvf
-    for _ in range(depth):
-        inner = tvf.variant_explode_outer(F.col("_v").outer()).toDF("_p", "_k", "_i")
-        out = out.lateralJoin(inner)
-        step = F.struct(F.col("_k").alias("key"), F.col("_p").alias("pos"))
-        inside = F.col("_p").isNotNull()
-        out = out.select(
-            *keep,
-            F.when(inside, F.col("_i")).otherwise(F.col("_v")).alias("_v"),
-            F.when(inside, F.concat("steps", F.array(step))).otherwise(F.col("steps")).alias("steps"),
+    no_steps = F.expr("array()").cast("array<struct<key:string,pos:int>>")
+    level = df.select(*keep, F.parse_json(json).alias("_v"), no_steps.alias("steps"))
+    done = []
+    while True:
+        kind = F.schema_of_variant("_v")
+        inside = kind.startswith("OBJECT") | kind.startswith("ARRAY")
+        empty = inside & F.to_json("_v").isin("{}", "[]")
+        name = F.lit("float")
+        for variant, python in _TYPES.items():
+            name = F.when(kind == variant, python).otherwise(name)
+        found = level.select(
+            *keep, "steps", (inside & ~empty).alias("_open"), F.when(inside & ~empty, F.col("_v")).alias("_v"),
+            F.when(~inside, F.col("_v").cast("string")).alias("value"), F.when(empty, "empty").otherwise(name).alias("value_type"),
         )
-    kind = F.schema_of_variant("_v")
-    empty = kind.startswith("OBJECT") | kind.startswith("ARRAY")
-    # Anything still open after the last level is empty, or the tree is deeper than allowed.
-    flat = F.when(~empty | kind.isin("OBJECT<>", "ARRAY<VOID>") & F.to_json("_v").isin("{}", "[]"), True)
-    checked = F.coalesce(flat, F.raise_error(F.lit(f"JSON tree deeper than {depth}")).cast("boolean"))
-    name = F.lit("float")
-    for variant, python in _TYPES.items():
-        name = F.when(kind == variant, python).otherwise(name)
-    return out.filter(checked).select(
-        *keep,
-        "steps",
-        _path("steps").alias("metric_path"),
-        F.when(~empty, F.col("_v").cast("string")).alias("value"),
-        F.when(empty, "empty").otherwise(name).alias("value_type"),
-    )
+        found = materialize(found, "json-level")
+        done.append(found.filter(~F.col("_open")).select(*keep, "steps", "value", "value_type"))
+        deeper = found.filter("_open")
+        if deeper.isEmpty():
+            break
+        inner = tvf.variant_explode(F.col("_v").outer()).toDF("_p", "_k", "_i")
+        step = F.struct(F.col("_k").alias("key"), F.col("_p").alias("pos"))
+        level = deeper.lateralJoin(inner).select(*keep, F.col("_i").alias("_v"), F.concat("steps", F.array(step)).alias("steps"))
+    return union_all(done).select(*keep, "steps", _path("steps").alias("metric_path"), "value", "value_type")
 
 
 def _path(steps: str | Column) -> Column:
@@ -220,8 +216,8 @@ def _path(steps: str | Column) -> Column:
     return F.regexp_replace(F.array_join(text, ""), r"^\.", "")
 
 
-def flatten_scalars(df: DataFrame, json: str, keep: Sequence[str], depth: int = DEPTH) -> DataFrame:
-    leaves = json_leaves(df, json, keep, depth)
+def flatten_scalars(df: DataFrame, json: str, keep: Sequence[str]) -> DataFrame:
+    leaves = json_leaves(df, json, keep)
     return leaves.filter("value_type <> 'empty'").select(*keep, "metric_path", "value", "value_type")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .keyed import small_table, top_per_key, union_all
+from .keyed import lookup, top_per_key
 
 PREFIX = 4  # hex digits, so 65,536 parts per class
 
@@ -60,11 +60,15 @@ def hash_cutoffs(
     upto = F.sum("_cnt").over(W.partitionBy(group).orderBy("_bucket"))
     spans = counts.withColumn("_hi", upto).withColumn("_lo", F.col("_hi") - F.col("_cnt"))
     located = (
-        spans.join(small_table(cuts), group)
+        spans.join(cuts, group)
         .filter((F.col("_rank") > F.col("_lo")) & (F.col("_rank") <= F.col("_hi")))
         .select(group, "_bucket", "_cut", (F.col("_rank") - F.col("_lo")).alias("_need"))
     )
-    inside = keyed.join(small_table(located), [group, "_bucket"])
+    # The few prefixes in question, by class; the rows of others go no further than the scan.
+    cells = located.groupBy(group).agg(F.collect_list(F.struct("_bucket", "_cut", "_need")).alias("_cells"))
+    marked = keyed.withColumn("_cells", lookup(cells, group, F.col("_cells")))
+    here = F.filter("_cells", lambda c: c["_bucket"] == F.col("_bucket"))
+    inside = marked.select(group, key, "_h", F.explode(here).alias("_c")).select(group, key, "_h", "_c._cut", "_c._need")
     place = F.row_number().over(W.partitionBy(group, "_cut").orderBy("_h", key))
     return (
         inside.withColumn("_place", place)
@@ -96,12 +100,12 @@ def assign_by_cutoffs(
     here = F.struct(F.col("_h").alias("_cut_hash"), F.col(key).alias("_cut_key"))
     value = F.lit(rest)
     for i, n in reversed(list(enumerate(names))):
-        value = F.when(F.coalesce(here <= F.col(f"_c{i}"), F.lit(False)), F.lit(n)).otherwise(value)
+        value = F.when(F.coalesce(here <= F.col(f"_cuts._c{i}"), F.lit(False)), F.lit(n)).otherwise(value)
     return (
         df.withColumn("_h", seeded_hash(key, seed))
-        .join(small_table(wide), group, "left")
+        .withColumn("_cuts", lookup(wide, group, F.struct(*[f"_c{i}" for i in range(len(names))])))
         .withColumn(out, value)
-        .drop("_h", *[f"_c{i}" for i in range(len(names))])
+        .drop("_h", "_cuts")
     )
 
 
@@ -205,21 +209,22 @@ def exact_rank(
     )
 
 
-def quantile_buckets(df: DataFrame, position: str, side: int = 32) -> Column:
-    """Up to ``side`` squared buckets of nearly equal size over a unique numeric column.
+def with_quantile_bucket(df: DataFrame, position: str, out: str = "_quantile") -> DataFrame:
+    """Adds buckets of nearly equal size over a numeric column, a few for each shuffle partition.
 
     The bounds are approximate quantiles, so clustered values do not share one bucket; any
-    bounds give exact ranks. A row finds its bucket in two steps of ``side`` comparisons.
+    bounds give exact ranks. They come as one scalar subquery, and each row finds its bucket
+    by binary search, one column per step.
     """
-    n = side * side
-    shares = F.array(*[F.lit(i / n) for i in range(1, n + 1)])
-    found = df.agg(F.percentile_approx(position, shares, 10 * n)).first()[0]
-    if found is None:  # no rows
-        return F.lit(0)
-    bounds, x = F.lit(found), F.col(position)
-    row = F.least(F.size(F.filter(F.lit(found[side - 1 :: side]), lambda b: b < x)), F.lit(side - 1))
-    within = F.size(F.filter(F.slice(bounds, row * side + 1, side), lambda b: b < x))
-    return row * (side + 1) + within
+    steps = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length() + 2
+    n = 1 << steps
+    shares = F.array(*[F.lit(i / n) for i in range(1, n)])
+    bounds = df.agg(F.percentile_approx(position, shares, 10 * n).alias("b")).scalar()
+    df = df.withColumn(out, F.lit(0))
+    for step in (1 << i for i in reversed(range(steps))):
+        above = F.get(bounds, F.col(out) + (step - 1)) < F.col(position)
+        df = df.withColumn(out, F.col(out) + F.when(above, step).otherwise(0))
+    return df
 
 
 def shuffled_rank(
@@ -268,8 +273,12 @@ def exact_median(
     r1, r2 = F.expr("(_n + 1) div 2"), F.expr("(_n + 2) div 2")
     holds = (r1.between(F.col("_lo") + 1, F.col("_hi"))) | (r2.between(F.col("_lo") + 1, F.col("_hi")))
     middle = spans.filter(holds)
+    cells = middle.groupBy(group).agg(F.collect_list(F.struct("_b", "_lo", "_n")).alias("_cells"))
+    marked = base.withColumn("_cells", lookup(cells, group, F.col("_cells")))
+    here = F.filter("_cells", lambda c: c["_b"] == F.col("_b"))
     values = (
-        base.join(small_table(middle), [group, "_b"])
+        marked.select(group, "_b", "_v", F.explode(here).alias("_c"))
+        .select(group, "_b", "_v", "_c._lo", "_c._n")
         .groupBy(group, "_b", "_v", "_lo", "_n")
         .agg(F.count("*").alias("_c"))
     )
@@ -281,12 +290,3 @@ def exact_median(
     ]
     return ranked.groupBy(group).agg(((ends[0] + ends[1]) / 2).alias(out))
 
-
-def fold_by_subset(df: DataFrame, subsets: Mapping[str, DataFrame], key: str, group: str) -> DataFrame:
-    """The same split drawn for each named subset of ids."""
-    parts = [
-        stratified_split(df.join(ids.select(key).distinct(), key, "left_semi"), key, group)
-        .withColumn("subset", F.lit(name))
-        for name, ids in subsets.items()
-    ]
-    return union_all(parts)

@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 from ..functions.lexicons import PROTECTED_ROOTS
 from .keyed import explode_rows, salted_join
 
-# A stem table of at most this many rows is broadcast.
-BROADCAST_ROWS = 500_000
-
 
 def vocabulary(df: DataFrame, tokens: str) -> DataFrame:
     return explode_rows(df, [], tokens, "token").distinct()
@@ -59,18 +56,22 @@ def stem_tokens(
 ) -> DataFrame:
     """``df`` with each word of the array replaced by its stem, in the same order.
 
-    ``key`` is unique. A small stem table is broadcast; past the checked size the words are
-    joined with a salt, because a few words make up a large part of any text.
+    ``key`` is unique. The texts are spread by it before they are exploded, so that where Spark
+    broadcasts the stem table the words need no shuffle to come together again. Where it does
+    not, they are joined with a salt, because a few words make up a large part of any text. All
+    other columns travel with the first word of a row, so ``df`` is read once.
     """
     table = _effective(stems, protected)
-    words = explode_rows(df, [key], tokens, "token", "_pos")
-    # The count reads the stem table only, not the texts.
-    if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        joined = words.join(F.broadcast(table), "token", "left")
-    else:
-        joined = salted_join(words, table, "token")
-    pairs = F.struct("_pos", F.coalesce("stem", "token").alias("word"))
-    rebuilt = joined.groupBy(key).agg(F.array_sort(F.collect_list(pairs)).alias("_words"))
-    out = df.drop(tokens).join(rebuilt, key, "left")
-    words_only = F.transform("_words", lambda x: x["word"])
-    return out.withColumn(tokens, F.coalesce(words_only, F.array().cast("array<string>"))).drop("_words")
+    rest = [c for c in df.columns if c not in (key, tokens)]
+    spread = df.repartition(F.col(key)).withColumn("_rest", F.struct(F.lit(1).alias("_one"), *rest))
+    # A text without words still has a row, with a NULL place.
+    words = spread.select(key, "_rest", F.posexplode_outer(tokens).alias("_pos", "token")).withColumn(
+        "_rest", F.when(F.coalesce("_pos", F.lit(0)) == 0, F.col("_rest"))
+    )
+    joined = salted_join(words, table, "token", by=[key, "_pos"])
+    pair = F.when(F.col("token").isNotNull(), F.struct("_pos", F.coalesce("stem", "token").alias("word")))
+    rebuilt = joined.groupBy(key).agg(
+        F.first("_rest", ignorenulls=True).alias("_rest"), F.array_sort(F.collect_list(pair)).alias("_words")
+    )
+    out = rebuilt.select(key, "_rest.*", F.transform("_words", lambda x: x["word"]).alias(tokens))
+    return out.select(*df.columns)

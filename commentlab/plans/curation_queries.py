@@ -24,6 +24,7 @@ from .tables import (
     predictions,
     scores,
     table,
+    texts,
 )
 
 NAME = NAME_SQL.format("label_id")
@@ -363,7 +364,7 @@ def insert_skipping_duplicates(spark, sf):
 SELECT doc_id AS comment_id, md5({st.clean_minimal('text')}) AS feature FROM documents
 WHERE doc_id NOT IN (SELECT comment_id FROM old)""")
 def backfill_missing(spark, sf):
-    source = comments(spark, sf).select("comment_id", "text")
+    source = texts(spark, sf).select("comment_id", "text")
     todo = upsert.missing_rows(source, old_table(spark, sf), "comment_id")
     return todo.select("comment_id", F.md5(curation.tx.clean_minimal("text")).alias("feature"))
 

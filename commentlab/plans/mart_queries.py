@@ -12,7 +12,7 @@ from ..session import new_path
 from ..sources import readers, writers
 from .metrics_queries import RUN, RUN_CELLS, RUN_SCORES, f1_sql, run_cells
 from .registry import query
-from .tables import LABELLED_SQL, NAME_SQL, PREDICTIONS_SQL, comments, labelled, predictions, table
+from .tables import LABELLED_SQL, NAME_SQL, PREDICTIONS_SQL, labelled, predictions, table, texts
 
 LABEL_NAMES = ("Negatif", "Netral", "Positif")
 
@@ -148,7 +148,7 @@ def flatten_json(spark, sf):
 
 @query("flatten_event_properties", "D6", "SELECT event_id, 'k' AS metric_path, props->>'k' AS value, 'int' AS value_type FROM events")
 def flatten_event_properties(spark, sf):
-    return mart.flatten_scalars(table(spark, sf, "events"), "props", ["event_id"], depth=2)
+    return mart.flatten_scalars(table(spark, sf, "events"), "props", ["event_id"])
 
 
 @query("label_distributions", "D7 D9", """SELECT doc_id, 'dist' AS source_path, 'Negatif' AS label, CAST(1 AS BIGINT) AS "count" FROM documents
@@ -201,7 +201,7 @@ def label_csv_round_trip(spark, sf):
 @query("parquet_round_trip", "K1 G6 S1", "SELECT doc_id AS comment_id, source AS video_id, lang FROM documents")
 def parquet_round_trip(spark, sf):
     path = new_path(spark, "features")
-    writers.write_parquet(comments(spark, sf).select("comment_id", "video_id", "text", "lang"), path, "lang")
+    writers.write_parquet(texts(spark, sf).select("comment_id", "video_id", "text", "lang"), path, "lang")
     return readers.read_columns(spark, path, ["comment_id", "video_id", "lang"])
 
 

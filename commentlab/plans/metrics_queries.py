@@ -17,8 +17,7 @@ from .tables import LABELLED_SQL, NAME_SQL, PREDICTIONS_SQL, SCORES_SQL, labelle
 DOCS_SQL = LABELLED_SQL + f", docs AS (SELECT comment_id, label_id, {st.words(st.clean_aggressive('text'))} AS ws FROM labelled)"
 TF_SQL = DOCS_SQL + """, toks AS (SELECT comment_id, unnest(ws) AS term FROM docs),
 tf AS (SELECT comment_id, term, count(*) AS tf FROM toks GROUP BY 1, 2),
-vocab AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS uses FROM tf GROUP BY 1 HAVING count(*) >= 2
-          ORDER BY uses DESC, term LIMIT {cap})"""
+vocab AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS uses FROM tf GROUP BY 1 HAVING count(*) >= 2)"""
 
 
 def docs(spark, sf):
@@ -26,19 +25,19 @@ def docs(spark, sf):
         "comment_id", "label_id", tx.tokens(tx.clean_aggressive("text")).alias("words"))
 
 
-@query("term_vocabulary", "M1", f"WITH {TF_SQL.replace('{cap}', '50000')} SELECT term, df, uses FROM vocab")
+@query("term_vocabulary", "M1", f"WITH {TF_SQL} SELECT term, df, uses FROM vocab")
 def term_vocabulary(spark, sf):
     return features.vocabulary(features.term_counts(docs(spark, sf), "comment_id", "words"), 2)
 
 
-@query("sublinear_term_frequency", "M2", f"""WITH {TF_SQL.replace('{cap}', '50000')}
+@query("sublinear_term_frequency", "M2", f"""WITH {TF_SQL}
 SELECT comment_id, term, tf, round(1 + ln(tf), 6) AS sublinear FROM tf""")
 def sublinear_term_frequency(spark, sf):
     tf = features.term_counts(docs(spark, sf), "comment_id", "words")
     return tf.withColumn("sublinear", F.round(1 + F.log("tf"), 6))
 
 
-@query("inverse_document_frequency", "M3", f"""WITH {TF_SQL.replace('{cap}', '50000')}
+@query("inverse_document_frequency", "M3", f"""WITH {TF_SQL}
 SELECT term, round(ln(((SELECT count(*) FROM docs) + 1) / (df + 1)), 6) AS idf FROM vocab""")
 def inverse_document_frequency(spark, sf):
     d = docs(spark, sf)
@@ -48,7 +47,7 @@ def inverse_document_frequency(spark, sf):
 
 
 def tfidf_sql(plus: str) -> str:
-    return f"""WITH {TF_SQL.replace('{cap}', '50000')},
+    return f"""WITH {TF_SQL},
 w AS (SELECT tf.comment_id, tf.term, tf.tf,
       (1 + ln(tf.tf)) * (ln(((SELECT count(*) FROM docs) + 1) / (v.df + 1)) {plus}) AS raw FROM tf JOIN vocab v ON tf.term = v.term),
 s AS (SELECT comment_id, sqrt(sum(raw * raw)) AS norm FROM w GROUP BY 1)

@@ -11,12 +11,11 @@ from ..operators.keyed import union_all
 from ..operators.metrics import evaluate
 from ..operators.ranking import stratified_split
 from ..session import materialize
+from . import sqltext as st
+from .ranking_queries import SPLIT_SQL
 from .registry import query
-from .tables import labelled, table
-from .text_queries import DEMO_PATTERNS, DEMO_SLANG, DEMO_STOPWORDS
-
-# Fewer settings and steps than the operators' own defaults, so that one query stays short.
-MIN_DFS, REGS, STEPS = (2.0, 3.0), (0.01, 0.1), 10
+from .tables import LABELLED_SQL, labelled, table
+from .text_queries import DEMO_NEGATORS, DEMO_PATTERNS, DEMO_SLANG, DEMO_STOPWORDS
 
 
 def folded_features(spark, sf):
@@ -36,14 +35,14 @@ def test_table(predicted):
 
 @query("svm_grid_search", "M13 M26")
 def svm_grid_search(spark, sf):
-    return models.grid_search(folded_features(spark, sf), "feature", "label_id", min_dfs=MIN_DFS, regs=REGS, max_iter=STEPS)
+    return models.grid_search(folded_features(spark, sf), "feature", "label_id")
 
 
 @query("svm_test_predictions", "M9 M13 M16 M24 P2 F4 F6")
 def svm_test_predictions(spark, sf):
     folded = folded_features(spark, sf)
-    grid = models.grid_search(folded, "feature", "label_id", min_dfs=(2.0,), regs=REGS, max_iter=STEPS)
-    _, predicted = models.refit_best(folded, "feature", "label_id", grid, max_iter=STEPS)
+    grid = models.grid_search(folded, "feature", "label_id")
+    _, predicted = models.refit_best(folded, "feature", "label_id", grid)
     return models.with_margin(predicted).select("comment_id", "label_id", F.col("prediction").cast("int").alias("predicted"), "margin")
 
 
@@ -51,7 +50,7 @@ def svm_test_predictions(spark, sf):
 def logistic_test_predictions(spark, sf):
     train, test = train_test(folded_features(spark, sf))
     stages = models.word_stages("feature", 2.0)
-    return test_table(models.fit_and_predict(train, test, stages, models.logistic("label_id", max_iter=STEPS), "label_id")[1])
+    return test_table(models.fit_and_predict(train, test, stages, models.logistic("label_id"), "label_id")[1])
 
 
 @query("naive_bayes_test_predictions", "M11")
@@ -63,11 +62,12 @@ def naive_bayes_test_predictions(spark, sf):
 
 @query("word_and_char_test_predictions", "M6 M7 T17 T19")
 def word_and_char_test_predictions(spark, sf):
-    flags = tx.domain_flags("text", DEMO_PATTERNS)
-    df = materialize(models.with_char_terms(folded_features(spark, sf).withColumns(flags), "feature"), "terms")
+    flags, products = tx.domain_flags("text", DEMO_PATTERNS), tx.flag_interactions()
+    flagged = folded_features(spark, sf).withColumns(flags).withColumns(products)
+    df = materialize(models.with_char_terms(flagged, "feature"), "terms")
     train, test = train_test(df)
-    stages = models.union_stages("feature", list(flags))
-    return test_table(models.fit_and_predict(train, test, stages, models.linear_svm("label_id", max_iter=STEPS), "label_id")[1])
+    stages = models.union_stages("feature", [*flags, *products])
+    return test_table(models.fit_and_predict(train, test, stages, models.linear_svm("label_id"), "label_id")[1])
 
 
 @query("out_of_fold_predictions", "M14 G7")
@@ -75,7 +75,7 @@ def out_of_fold_predictions(spark, sf):
     df = models.nonempty(folded_features(spark, sf).drop("fold"), "feature")
     predicted = models.out_of_fold(
         df, "comment_id", "label_id", lambda: models.word_stages("feature", 2.0),
-        lambda: models.complement_nb("label_id"), 5)
+        lambda: models.linear_svm("label_id"), 5)
     return predicted.select("comment_id", "label_id", "kfold", F.col("prediction").cast("int").alias("predicted"))
 
 
@@ -83,25 +83,80 @@ def out_of_fold_predictions(spark, sf):
 def top_model_features(spark, sf):
     train, test = train_test(folded_features(spark, sf))
     stages = models.word_stages("feature", 2.0)
-    model, _ = models.fit_and_predict(train, test, stages, models.linear_svm("label_id", max_iter=STEPS), "label_id")
+    model, _ = models.fit_and_predict(train, test, stages, models.linear_svm("label_id"), "label_id")
     return models.top_coefficients(model)
 
 
 @query("version_sweep", "M31 M30")
 def version_sweep(spark, sf):
-    """The same run for each subset of the data."""
+    """Grid search, refit and test scores for each subset of the data."""
     base = labelled(spark, sf).select(
         "comment_id", "label_id", "lang", "n_chars", tx.feature_text("text", DEMO_SLANG, DEMO_STOPWORDS).alias("feature"))
     subsets = {"all": base, "english": base.filter("lang = 'en'"), "long": base.filter("n_chars >= 1000")}
     parts = []
     for name, df in subsets.items():
-        train, test = train_test(materialize(stratified_split(df, "comment_id", "label_id"), "folds", "fold"))
-        stages = models.word_stages("feature", 2.0)
-        _, predicted = models.fit_and_predict(train, test, stages, models.complement_nb("label_id"), "label_id")
+        folded = materialize(stratified_split(df, "comment_id", "label_id"), "folds", "fold")
+        grid = models.grid_search(folded, "feature", "label_id")
+        _, predicted = models.refit_best(folded, "feature", "label_id", grid)
         parts.append(evaluate(predicted, "label_id", "prediction").withColumn("subset", F.lit(name)))
     return union_all(parts)
 
 
+@query("variant_scores", "M30 T18 M19")
+def variant_scores(spark, sf):
+    """Words, merged negation, letters, both, other classifiers and tuned biases, each on the test
+    fold and out of fold, beside the accuracy of the largest class."""
+    df = folded_features(spark, sf).withColumn("negated", tx.merge_negation("feature", DEMO_NEGATORS))
+    df = materialize(models.with_char_terms(models.nonempty(df, "feature"), "feature"), "variants")
+    words = lambda: models.word_stages("feature", 2.0)
+    svm = lambda: models.linear_svm("label_id")
+    variants = {
+        "base": (words, svm),
+        "negation": (lambda: models.word_stages("negated", 2.0), svm),
+        "char": (lambda: models.bag("char_terms", "features", 3.0), svm),
+        "both": (lambda: models.union_stages("feature"), svm),
+        "logistic": (words, lambda: models.logistic("label_id")),
+        "naive_bayes": (words, lambda: models.complement_nb("label_id")),
+    }
+    return models.variant_scores(df, "comment_id", "label_id", variants, "base")
+
+
+FOLD_SQL = f"""WITH {LABELLED_SQL}, members AS (SELECT comment_id, label_id FROM labelled),
+{SPLIT_SQL}"""
+FEATURE_FILLED = f"{st.join_words(st.feature_words('text', DEMO_SLANG, DEMO_STOPWORDS))} <> ''"
+
+
+@query("svm_test_rows", "M9 M16 M24", FOLD_SQL + " SELECT comment_id, label_id, TRUE AS known_class FROM folded WHERE fold = 'test'")
+def svm_test_rows(spark, sf):
+    """What of the test predictions SQL can say: each row of the test fold once, with a class."""
+    train, test = train_test(folded_features(spark, sf))
+    _, predicted = models.fit_and_predict(
+        train, test, models.word_stages("feature", 2.0), models.linear_svm("label_id"), "label_id")
+    return predicted.select("comment_id", "label_id", F.col("prediction").isin(0.0, 1.0, 2.0).alias("known_class"))
+
+
+@query("out_of_fold_rows", "M14 M11", f"""WITH {LABELLED_SQL}, members AS (SELECT comment_id, label_id FROM labelled WHERE {FEATURE_FILLED}),
+r AS (SELECT comment_id, label_id, row_number() OVER (PARTITION BY label_id ORDER BY md5('42:' || comment_id), comment_id) AS r,
+      count(*) OVER (PARTITION BY label_id) AS n FROM members)
+SELECT comment_id, label_id, CASE WHEN r <= n // 5 THEN 0 WHEN r <= n * 2 // 5 THEN 1 WHEN r <= n * 3 // 5 THEN 2
+  WHEN r <= n * 4 // 5 THEN 3 ELSE 4 END AS kfold, TRUE AS known_class FROM r""")
+def out_of_fold_rows(spark, sf):
+    """Each row predicted once, by the model of its fold."""
+    df = models.nonempty(folded_features(spark, sf).drop("fold"), "feature")
+    predicted = models.out_of_fold(
+        df, "comment_id", "label_id", lambda: models.word_stages("feature", 2.0), lambda: models.complement_nb("label_id"), 5)
+    return predicted.select(
+        "comment_id", "label_id", "kfold", F.col("prediction").isin(0.0, 1.0, 2.0).alias("known_class"))
+
+
+@query("svm_grid_points", "M13", """SELECT CAST(m AS DOUBLE) AS min_df, CAST(r AS DOUBLE) AS reg, TRUE AS in_range
+FROM (VALUES (1), (2), (3)) a(m), (VALUES (0.0001), (0.001), (0.01), (0.1)) b(r)""")
+def svm_grid_points(spark, sf):
+    """Every setting is tried once and has a score in range."""
+    grid = models.grid_search(folded_features(spark, sf), "feature", "label_id")
+    return grid.select("min_df", "reg", F.col("macro_f1").between(0, 1).alias("in_range"))
+
+
 @query("embedding_classifier", "M32 M8")
 def embedding_classifier(spark, sf):
     vectors = table(spark, sf, "embeddings").select(

@@ -10,7 +10,7 @@ from ..operators.keyed import first_per_key, top_per_key
 from ..session import materialize
 from . import sqltext as st
 from .registry import query
-from .tables import LABELLED_SQL, PREDICTIONS_SQL, comments, labelled, predictions, table
+from .tables import LABELLED_SQL, PREDICTIONS_SQL, labelled, predictions, table, texts
 
 RANK = "CAST(row_number() OVER (PARTITION BY {p} ORDER BY {o}) AS INTEGER)"
 
@@ -48,7 +48,7 @@ def balanced_subset_verified_first(spark, sf):
   FROM (SELECT doc_id AS comment_id, text, lang = 'en' AS verified, (doc_id * 7919 % 1000) / 1000e0 AS confidence
         FROM documents)) WHERE r = 1""")
 def dedup_by_text(spark, sf):
-    df = comments(spark, sf).select("comment_id", "text", (F.col("lang") == "en").alias("verified"), "confidence")
+    df = texts(spark, sf).select("comment_id", "text", (F.col("lang") == "en").alias("verified"), "confidence")
     best = [F.desc("verified"), F.desc("confidence")]
     return curation.dedup_by_text(df, "text", "comment_id", best).drop("text")
 
@@ -178,8 +178,8 @@ def rank_within_group(spark, sf):
     # One number for the place of a line, since an order has fewer than ten thousand of them.
     position = F.col("l_orderkey") * 10_000 + F.col("l_linenumber")
     df = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", position.alias("position"))
-    bucket = ranking.quantile_buckets(df, "position")
-    return ranking.exact_rank(df, ["l_returnflag"], bucket, [F.asc("position")]).drop("position")
+    df = ranking.with_quantile_bucket(df, "position")
+    return ranking.exact_rank(df, ["l_returnflag"], F.col("_quantile"), [F.asc("position")]).drop("position", "_quantile")
 
 
 RUNS_SQL = PREDICTIONS_SQL + """, runs AS (SELECT lang AS dataset, video_id AS model,

@@ -9,10 +9,10 @@ from ..functions import text as tx
 from ..operators import upsert
 from ..operators.curation import apply_updates
 from ..operators.keyed import union_all
-from ..operators.ranking import exact_rank, quantile_buckets
+from ..operators.ranking import exact_rank, with_quantile_bucket
 from . import sqltext as st
 from .registry import query
-from .tables import COMMENTS_SQL, LABELLED_SQL, NAME_SQL, PREDICTIONS_SQL, comments, labelled, predictions, table, text_table
+from .tables import COMMENTS_SQL, LABELLED_SQL, NAME_SQL, PREDICTIONS_SQL, comments, labelled, predictions, table, text_table, texts
 
 # A second reading of the German comments: labels moved on by one, sure of itself.
 CORRECTIONS_SQL = LABELLED_SQL + """, corrections AS (
@@ -155,7 +155,7 @@ def members_with_features(spark, sf):
 SELECT comment_id, video_id FROM comments WHERE comment_id IN (SELECT doc_id FROM labels WHERE quality = 1)""")
 def allow_list(spark, sf):
     allowed = table(spark, sf, "labels").filter("quality = 1").select(F.col("doc_id").alias("comment_id"))
-    return comments(spark, sf).select("comment_id", "video_id").join(allowed, "comment_id", "left_semi")
+    return texts(spark, sf).select("comment_id", "video_id").join(allowed, "comment_id", "left_semi")
 
 
 EXCLUDED_SQL = """excluded AS (SELECT doc_id AS comment_id FROM documents WHERE lang = 'es'
@@ -175,7 +175,7 @@ def excluded(spark, sf):
 @query("exclude_lists", "J6", f"""WITH {EXCLUDED_SQL}
 SELECT doc_id AS comment_id, source AS video_id FROM documents WHERE doc_id NOT IN (SELECT comment_id FROM excluded)""")
 def exclude_lists(spark, sf):
-    return comments(spark, sf).select("comment_id", "video_id").join(excluded(spark, sf), "comment_id", "left_anti")
+    return texts(spark, sf).select("comment_id", "video_id").join(excluded(spark, sf), "comment_id", "left_anti")
 
 
 @query("union_of_id_lists", "U2", f"WITH {EXCLUDED_SQL} SELECT comment_id FROM excluded")
@@ -224,7 +224,8 @@ SELECT c.event_id, c.idx, o.score, o.idx IS NULL AS missing FROM c LEFT JOIN o O
 def candidate_index_join(spark, sf):
     events = table(spark, sf, "events")
     views = events.filter("event_type = 'view'").select("event_id")
-    numbered = exact_rank(views, [], quantile_buckets(views, "event_id"), [F.asc("event_id")], "idx")
+    bucketed = with_quantile_bucket(views, "event_id")
+    numbered = exact_rank(bucketed, [], F.col("_quantile"), [F.asc("event_id")], "idx").drop("_quantile")
     numbered = numbered.withColumn("idx", F.col("idx") - 1)
     batch = events.filter("event_type = 'click'").groupBy(F.col("user_id").alias("idx")).agg(
         F.max("value").alias("score"), F.lit(True).alias("found"))

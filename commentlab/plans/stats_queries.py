@@ -23,6 +23,7 @@ from .tables import (
     predictions,
     table,
     text_table,
+    texts,
 )
 from .text_queries import DEMO_SLANG, DEMO_STOPWORDS
 
@@ -84,7 +85,7 @@ def class_distribution_with_absent(spark, sf):
 
 
 def three_texts(spark, sf):
-    return comments(spark, sf).select(
+    return texts(spark, sf).select(
         "text", tx.feature_text("text", DEMO_SLANG, DEMO_STOPWORDS).alias("feature"),
         tx.clean_minimal("text").alias("minimal"))
 
@@ -161,7 +162,7 @@ f AS (SELECT comment_id, {st.join_words(FEATURE_SQL)} AS feature,
       FROM comments), {LEAK_SQL}""")
 def split_leakage(spark, sf):
     fold = F.when(F.col("confidence") < 0.1, "test").when(F.col("confidence") < 0.3, "val").otherwise("train")
-    df = comments(spark, sf).select(
+    df = texts(spark, sf).select(
         "comment_id", tx.feature_text("text", DEMO_SLANG, DEMO_STOPWORDS).alias("feature"), fold.alias("fold"))
     return stats.leakage(df, "comment_id", "feature", "fold")
 
@@ -316,7 +317,7 @@ def pipeline_parity(spark, sf):
 
 @query("comments_per_video", "I13", "SELECT source AS video_id, count(*) AS n FROM documents GROUP BY 1")
 def comments_per_video(spark, sf):
-    return comments(spark, sf).groupBy("video_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "video_id")
+    return texts(spark, sf).groupBy("video_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "video_id")
 
 
 @query("video_profile", "I14", f"""WITH t AS (SELECT source AS video_id, {st.clean_aggressive('text')} AS a,
@@ -324,7 +325,7 @@ def comments_per_video(spark, sf):
 SELECT video_id, count(*) AS n, round(avg(length(a)), 6) AS avg_aggressive, round(avg(length(b)), 6) AS avg_minimal
 FROM t GROUP BY 1""")
 def video_profile(spark, sf):
-    return comments(spark, sf).groupBy("video_id").agg(
+    return texts(spark, sf).groupBy("video_id").agg(
         F.count("*").alias("n"),
         F.round(F.avg(F.length(tx.clean_aggressive("text"))), 6).alias("avg_aggressive"),
         F.round(F.avg(F.length(tx.clean_minimal("text"))), 6).alias("avg_minimal"))
@@ -333,7 +334,7 @@ def video_profile(spark, sf):
 @query("corpus_profile", "I15", """SELECT count(*) AS n, count(DISTINCT source) AS n_videos,
   round(avg(length(text)), 6) AS avg_chars FROM documents""")
 def corpus_profile(spark, sf):
-    return comments(spark, sf).agg(
+    return texts(spark, sf).agg(
         F.count("*").alias("n"), F.count_distinct("video_id").alias("n_videos"),
         F.round(F.avg(F.length("text")), 6).alias("avg_chars"))
 

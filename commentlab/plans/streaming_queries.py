@@ -24,7 +24,7 @@ def stream_landing(spark, sf):
     """Answer files land twice over; each comment is kept once."""
     pages, target = new_path(spark, "pages"), new_path(spark, "landed")
     answers = answer_pages(spark, sf).select(
-        F.regexp_replace(F.to_json(F.struct("video_id", "source_url")), r"\}$", ",").alias("head"), F.substring("body", 2, 10_000_000).alias("tail"))
+        F.regexp_replace(F.to_json(F.struct("video_id", "source_url")), r"\}$", ",").alias("head"), F.expr("substring(body, 2)").alias("tail"))
     lines = answers.select(F.concat("head", "tail").alias("value"))
     for _ in range(2):
         lines.repartition(4, "value").write.mode("append").text(pages)
@@ -34,13 +34,17 @@ def stream_landing(spark, sf):
     return landed.select("comment_id", "video_id", F.md5("text").alias("text_md5"))
 
 
-@query("stream_skip_repeats", "X2", "SELECT DISTINCT user_id FROM events")
+@query("stream_skip_repeats", "X2", "SELECT event_id, user_id, event_type, value FROM events")
 def stream_skip_repeats(spark, sf):
-    events = table_stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    once = jobs.skip_repeats(events, "user_id", "ts", "10000 days").select("user_id", "ts")
-    target = new_path(spark, "once")
+    """The events land twice over within a watermark of one hour; each is kept once, whole."""
+    landing, target = new_path(spark, "events"), new_path(spark, "once")
+    events = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    for _ in range(2):
+        events.repartition(2, "event_id").write.mode("append").parquet(landing)
+    stream = spark.readStream.schema(events.schema).parquet(landing)
+    once = jobs.skip_repeats(stream, "event_id", "ts", "1 hour").select("event_id", "user_id", "event_type", "value")
     jobs.append_parquet(once, target, new_path(spark, "checkpoint")).awaitTermination()
-    return spark.read.parquet(target).select("user_id")
+    return spark.read.parquet(target)
 
 
 @query("stream_running_counts", "X3 I11 I13", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")

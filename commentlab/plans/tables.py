@@ -80,6 +80,14 @@ def label_dim(spark: SparkSession) -> DataFrame:
     )
 
 
+def texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The comments without their labels, for queries that need none: no join."""
+    return text_table(spark, sf, "documents").select(
+        F.col("doc_id").alias("comment_id"), F.col("source").alias("video_id"), "text", "lang", "n_chars",
+        (F.col("doc_id") * 7919 % 1000 / F.lit(1000.0)).alias("confidence"),
+    )
+
+
 def comments(spark: SparkSession, sf: str) -> DataFrame:
     docs = text_table(spark, sf, "documents")
     labels = table(spark, sf, "labels")

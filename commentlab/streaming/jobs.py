@@ -11,7 +11,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import text as tx
 from ..functions.lexicons import SLANG, STOPWORDS
@@ -37,22 +36,30 @@ def _batch_path(target: str, batch: int) -> str:
     return f"{target}/batch={batch}"
 
 
-def land_comments(comments: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+def land_comments(comments: DataFrame, target: str, checkpoint: str, parts: int = 64) -> StreamingQuery:
     """Append each comment once: repeats within a batch and ids of earlier batches are skipped.
 
-    Earlier ids come from the landed files of other batches, read as a table.
+    Landed ids are kept beside the target, by a hash of the id in ``parts`` folders per batch. A
+    batch reads only the folders that its own ids fall into.
     """
-    fields = StructType([*comments.schema.fields, StructField("batch", LongType())])
+    known = f"{target.rstrip('/')}-ids"
+    fields = "comment_id string, batch bigint, part int"
 
     def write(batch: DataFrame, number: int) -> None:
-        # The first folder of the target exists from here on, so the read below is valid.
         spark = batch.sparkSession
-        batch.limit(0).write.mode("ignore").parquet(_batch_path(target, -1))
-        landed = spark.read.schema(fields).parquet(target)
-        old = landed.filter(F.col("batch") < number).select("comment_id")
+        part = F.pmod(F.xxhash64("comment_id"), F.lit(parts)).cast("int")
+        batch = batch.persist()
+        touched = [r["p"] for r in batch.select(part.alias("p")).distinct().collect()]  # ``parts`` at most
+        # A folder of the ids exists from here on, so the read below is valid.
+        batch.limit(0).select("comment_id").write.mode("ignore").parquet(f"{known}/batch=-1/part=-1")
+        landed = spark.read.schema(fields).parquet(known)
+        old = landed.filter((F.col("batch") < number) & F.col("part").isin(touched)).select("comment_id")
         insert_new(old, batch, "comment_id", [F.asc("video_id"), F.asc("raw_json")]).write.mode(
             "overwrite"
         ).parquet(_batch_path(target, number))
+        added = spark.read.parquet(_batch_path(target, number)).select("comment_id", part.alias("part"))
+        added.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{known}/batch={number}")
+        batch.unpersist()
 
     return (
         comments.writeStream.foreachBatch(write)

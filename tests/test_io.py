@@ -92,11 +92,13 @@ def test_flatten(trees):
     assert len(got ^ want) <= 2
 
 
-def test_flatten_too_deep_fails(spark):
-    df = spark.createDataFrame([(1, '{"a":{"b":{"c":1}}}')], "i int, j string")
-    assert mart.flatten_scalars(df, "j", ["i"], depth=3).count() == 1
-    with pytest.raises(Exception, match="deeper than 2"):
-        mart.flatten_scalars(df, "j", ["i"], depth=2).collect()
+def test_flatten_any_depth(spark):
+    deep = "1"
+    for _ in range(40):
+        deep = '{"a":[' + deep + "]}"
+    df = spark.createDataFrame([(1, deep), (2, "7"), (3, "{}")], "i int, j string")
+    rows = {r["i"]: (r["metric_path"], r["value"]) for r in mart.flatten_scalars(df, "j", ["i"]).collect()}
+    assert rows == {1: (".".join(["a[0]"] * 40), "1"), 2: ("", "7")}
 
 
 def test_label_distributions(trees):
@@ -143,12 +145,16 @@ def test_stemming_orders(spark):
     assert kept[1] == ["cats", "run", "cats"]
 
 
-def test_large_stem_table_gives_the_same(spark, monkeypatch):
+def test_large_stem_table_gives_the_same(spark):
     df = spark.createDataFrame([(i, ["cats", "x", f"w{i}s"]) for i in range(50)], "id int, w array<string>")
     stems = spark.createDataFrame([("cats", "cat")] + [(f"w{i}s", f"w{i}") for i in range(50)], "token string, stem string")
     small = sorted(map(tuple, stemming.stem_tokens(df, "id", "w", stems).collect()), key=str)
-    monkeypatch.setattr(stemming, "BROADCAST_ROWS", 10)
-    assert sorted(map(tuple, stemming.stem_tokens(df, "id", "w", stems).collect()), key=str) == small
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(map(tuple, stemming.stem_tokens(df, "id", "w", stems).collect()), key=str) == small
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 def corpus(spark):
@@ -184,21 +190,21 @@ def test_models_learn(spark):
     from commentlab.operators.ranking import stratified_split
 
     folded = stratified_split(corpus(spark), "id", "y").persist()
-    grid = models.grid_search(folded, "t", "y", min_dfs=(1.0,), regs=(0.01,), max_iter=10, cap=500)
-    _, svm = models.refit_best(folded, "t", "y", grid, max_iter=10, cap=500)
+    grid = models.grid_search(folded, "t", "y", min_dfs=(1.0,), regs=(0.01,), max_iter=10, size=500)
+    _, svm = models.refit_best(folded, "t", "y", grid, max_iter=10, size=500)
     assert evaluate(svm, "y", "prediction").first()["accuracy"] > 0.9
     assert models.with_margin(svm).filter("margin < 0").count() == 0
     train, test = folded.filter("fold <> 'test'"), folded.filter("fold = 'test'")
     for clf in (models.logistic("y", max_iter=10), models.complement_nb("y")):
-        model, predicted = models.fit_and_predict(train, test, models.word_stages("t", 1.0, cap=500), clf, "y")
+        model, predicted = models.fit_and_predict(train, test, models.word_stages("t", 1.0, size=500), clf, "y")
         assert evaluate(predicted, "y", "prediction").first()["accuracy"] > 0.9
-    model, _ = models.fit_and_predict(train, test, models.word_stages("t", 1.0, cap=500), models.linear_svm("y", 0.01, 10), "y")
+    model, _ = models.fit_and_predict(train, test, models.word_stages("t", 1.0, size=500), models.linear_svm("y", 0.01, 10), "y")
     top = models.top_coefficients(model, 3).filter("rank = 1 AND label_id = 2").first()["feature"]
     assert any(w in top for w in ("bagus", "hebat", "mantap"))
 
 
 def test_out_of_fold_covers_all_rows_once(spark):
-    got = models.out_of_fold(corpus(spark), "id", "y", lambda: models.word_stages("t", 1.0, cap=500), lambda: models.complement_nb("y"), 3)
+    got = models.out_of_fold(corpus(spark), "id", "y", lambda: models.word_stages("t", 1.0, size=500), lambda: models.complement_nb("y"), 3)
     rows = got.collect()
     assert sorted(r["id"] for r in rows) == list(range(120)) and {r["kfold"] for r in rows} == {0, 1, 2}
 

@@ -91,7 +91,7 @@ def test_ranks(spark):
     order = sorted(range(400), key=lambda i: (hashed(i), i))
     got = {r["id"]: r["rank"] for r in ranking.shuffled_rank(df, "id").collect()}
     assert got == {i: k + 1 for k, i in enumerate(order)}
-    ranked = ranking.exact_rank(df, ["c"], ranking.quantile_buckets(df, "id", 4), [F.asc("id")])
+    ranked = ranking.exact_rank(ranking.with_quantile_bucket(df, "id"), ["c"], F.col("_quantile"), [F.asc("id")])
     assert {r["id"]: r["rank"] for r in ranked.collect()} == {i: i + 1 for i in range(400)}
 
 
@@ -99,9 +99,9 @@ def test_ranks_of_clustered_positions(spark):
     # Nine tenths of the rows sit in a sliver of the value range.
     values = [*range(900), *range(10**9, 10**9 + 100 * 10**6, 10**6)]
     df = spark.createDataFrame([(1, v) for v in values], "g int, v bigint")
-    bucketed = df.withColumn("b", ranking.quantile_buckets(df, "v", 8))
-    assert bucketed.groupBy("b").count().agg(F.max("count")).first()[0] <= 40
-    ranked = ranking.exact_rank(df, ["g"], ranking.quantile_buckets(df, "v", 8), [F.asc("v")])
+    bucketed = ranking.with_quantile_bucket(df, "v", "b")
+    assert bucketed.groupBy("b").count().agg(F.max("count")).first()[0] <= 80
+    ranked = ranking.exact_rank(bucketed, ["g"], F.col("b"), [F.asc("v")])
     assert {r["v"]: r["rank"] for r in ranked.collect()} == {v: i + 1 for i, v in enumerate(values)}
 
 
