@@ -16,9 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from commentlab.operators.keyed import explode_rows
 from commentlab.session import materialize
 
-from .common import free_name, packed, unpacked, whole
+from .common import free_name, let, packed, unpacked, whole
 
 SEED = 42
 # Target weight of a source: its bytes to this power. 1 keeps the mix, 0 makes sources equal.
@@ -50,7 +51,7 @@ def rates(docs: DataFrame, weights: DataFrame | None = None, source: str = "sour
         given = sizes.join(named.groupBy("key").agg(F.max("weight").alias("weight")), "key")
     given = materialize(given, "source-sizes")
     totals = sizes.agg(F.sum("bytes")).scalar(), given.agg(F.sum("weight")).scalar()
-    return given.select("key", (F.lit(epochs) * F.col("weight") / totals[1] * totals[0] / F.col("bytes")).alias("rate"))
+    return given.select("key", (F.lit(epochs) * F.try_divide("weight", totals[1]) * totals[0] / F.col("bytes")).alias("rate"))
 
 
 def cumulative(mean: Column) -> Column:
@@ -93,12 +94,11 @@ def mix(
     rows = packed(docs).withColumns({"key": source_key(f"row.`{source}`"), "salt": salt})
 
     def draw(part: Column) -> Column:
-        u = uniform(part.cast("string"), *ident)
-        return F.size(F.filter("sums", lambda c: c <= u))
+        # The number is drawn once, not once for each probability it is compared with.
+        return let(uniform(part.cast("string"), *ident), lambda u: F.size(F.filter("sums", lambda c: c <= u)))
 
     drawn = F.aggregate(F.sequence(F.lit(1), F.col("parts")), F.lit(0), lambda a, part: a + draw(part))
-    counted = rows.join(plan, ["key", "salt"]).select("row", drawn.alias("n")).filter("n > 0")
-    copies = counted.select("row", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias(copy))
+    copies = explode_rows(rows.join(plan, ["key", "salt"]), ["row"], F.array_repeat(F.lit(True), drawn), "one", copy)
     dealt = copies.withColumn("place", F.xxhash64(F.lit(SEED), copy, *ident))
     return unpacked(dealt.repartition("place").sortWithinPartitions("place"), copy), copy
 
