@@ -168,16 +168,16 @@ def judged(docs: DataFrame, model: GramModel, threshold: float = THRESHOLD) -> t
 
     def verdict(c: Column) -> Column:
         failed = (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > MAX_REPEAT_PERCENT * c["n_words"])
-        score = model.score(text)
-        return F.struct(
-            c["n_words"].alias("n_words"), c["word_chars"].alias("word_chars"), c["n_symbols"].alias("n_symbols"),
-            c["n_dup_lines"].alias("n_dup_lines"), c["n_repeat_words"].alias("n_repeat_words"),
-            failed.alias("base_failed"), score.alias("score"),
+        counts = [c[k].alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+        return let(
+            model.score(text),
+            lambda score: F.struct(
+                *counts, failed.alias("base_failed"), score.alias("score"), (~failed & (score >= threshold)).alias("kept")
+            ),
         )
 
-    counted = docs.withColumn(name, let(base_counts(text), verdict))
-    kept = ~F.col(f"{name}.base_failed") & (F.col(f"{name}.score") >= threshold)
-    return counted.withColumn(name, F.col(name).withField("kept", kept)), name
+    # One expression, so that a filter on the verdict does not compute it once per field it needs.
+    return docs.withColumn(name, let(base_counts(text), verdict)), name
 
 
 def report(docs: DataFrame, model: GramModel) -> DataFrame:
