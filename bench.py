@@ -25,6 +25,7 @@ HEADLINE = [
     "rebuild_balanced", "parse_annotations", "cohen_kappa", "flatten_answers", "job_state",
     "upsert_fields", "insert_skipping_duplicates", "group_by_remainder", "tfidf_weights", "bias_grid",
     "model_scores_per_run", "per_class_metrics", "flatten_json", "eda_report",
+    "naive_bayes_test_predictions", "embedding_classifier", "stream_landing",
 ]
 
 

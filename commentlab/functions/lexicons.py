@@ -3,6 +3,7 @@
 Operators take these as parameters, so another dictionary can be passed instead.
 """
 
+# The classes, in the order of their ids.
 LABELS = ("Negatif", "Netral", "Positif")
 
 # Spellings an annotator may use for a label.
@@ -122,4 +123,5 @@ FALSE_WORDS = ("false", "0", "no", "n", "salah")
 TRUE_WORDS_SHORT = ("true", "1", "yes", "benar")
 FALSE_WORDS_SHORT = ("false", "0", "no", "salah")
 
+# States of a job.
 JOB_STATUSES = ("pending", "running", "completed", "failed")

@@ -11,7 +11,6 @@ from ..functions import labels as lb
 from ..functions.lexicons import LABELS
 from ..session import materialize
 from .keyed import explode_rows, union_all
-from .metrics import matrix_precision_recall
 from .ranking import exact_rank, with_quantile_bucket
 
 _CLASS = "struct<precision:double, recall:double, f1:double, `f1-score`:double, f1_score:double, support:bigint>"
@@ -56,19 +55,19 @@ def _label_list(block: str = "block") -> Column:
 
 def per_class_metrics(blocks: DataFrame, keep: Sequence[str]) -> DataFrame:
     """One row per report and class; precision and recall from the matrix if not given."""
-    derived = matrix_precision_recall(
-        blocks.select(*keep, _label_list().alias("_labels"), F.col("block.confusion_matrix").alias("_m")),
-        "_m",
-        [*keep, "_labels"],
-    ).select(
-        *keep,
-        F.get("_labels", F.col("label_id")).alias("label"),
-        F.col("precision").alias("_p"),
-        F.col("recall").alias("_r"),
-    )
     rows = blocks.select(*keep, "block", F.explode(F.array(*map(F.lit, LABELS))).alias("label"))
     cell = F.element_at(F.col("block.per_class"), F.col("label"))
-    return rows.join(derived, [*keep, "label"], "left").select(
+    # The class's place among the names of the matrix; its row, column and diagonal from there.
+    matrix = F.col("block.confusion_matrix")
+    at = (F.array_position(_label_list(), F.col("label")) - 1).cast("int")
+    row = F.get(matrix, F.when(at >= 0, at))
+    right, zero = F.get(row, at), F.lit(0).cast("bigint")
+    support = F.aggregate(row, zero, lambda a, x: a + x)
+    guessed = F.aggregate(matrix, zero, lambda a, r: a + F.get(r, at))
+    rows = rows.withColumn("_p", F.round(F.when(guessed != 0, right / guessed), 4)).withColumn(
+        "_r", F.round(F.when(support != 0, right / support), 4)
+    )
+    return rows.select(
         *keep,
         "label",
         F.coalesce(cell["precision"], F.col("_p")).alias("precision"),
@@ -117,8 +116,8 @@ def with_missing(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
     return df.withColumns({c: F.lit(None).cast(t) for c, t in types.items() if c not in df.columns})
 
 
-def standard_predictions(df: DataFrame) -> DataFrame:
-    """Predictions from any known spelling of the columns to one contract."""
+def standard_predictions(df: DataFrame, dataset: str | None = None, model: str | None = None) -> DataFrame:
+    """Predictions from any known spelling of the columns to one contract, with their origin."""
     out = rename_known(df, PREDICTION_ALIASES)
     texts = ("comment_id", "text", "actual_label", "predicted_label")
     out = with_missing(out, {**{c: "string" for c in texts}, "confidence": "double"})
@@ -127,6 +126,8 @@ def standard_predictions(df: DataFrame) -> DataFrame:
     else:
         correct = F.coalesce(F.col("actual_label") == F.col("predicted_label"), F.lit(False))
     return out.withColumn("is_correct", correct).select(
+        F.lit(dataset).cast("string").alias("dataset"),
+        F.lit(model).cast("string").alias("model"),
         *texts,
         "is_correct",
         lb.error_status("is_correct").alias("error_status"),
@@ -135,8 +136,10 @@ def standard_predictions(df: DataFrame) -> DataFrame:
     )
 
 
-def standard_features(df: DataFrame, position: str | None = None) -> DataFrame:
-    """Top features to one contract.
+def standard_features(
+    df: DataFrame, position: str | None = None, dataset: str | None = None, model: str | None = None
+) -> DataFrame:
+    """Top features to one contract, with their origin.
 
     Without a rank column the rank is the place within the label along the unique numeric
     column ``position``.
@@ -145,7 +148,8 @@ def standard_features(df: DataFrame, position: str | None = None) -> DataFrame:
     out = with_missing(out, {"label": "string", "feature": "string", "weight": "double"})
     if "rank" not in out.columns:
         out = exact_rank(with_quantile_bucket(out, position), ["label"], F.col("_quantile"), [F.asc(position)])
-    return out.select("label", "feature", "weight", "rank")
+    origin = [F.lit(dataset).cast("string").alias("dataset"), F.lit(model).cast("string").alias("model")]
+    return out.select(*origin, "label", "feature", "weight", "rank")
 
 
 def typed(df: DataFrame, types: Mapping[str, str], zero: Sequence[str] = ()) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lexicons import LABELS
@@ -120,19 +120,17 @@ def term_class_counts(words: DataFrame, token: str, group: str, classes: int) ->
 def lift(
     counts: DataFrame,
     token: str,
-    class_totals: DataFrame,
+    sizes: Column,
     group: str,
-    total: str,
     min_count: int,
     n: int = 12,
     classes: int = len(LABELS),
 ) -> DataFrame:
     """The ``n`` terms of each class most over-represented there.
 
-    ``counts`` comes from ``term_class_counts``; ``class_totals`` holds the size of each
-    class in the unit the counts are in.
+    ``counts`` comes from ``term_class_counts``; ``sizes`` is a struct of ``each``, the size of
+    every class in the unit the counts are in, and ``grand``, their sum.
     """
-    grand = scalar_of(class_totals, F.sum(total))
     per_class = F.array(
         *[F.struct(F.lit(i).alias(group), F.col(f"n_{i}").alias("n_in")) for i in range(classes)]
     )
@@ -142,23 +140,25 @@ def lift(
         .select(token, "n_all", "_c.*")
         .filter(F.col("n_in") > 0)
     )
-    scored = long.join(F.broadcast(class_totals), group).withColumn(
-        "lift", F.round((F.col("n_in") / F.col(total)) / (F.col("n_all") / grand), 6)
-    )
+    share = F.col("n_in") / F.get(sizes["each"], F.col(group))
+    scored = long.withColumn("lift", F.round(share / (F.col("n_all") / sizes["grand"]), 6))
     return top_per_key(scored, [group], [F.desc("lift"), F.asc(token)], n, "rank").select(
         group, "rank", token, "lift", "n_in"
     )
 
 
+def _sizes(of: DataFrame, each: Sequence[Column], grand: Column) -> Column:
+    """Class sizes as one scalar subquery."""
+    return of.agg(F.struct(F.array(*each).alias("each"), grand.alias("grand")).alias("s")).scalar()
+
+
 def class_terms(words: DataFrame, token: str, group: str, min_count: int = 5, n: int = 12) -> DataFrame:
     """Lift by occurrences: share of the class's words over share of all words."""
     counts = term_class_counts(words, token, group, len(LABELS))
-    # Class sizes are column sums of the same counts, so the words are made only once.
-    sums = [
-        F.struct(F.lit(i).alias(group), F.sum(f"n_{i}").alias("class_total")) for i in range(len(LABELS))
-    ]
-    totals = counts.agg(F.array(*sums).alias("_t")).select(F.inline("_t"))
-    return lift(counts, token, totals, group, "class_total", min_count, n)
+    # Class sizes are sums of the very same columns, so both sides share one exchange and the
+    # words are made only once.
+    each = [F.sum(f"n_{i}") for i in range(len(LABELS))]
+    return lift(counts, token, _sizes(counts, each, F.sum("n_all")), group, min_count, n)
 
 
 def class_terms_by_document(
@@ -167,8 +167,8 @@ def class_terms_by_document(
     """Lift by documents: each document counts a word once."""
     words = explode_rows(docs, [group], F.array_distinct(tokens), "token")
     counts = term_class_counts(words, "token", group, len(LABELS))
-    totals = docs.groupBy(group).agg(F.count("*").alias("class_total"))
-    return lift(counts, "token", totals, group, "class_total", min_docs, n)
+    each = [F.count_if(F.col(group) == i) for i in range(len(LABELS))]
+    return lift(counts, "token", _sizes(docs, each, F.count("*")), group, min_docs, n)
 
 
 def transitions(df: DataFrame, old: str, new: str) -> DataFrame:

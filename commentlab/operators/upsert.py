@@ -65,6 +65,13 @@ def missing_rows(source: DataFrame, derived: DataFrame, key: str) -> DataFrame:
     return source.join(derived.select(key), key, "left_anti")
 
 
+def all_found(source: DataFrame, derived: DataFrame, key: str) -> DataFrame:
+    """The rows of ``derived`` for the keys of ``source``; a key without a row fails the job."""
+    found = source.select(key).distinct().join(derived.withColumn("_found", F.lit(True)), key, "left")
+    lost = F.raise_error(F.concat(F.lit(f"no row for {key} "), F.coalesce(F.col(key).cast("string"), F.lit("NULL"))))
+    return found.filter(F.when(F.col("_found"), True).otherwise(lost.cast("boolean"))).drop("_found")
+
+
 def set_membership(members: DataFrame, subset: str, ids: DataFrame, key: str) -> DataFrame:
     """The (subset, id) table with one subset's members replaced."""
     listed = ids.select(F.lit(subset).alias("subset"), key).distinct()

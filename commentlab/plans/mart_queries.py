@@ -83,20 +83,20 @@ def raw_predictions(spark, sf):
 
 @query("standard_predictions", "D4 P10 T26 T28 U1", f"""WITH {PREDICTIONS_SQL},
 p AS (SELECT *, {NAME_SQL.format('actual')} AS a, {NAME_SQL.format('predicted')} AS b FROM predictions)
-SELECT CASE WHEN lang = 'en' THEN 'first' ELSE 'second' END AS model, CAST(comment_id AS VARCHAR) AS comment_id, md5(text) AS text,
+SELECT 'pages' AS dataset, CASE WHEN lang = 'en' THEN 'first' ELSE 'second' END AS model, CAST(comment_id AS VARCHAR) AS comment_id, md5(text) AS text,
   a AS actual_label, b AS predicted_label, a = b AS is_correct, CASE WHEN a = b THEN 'Benar' ELSE 'Salah' END AS error_status,
   a || ' → ' || b AS error_pair, CASE WHEN lang = 'en' THEN confidence END AS confidence FROM p""")
 def standard_predictions(spark, sf):
     return union_all([
-        mart.standard_predictions(df).withColumn("model", F.lit(name)) for name, df in raw_predictions(spark, sf).items()])
+        mart.standard_predictions(df, "pages", name) for name, df in raw_predictions(spark, sf).items()])
 
 
-@query("standard_features", "D5 P10 G13", """SELECT p_brand AS label, p_name AS feature, p_retailprice AS weight,
+@query("standard_features", "D5 P10 G13", """SELECT 'parts' AS dataset, 'price' AS model, p_brand AS label, p_name AS feature, p_retailprice AS weight,
   row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rank FROM part""")
 def standard_features(spark, sf):
     raw = table(spark, sf, "part").select(
         F.col("p_brand").alias("kelas"), F.col("p_name").alias("kata"), F.col("p_retailprice").alias("koef"), "p_partkey")
-    return mart.standard_features(raw, "p_partkey")
+    return mart.standard_features(raw, "p_partkey", "parts", "price")
 
 
 @query("typed_columns", "P12", """SELECT event_id, TRY_CAST(CASE WHEN event_type = 'error' THEN 'n/a' ELSE CAST(value AS VARCHAR) END AS DOUBLE) AS weight,

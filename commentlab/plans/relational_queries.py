@@ -241,6 +241,14 @@ def missing_metadata(spark, sf):
     return upsert.missing_rows(ids, meta, "comment_id")
 
 
+@query("found_metadata", "J13", """SELECT l.doc_id AS comment_id, d.source AS video_id FROM labels l JOIN documents d ON l.doc_id = d.doc_id""")
+def found_metadata(spark, sf):
+    """Every labelled id has its metadata; a lost one would fail the query."""
+    ids = table(spark, sf, "labels").select(F.col("doc_id").alias("comment_id"))
+    meta = table(spark, sf, "documents").select(F.col("doc_id").alias("comment_id"), F.col("source").alias("video_id"))
+    return upsert.all_found(ids, meta, "comment_id")
+
+
 @query("union_of_parts", "U1", """SELECT 'order' AS part, o_orderkey AS id FROM orders WHERE o_orderstatus = 'P'
 UNION ALL SELECT 'customer', c_custkey FROM customer UNION ALL SELECT 'supplier', s_suppkey FROM supplier""")
 def union_of_parts(spark, sf):

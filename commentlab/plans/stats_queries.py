@@ -368,20 +368,22 @@ def eda_report(spark, sf):
     def one(frame):
         return frame.select(F.to_json(F.struct(*frame.columns)).alias("v")).scalar()
 
-    def table_json(frame, order):
-        rows = F.sort_array(F.collect_list(F.struct(*order)))
-        return frame.agg(F.to_json(rows).alias("v")).scalar()
+    def table_json(frame, order, shown=None):
+        """The rows in the order of the columns ``order``, of which those ``shown`` come out."""
+        rows = F.sort_array(F.collect_list(F.struct(*order, *(c for c in shown or () if c not in order))))
+        cut = F.transform(rows, lambda r: F.struct(*(r[c].alias(c) for c in shown or order)))
+        return frame.agg(F.to_json(cut).alias("v")).scalar()
 
     texts = {"raw": "text", "feature": "feature", "minimal": "minimal"}
     vocab = stats.vocabulary_size(words, "token")
-    top = stats.top_terms(words, "token").select((-F.col("n")).alias("neg_n"), "token")
+    top = stats.top_terms(words, "token").select((-F.col("n")).alias("place"), "token", "n")
     lift = stats.class_terms(words, "token", "label_id")
     return df.agg(F.count("*").alias("n_total")).select(
         "n_total",
         table_json(stats.class_distribution(df, "label_id"), ["label_id", "n"]).alias("class_distribution"),
         one(stats.length_profile(df, texts, ["raw", "feature"])).alias("length"),
         one(vocab).alias("vocabulary"),
-        table_json(top, ["neg_n", "token"]).alias("top_terms"),
+        table_json(top, ["place", "token"], ["token", "n"]).alias("top_terms"),
         one(stats.quality(df, "feature")).alias("quality"),
         one(stats.leakage(folded, "comment_id", "feature", "fold")).alias("leakage"),
         table_json(lift, ["label_id", "rank", "token", "lift", "n_in"]).alias("class_terms"),

@@ -284,6 +284,24 @@ def domain_flags(spark, sf):
     return flags.select("*", *[c.alias(n) for n, c in tx.flag_interactions().items()])
 
 
+REAL_TEXT = "concat(lang, ' gak ', text, ' tidak bisa yg korupsi ', lang)"
+
+
+@query("full_word_lists", "T4 T6 T18 T19", f"""WITH c AS (SELECT doc_id AS comment_id, {REAL_TEXT} AS t FROM documents),
+w AS (SELECT comment_id, lower(t) AS low, {st.join_words(st.feature_words('t', lx.SLANG, lx.STOPWORDS))} AS words FROM c)
+SELECT comment_id, md5(words) AS words_md5,
+  md5(regexp_replace(words, '(^| )({'|'.join(lx.NEGATORS)}) ([^ ]+)', '\\1\\2_\\3', 'g')) AS negated_md5,
+  {', '.join(f"CAST({st.has_match('low', p)} AS INTEGER) AS {n}" for n, p in lx.DOMAIN_PATTERNS.items())} FROM w""")
+def full_word_lists(spark, sf):
+    """The whole lists of the operators' defaults, on texts that hold some of their words."""
+    text = F.concat(F.col("lang"), F.lit(" gak "), F.col("text"), F.lit(" tidak bisa yg korupsi "), F.col("lang"))
+    rows = text_table(spark, sf, DOCS).select(F.col("doc_id").alias("comment_id"), text.alias("t"))
+    rows = rows.withColumn("words", tx.feature_text("t"))
+    return rows.select(
+        "comment_id", F.md5("words").alias("words_md5"), F.md5(tx.merge_negation("words")).alias("negated_md5"),
+        *[c.alias(n) for n, c in tx.domain_flags("t").items()])
+
+
 @query("text_preview", "T21",
        "SELECT doc_id AS comment_id, CASE WHEN length(text) > 170 THEN substr(text, 1, 170) || '...' "
        "ELSE text END AS preview FROM documents")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -15,9 +15,14 @@ def write_parquet(df: DataFrame, path: str, partition_by: str | None = None) ->
     writer.parquet(path)
 
 
-def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
-    """CSV with header. ``single_file`` is for small results only: one task writes it all."""
+def write_csv(df: DataFrame, path: str, single_file: bool = False, bom: bool = False) -> None:
+    """CSV with header. ``single_file`` is for small results only: one task writes it all.
+
+    ``bom`` puts a byte order mark before the first name of each file, for spreadsheets.
+    """
     out = df.coalesce(1) if single_file else df
+    if bom:
+        out = out.withColumnRenamed(out.columns[0], "\ufeff" + out.columns[0])
     out.write.mode("overwrite").csv(path, header=True, escape='"')
 
 
@@ -31,40 +36,43 @@ def write_report(df: DataFrame, path: str) -> None:
 
 
 def write_mart(spark: SparkSession, tables: Mapping[str, DataFrame], path: str) -> DataFrame:
-    """Write each table as CSV and return the manifest, with the rows that the files hold."""
+    """Write each table as CSV and return the manifest; the rows are counted as they are written."""
     rows = []
     for name, df in tables.items():
-        write_csv(df, f"{path}/{name}")
-        written = spark.read.csv(f"{path}/{name}", header=True, multiLine=True, escape='"')
-        rows.append((name, written.count(), len(df.columns), ", ".join(df.columns)))
+        seen = Observation(name)
+        write_csv(df.observe(seen, F.count(F.lit(1)).alias("rows")), f"{path}/{name}")
+        rows.append((name, seen.get["rows"], len(df.columns), ", ".join(df.columns)))
     schema = "file_name string, rows bigint, columns int, column_names string"
     return spark.createDataFrame(rows, schema)
 
 
-def _versions(spark: SparkSession, root: str) -> list[str]:
-    jvm = spark._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(root)
+def _entries(spark: SparkSession, root: str) -> list[str]:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
     fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        return []
-    done = [
-        s.getPath().toString()
-        for s in fs.listStatus(folder)
-        if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))
-    ]
-    return sorted(done)
+    return sorted(s.getPath().toString() for s in fs.listStatus(folder)) if fs.exists(folder) else []
+
+
+def _versions(spark: SparkSession, root: str) -> list[str]:
+    """The complete versions of a table, oldest first."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    return [v for v in _entries(spark, root) if fs.exists(path(v, "_SUCCESS"))]
 
 
 def publish(df: DataFrame, root: str) -> str:
     """Write ``df`` as the next version of a table; readers see it once it is complete.
 
-    So a table can be rewritten from itself, and a lost job leaves the old version in place.
+    So a table can be rewritten from itself, and a lost job leaves the old version in place. A
+    claim file, made only if there is none, gives each version to one writer: a second writer of
+    the same version fails.
     """
     spark = df.sparkSession
-    known = _versions(spark, root)
-    number = int(known[-1].rsplit("=", 1)[1]) + 1 if known else 1
+    known = [int(v.rsplit("=", 1)[1]) for v in (*_versions(spark, root), *_entries(spark, f"{root}/_claims"))]
+    number = max(known, default=0) + 1
+    claim = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_claims/version={number:08d}")
+    claim.getFileSystem(spark._jsc.hadoopConfiguration()).create(claim, False).close()
     path = f"{root}/version={number:08d}"
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("errorifexists").parquet(path)
     return path
 
 

@@ -260,3 +260,10 @@ def test_raw_json_keeps_unknown_fields(spark):
     page = spark.createDataFrame([("v", "u", "t", json.dumps({"items": [item]}))], "video_id string, source_url string, source_title string, b string")
     rows = ingest.flatten_pages(page.withColumn("p", F.from_json("b", ingest.PAGE)), "p.items", "now").collect()
     assert json.loads(rows[0]["raw_json"]) == item and rows[0]["comment_id"] == "c"
+
+
+def test_lost_ids_fail(spark):
+    ids = spark.createDataFrame([(1,), (2,), (2,)], "id int")
+    assert upsert.all_found(ids, spark.createDataFrame([(1, "a"), (2, None)], "id int, x string"), "id").count() == 2
+    with pytest.raises(Exception, match="no row for id 2"):
+        upsert.all_found(ids, spark.createDataFrame([(1, "a")], "id int, x string"), "id").collect()

@@ -246,3 +246,28 @@ def test_broken_batch_lines_fail(spark, tmp_path):
         path.write_text('{"idx":1,"label":"\\tpositif\\n"}\n \t \n' + line + "\n")
         with pytest.raises(Exception, match="no idx in line"):
             readers.read_batches(spark, str(path)).collect()
+
+
+def test_vocabulary_is_never_cut(spark):
+    df = corpus(spark).select("id", F.split("t", " ").alias("terms"))
+    n = df.select(F.explode("terms")).distinct().count()
+    assert len(Pipeline(stages=models.bag("terms", "v", 1.0, n)).fit(df).stages[0].vocabulary) == n
+    with pytest.raises(ValueError, match="larger vocabulary"):
+        Pipeline(stages=models.bag("terms", "v", 1.0, n - 1)).fit(df)
+
+
+def test_one_writer_per_version(spark, tmp_path):
+    root = str(tmp_path / "t")
+    (tmp_path / "t" / "_claims").mkdir(parents=True)
+    (tmp_path / "t" / "_claims" / "version=00000001").touch()
+    assert writers.publish(spark.range(3), root).endswith("version=00000002")
+    assert readers.read_columns(spark, root + "/version=00000002", ["id"]).count() == 3
+
+
+def test_json_lines_and_marked_csv(spark, tmp_path):
+    writers.write_json(spark.range(2).select("id", F.lit("x").alias("t")), str(tmp_path / "j"))
+    assert sorted(r["id"] for r in spark.read.json(str(tmp_path / "j")).collect()) == [0, 1]
+    writers.write_csv(spark.range(2), str(tmp_path / "c"), single_file=True, bom=True)
+    text = next((tmp_path / "c").glob("*.csv")).read_bytes()
+    assert text.startswith("﻿id".encode())
+    assert sorted(r["id"] for r in readers.read_csv(spark, str(tmp_path / "c"), {"id": "bigint"}).collect()) == [0, 1]
