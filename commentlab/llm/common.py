@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Callable, Sequence
 
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Executors get functions of this module with the task and need not have it installed.
+register_pickle_by_value(sys.modules[__name__])
+
 # White space of a word split: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = r"\x20\x09-\x0D"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -142,3 +148,15 @@ def span_text(found: Column) -> Column:
     return F.concat_ws(
         ",", F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
     )
+
+
+def remembered(name: str, make: Callable[[], object]) -> object:
+    """One object per Python worker, kept between its tasks.
+
+    Functions that come with a task have no module of their own on the worker, so what it
+    remembers hangs on one made here.
+    """
+    memo = sys.modules.setdefault("_worker_memo", types.ModuleType("_worker_memo")).__dict__
+    if name not in memo:
+        memo[name] = make()
+    return memo[name]

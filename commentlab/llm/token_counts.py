@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame
 
+from .common import remembered
+
 register_pickle_by_value(sys.modules[__name__])  # executors need not have the package
 
 SPACE = "▁"
@@ -56,9 +58,8 @@ class Counter(dict):
     def __missing__(self, stretch: str) -> int:
         n = self.pieces(stretch)
         if len(stretch) <= LONGEST:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[stretch] = n
+            if len(self) < REMEMBERED:
+                self[stretch] = n
         return n
 
     def pieces(self, text: str) -> int:
@@ -98,7 +99,7 @@ class Counter(dict):
 
 def count_rows(path: str) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(path)
+        counter = remembered(f"counts {path}", lambda: Counter(path))
         for batch in batches:
             counts = [counter.text(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64())], ["doc_id", "n_tokens"])

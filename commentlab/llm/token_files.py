@@ -16,7 +16,9 @@ from __future__ import annotations
 
 import os
 import sys
-from collections.abc import Callable, Iterable, Iterator
+import unicodedata
+from array import array
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from commentlab.session import materialize, new_path
 
-from .common import whole
+from .common import remembered, whole
 
 register_pickle_by_value(sys.modules[__name__])  # executors need not have the package
 
@@ -37,46 +39,88 @@ END = 1
 MAX_BITS = 18
 # Ids in a block; a segment is closed once it has SEGMENT ids.
 BLOCK, SEGMENT = 256, 1 << 20
-# Pieces of text whose ids a worker remembers, and the longest that it does.
-REMEMBERED, LONGEST = 400_000, 64
+# Runs of text whose ids a worker remembers, the longest that it does, and texts looked at together.
+REMEMBERED, LONGEST, TOGETHER = 600_000, 64, 256
 
 Batches = Iterable[pa.RecordBatch]
 
 
 class Chunks(dict):
     """Ids, as bytes, of runs without a space or line break. The tokenizer's pieces never reach
-    across white space, so a text's ids are those of its runs one after another."""
+    across white space, so a text's ids are those of its runs one after another.
+
+    A run that is a word and a full stop or comma has the ids of both, and those of a word are
+    the same in either case of A-Z, so only new words are given to the tokenizer, many at once.
+    A word that its normalizer leaves alone and its pattern takes whole skips both of them.
+    """
 
     def __init__(self, path: str, kind: str):
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.encode = Tokenizer.from_file(path).encode
+        self.any_text, self.whole_words = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.whole_words.normalizer = None
+        self.whole_words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.kind = kind
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self.encode(chunk, add_special_tokens=False).ids, self.kind).tobytes()
-        if len(chunk) <= LONGEST:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[chunk] = ids
-        return ids
-
-    def text(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+    def encode(self, tokenizer, texts: Iterable[str]) -> dict[str, bytes]:
+        texts, kind = list(texts), self.kind
+        found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return {t: array(kind, e.ids).tobytes() for t, e in zip(texts, found)}
+
+    def learn(self, runs: set[str]) -> dict[str, bytes]:
+        """The ids of runs that are not remembered; some are from now on."""
+        parts, words, others = {}, set(), set()
+        for run in runs:
+            word, tail = (run[:-1], run[-1]) if run[-1:] in (".", ",") else (run, "")
+            if word.isascii() and word.isalpha():
+                word = word.lower()
+            elif not word.isalpha() or unicodedata.normalize("NFC", word) != word or (low := ascii_lower(word)) != low.lower():
+                others.add(run)
+                continue
+            else:
+                word = low
+            parts[run] = (word, tail)
+            if word not in self:
+                words.add(word)
+            if tail and tail not in self:
+                others.add(tail)
+        new = self.encode(self.whole_words, words) | self.encode(self.any_text, others)
+        for run, (word, tail) in parts.items():
+            ids = new.get(word) or self[word]
+            new[run] = ids + (new.get(tail) or self[tail]) if tail else ids
+        if len(self) < REMEMBERED:
+            self.update((k, v) for k, v in new.items() if len(k) <= LONGEST)
+        return new
+
+    def texts(self, texts: Sequence[str]) -> list[bytes]:
+        """The ids of each text."""
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        known = [list(map(self.get, runs)) for runs in split]
+        gaps = [[i for i, ids in enumerate(found) if ids is None] for found in known]
+        new = self.learn({runs[i] for runs, at in zip(split, gaps) for i in at})
+        for runs, found, at in zip(split, known, gaps):
+            for i in at:
+                found[i] = new[runs[i]]
+        return [b"".join(found) for found in known]
+
+
+def ascii_lower(text: str) -> str:
+    return text.encode().lower().decode()
 
 
 def id_kind(path: str) -> str:
-    """The narrowest little-endian type for the vocabulary's ids."""
+    """The narrowest unsigned type for the vocabulary's ids."""
     from tokenizers import Tokenizer
 
-    return "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "<u4"
+    return "H" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "I"
 
 
 def segment_rows(path: str, kind: str, id_type: pa.DataType) -> Callable[[Batches], Iterator[pa.RecordBatch]]:
     def rows(batches: Batches) -> Iterator[pa.RecordBatch]:
-        chunks, part = Chunks(path, kind), TaskContext.get().partitionId()
-        end, width = np.array([END], kind).tobytes(), np.dtype(kind).itemsize
+        chunks = remembered(f"{path} {kind}", lambda: Chunks(path, kind))
+        part = TaskContext.get().partitionId()
+        end, width = array(kind, [END]).tobytes(), np.dtype(kind).itemsize
         segment = first = 0
         docs, sizes, found, n = [], [], [], 0
 
@@ -91,16 +135,17 @@ def segment_rows(path: str, kind: str, id_type: pa.DataType) -> Callable[[Batche
             )
 
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id"), batch.column("text")):
-                ids = chunks.text(text.as_py()) + end
-                docs.append(doc.as_py())
-                sizes.append(len(ids) // width)
-                found.append(ids)
-                n += sizes[-1]
-                if n >= SEGMENT:
-                    yield close()
-                    segment, first = segment + 1, first + n
-                    docs, sizes, found, n = [], [], [], 0
+            for at in range(0, batch.num_rows, TOGETHER):
+                some = batch.slice(at, TOGETHER)
+                for doc, ids in zip(some.column("doc_id").to_pylist(), chunks.texts(some.column("text").to_pylist())):
+                    docs.append(doc)
+                    sizes.append(len(ids) // width + 1)
+                    found += (ids, end)
+                    n += sizes[-1]
+                    if n >= SEGMENT:
+                        yield close()
+                        segment, first = segment + 1, first + n
+                        docs, sizes, found, n = [], [], [], 0
         if docs:
             yield close()
 
