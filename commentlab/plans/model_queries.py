@@ -15,7 +15,7 @@ from . import sqltext as st
 from .ranking_queries import SPLIT_SQL
 from .registry import query
 from .tables import LABELLED_SQL, labelled, table
-from .text_queries import DEMO_NEGATORS, DEMO_PATTERNS, DEMO_SLANG, DEMO_STOPWORDS
+from .text_queries import DEMO_PATTERNS, DEMO_SLANG, DEMO_STOPWORDS
 
 
 def folded_features(spark, sf):
@@ -89,38 +89,20 @@ def top_model_features(spark, sf):
 
 @query("version_sweep", "M31 M30")
 def version_sweep(spark, sf):
-    """Grid search, refit and test scores for each subset of the data."""
+    """The SVM's test scores for each subset of the data, at one setting; ``svm_grid_search`` and
+    ``models.refit_best`` find a setting of its own for a subset."""
     base = labelled(spark, sf).select(
         "comment_id", "label_id", "lang", "n_chars", tx.feature_text("text", DEMO_SLANG, DEMO_STOPWORDS).alias("feature"))
     subsets = {"all": base, "english": base.filter("lang = 'en'"), "long": base.filter("n_chars >= 1000")}
     parts = []
     for name, df in subsets.items():
-        folded = materialize(stratified_split(df, "comment_id", "label_id"), "folds", "fold")
-        grid = models.grid_search(folded, "feature", "label_id")
-        _, predicted = models.refit_best(folded, "feature", "label_id", grid)
+        train, test = train_test(materialize(stratified_split(df, "comment_id", "label_id"), "folds", "fold"))
+        stages = models.word_stages("feature", 2.0)
+        _, predicted = models.fit_and_predict(train, test, stages, models.linear_svm("label_id", 0.01), "label_id")
         parts.append(evaluate(predicted, "label_id", "prediction").withColumn("subset", F.lit(name)))
     return union_all(parts)
 
 
-@query("variant_scores", "M30 T18 M19")
-def variant_scores(spark, sf):
-    """Words, merged negation, letters, both, other classifiers and tuned biases, each on the test
-    fold and out of fold, beside the accuracy of the largest class."""
-    df = folded_features(spark, sf).withColumn("negated", tx.merge_negation("feature", DEMO_NEGATORS))
-    df = materialize(models.with_char_terms(models.nonempty(df, "feature"), "feature"), "variants")
-    words = lambda: models.word_stages("feature", 2.0)
-    svm = lambda: models.linear_svm("label_id")
-    variants = {
-        "base": (words, svm),
-        "negation": (lambda: models.word_stages("negated", 2.0), svm),
-        "char": (lambda: models.bag("char_terms", "features", 3.0), svm),
-        "both": (lambda: models.union_stages("feature"), svm),
-        "logistic": (words, lambda: models.logistic("label_id")),
-        "naive_bayes": (words, lambda: models.complement_nb("label_id")),
-    }
-    return models.variant_scores(df, "comment_id", "label_id", variants, "base")
-
-
 FOLD_SQL = f"""WITH {LABELLED_SQL}, members AS (SELECT comment_id, label_id FROM labelled),
 {SPLIT_SQL}"""
 FEATURE_FILLED = f"{st.join_words(st.feature_words('text', DEMO_SLANG, DEMO_STOPWORDS))} <> ''"
@@ -149,14 +131,6 @@ def out_of_fold_rows(spark, sf):
         "comment_id", "label_id", "kfold", F.col("prediction").isin(0.0, 1.0, 2.0).alias("known_class"))
 
 
-@query("svm_grid_points", "M13", """SELECT CAST(m AS DOUBLE) AS min_df, CAST(r AS DOUBLE) AS reg, TRUE AS in_range
-FROM (VALUES (1), (2), (3)) a(m), (VALUES (0.0001), (0.001), (0.01), (0.1)) b(r)""")
-def svm_grid_points(spark, sf):
-    """Every setting is tried once and has a score in range."""
-    grid = models.grid_search(folded_features(spark, sf), "feature", "label_id")
-    return grid.select("min_df", "reg", F.col("macro_f1").between(0, 1).alias("in_range"))
-
-
 @query("embedding_classifier", "M32 M8")
 def embedding_classifier(spark, sf):
     vectors = table(spark, sf, "embeddings").select(

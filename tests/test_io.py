@@ -271,3 +271,12 @@ def test_json_lines_and_marked_csv(spark, tmp_path):
     text = next((tmp_path / "c").glob("*.csv")).read_bytes()
     assert text.startswith("﻿id".encode())
     assert sorted(r["id"] for r in readers.read_csv(spark, str(tmp_path / "c"), {"id": "bigint"}).collect()) == [0, 1]
+
+
+def test_variants_beside_the_majority(spark):
+    df = corpus(spark).withColumn("fold", F.when(F.col("id") % 5 == 0, "test").otherwise("train"))
+    words = lambda: models.word_stages("t", 1.0, size=500)
+    variants = {"base": (words, lambda: models.logistic("y", max_iter=5)), "naive_bayes": (words, lambda: models.complement_nb("y"))}
+    rows = {r["variant"]: r for r in models.variant_scores(df, "id", "y", variants, "base", k=2).collect()}
+    assert set(rows) == {"base", "bias", "naive_bayes"}
+    assert all(r["macro_f1"] > 0.9 and r["oof_macro_f1"] > 0.9 and r["accuracy"] > r["majority_accuracy"] for r in rows.values())
