@@ -12,16 +12,21 @@ from ..operators.metrics import evaluate
 from ..operators.ranking import stratified_split
 from ..session import materialize
 from . import sqltext as st
-from .ranking_queries import SPLIT_SQL
 from .registry import query
 from .tables import LABELLED_SQL, labelled, table
 from .text_queries import DEMO_PATTERNS, DEMO_SLANG, DEMO_STOPWORDS
 
 
+# Solver steps of the registered queries. Each step is a Spark job; the operators' own default of
+# 50 takes some forty seconds a fit on the small tables, whatever their size.
+STEPS = 10
+
+
 def folded_features(spark, sf):
     df = labelled(spark, sf).select(
         "comment_id", "label_id", "text", tx.feature_text("text", DEMO_SLANG, DEMO_STOPWORDS).alias("feature"))
-    return materialize(stratified_split(df, "comment_id", "label_id"), "folds", "fold")
+    # Solvers run a job per step: small tables are best in few partitions, large ones are split.
+    return materialize(stratified_split(df, "comment_id", "label_id").hint("rebalance"), "folds", "fold")
 
 
 def train_test(folded):
@@ -35,14 +40,14 @@ def test_table(predicted):
 
 @query("svm_grid_search", "M13 M26")
 def svm_grid_search(spark, sf):
-    return models.grid_search(folded_features(spark, sf), "feature", "label_id")
+    return models.grid_search(folded_features(spark, sf), "feature", "label_id", max_iter=STEPS)
 
 
 @query("svm_test_predictions", "M9 M13 M16 M24 P2 F4 F6")
 def svm_test_predictions(spark, sf):
     folded = folded_features(spark, sf)
-    grid = models.grid_search(folded, "feature", "label_id")
-    _, predicted = models.refit_best(folded, "feature", "label_id", grid)
+    grid = models.grid_search(folded, "feature", "label_id", max_iter=STEPS)
+    _, predicted = models.refit_best(folded, "feature", "label_id", grid, max_iter=STEPS)
     return models.with_margin(predicted).select("comment_id", "label_id", F.col("prediction").cast("int").alias("predicted"), "margin")
 
 
@@ -50,7 +55,7 @@ def svm_test_predictions(spark, sf):
 def logistic_test_predictions(spark, sf):
     train, test = train_test(folded_features(spark, sf))
     stages = models.word_stages("feature", 2.0)
-    return test_table(models.fit_and_predict(train, test, stages, models.logistic("label_id"), "label_id")[1])
+    return test_table(models.fit_and_predict(train, test, stages, models.logistic("label_id", max_iter=STEPS), "label_id")[1])
 
 
 @query("naive_bayes_test_predictions", "M11")
@@ -67,7 +72,7 @@ def word_and_char_test_predictions(spark, sf):
     df = materialize(models.with_char_terms(flagged, "feature"), "terms")
     train, test = train_test(df)
     stages = models.union_stages("feature", [*flags, *products])
-    return test_table(models.fit_and_predict(train, test, stages, models.linear_svm("label_id"), "label_id")[1])
+    return test_table(models.fit_and_predict(train, test, stages, models.linear_svm("label_id", max_iter=STEPS), "label_id")[1])
 
 
 @query("out_of_fold_predictions", "M14 G7")
@@ -75,7 +80,7 @@ def out_of_fold_predictions(spark, sf):
     df = models.nonempty(folded_features(spark, sf).drop("fold"), "feature")
     predicted = models.out_of_fold(
         df, "comment_id", "label_id", lambda: models.word_stages("feature", 2.0),
-        lambda: models.linear_svm("label_id"), 5)
+        lambda: models.linear_svm("label_id", max_iter=STEPS), 5)
     return predicted.select("comment_id", "label_id", "kfold", F.col("prediction").cast("int").alias("predicted"))
 
 
@@ -83,7 +88,7 @@ def out_of_fold_predictions(spark, sf):
 def top_model_features(spark, sf):
     train, test = train_test(folded_features(spark, sf))
     stages = models.word_stages("feature", 2.0)
-    model, _ = models.fit_and_predict(train, test, stages, models.linear_svm("label_id"), "label_id")
+    model, _ = models.fit_and_predict(train, test, stages, models.linear_svm("label_id", max_iter=STEPS), "label_id")
     return models.top_coefficients(model)
 
 
@@ -96,27 +101,16 @@ def version_sweep(spark, sf):
     subsets = {"all": base, "english": base.filter("lang = 'en'"), "long": base.filter("n_chars >= 1000")}
     parts = []
     for name, df in subsets.items():
-        train, test = train_test(materialize(stratified_split(df, "comment_id", "label_id"), "folds", "fold"))
+        train, test = train_test(materialize(stratified_split(df, "comment_id", "label_id").hint("rebalance"), "folds", "fold"))
         stages = models.word_stages("feature", 2.0)
-        _, predicted = models.fit_and_predict(train, test, stages, models.linear_svm("label_id", 0.01), "label_id")
+        _, predicted = models.fit_and_predict(train, test, stages, models.linear_svm("label_id", 0.01, STEPS), "label_id")
         parts.append(evaluate(predicted, "label_id", "prediction").withColumn("subset", F.lit(name)))
     return union_all(parts)
 
 
-FOLD_SQL = f"""WITH {LABELLED_SQL}, members AS (SELECT comment_id, label_id FROM labelled),
-{SPLIT_SQL}"""
 FEATURE_FILLED = f"{st.join_words(st.feature_words('text', DEMO_SLANG, DEMO_STOPWORDS))} <> ''"
 
 
-@query("svm_test_rows", "M9 M16 M24", FOLD_SQL + " SELECT comment_id, label_id, TRUE AS known_class FROM folded WHERE fold = 'test'")
-def svm_test_rows(spark, sf):
-    """What of the test predictions SQL can say: each row of the test fold once, with a class."""
-    train, test = train_test(folded_features(spark, sf))
-    _, predicted = models.fit_and_predict(
-        train, test, models.word_stages("feature", 2.0), models.linear_svm("label_id"), "label_id")
-    return predicted.select("comment_id", "label_id", F.col("prediction").isin(0.0, 1.0, 2.0).alias("known_class"))
-
-
 @query("out_of_fold_rows", "M14 M11", f"""WITH {LABELLED_SQL}, members AS (SELECT comment_id, label_id FROM labelled WHERE {FEATURE_FILLED}),
 r AS (SELECT comment_id, label_id, row_number() OVER (PARTITION BY label_id ORDER BY md5('42:' || comment_id), comment_id) AS r,
       count(*) OVER (PARTITION BY label_id) AS n FROM members)
