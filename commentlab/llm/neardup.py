@@ -179,12 +179,16 @@ def report(docs: DataFrame) -> DataFrame:
     )
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """One document of each component, that with the smallest id, with its own columns."""
-    rows = rooted(fingerprints(docs))
+def keep_first(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Of the ``rows`` with a ``root`` each, the document with the smallest id, with its own columns."""
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
     chosen = rows.groupBy("root").agg(F.min(first).alias("first")).select("first.doc_id", "first.text_key").distinct()
     keyed = packed(docs).withColumns({"doc_id": F.col("row.doc_id"), "text_key": text_key("row.text")})
     kept = keyed.join(chosen, same(keyed, chosen, ["doc_id", "text_key"]), "left_semi")
     order = F.xxhash64(*(F.col(f"row.`{c}`").cast("string") for c in docs.columns if c not in ("text",)))
     return unpacked(first_per_key(kept, ["doc_id", "text_key"], [order]))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One document of each component, that with the smallest id, with its own columns."""
+    return keep_first(docs, rooted(fingerprints(docs)))

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 
 import brute
@@ -13,7 +14,7 @@ from oracle import compare, connect
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from commentlab.llm import mixing, neardup, sharding, token_counts, token_files, urls
+from commentlab.llm import mixing, nearcopies, neardup, sharding, token_counts, token_files, urls
 from commentlab.llm import queries as llm
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -220,6 +221,57 @@ def test_one_of_each(odd_docs, no_docs, real_docs):
     assert sorted(r[0] for r in neardup.one_of_each(real_docs).select("doc_id").collect()) == sorted(set(brute.components(prints)))
 
 
+def similar_groups(docs, size=5, least=0.8):
+    """Rows of docs in components of all pairs that are similar enough, in plain Python."""
+    def shingles(text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", brute.lower(text or ""))
+        return frozenset(tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))) if w else frozenset()
+
+    sets = sorted({shingles(t) for _, t in docs}, key=lambda s: sorted(s))
+    root = list(range(len(sets)))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if len(x & y) >= least * len(x | y):
+                old, new = root[i], root[j]
+                root = [new if r == old else r for r in root]
+    at = {s: root[i] for i, s in enumerate(sets)}
+    groups = {}
+    for i, t in docs:
+        groups.setdefault(at[shingles(t)], []).append(i)
+    return list(groups.values())
+
+
+def test_near_copies_of_the_stage(spark, real_docs, odd_docs, no_docs):
+    """Five words and 0.8: near copies many fingerprint bits apart go, looser ones stay."""
+    rnd = random.Random(3)
+    text = [f"w{rnd.randrange(10**6)}" for _ in range(100)]
+
+    def changed(*places):
+        return " ".join("other" if i in places else w for i, w in enumerate(text))
+
+    made = [(1, changed()), (2, changed(20, 60)), (3, changed(10, 30, 50, 70, 90)), (4, changed(60, 80)), (None, changed(95))]
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    near = lambda df: corpus_pipeline.near_duplicates(spark, df, "")
+    assert sorted(r["doc_id"] for r in near(docs).collect()) == [1, 3]
+    assert neardup.one_of_each(docs).count() > 2
+    least = lambda ids: min((i for i in ids if i is not None), default=None)
+    for df in (real_docs, odd_docs):
+        kept = near(df)
+        assert kept.columns == df.columns
+        assert rows_of(kept, "doc_id") == ordered((least(g),) for g in similar_groups(pairs(df)))
+    assert near(no_docs).count() == 0
+
+
+def test_near_copies_beside_the_least_text(spark):
+    """Texts of one band that are near each other, but not the band's least text, are linked."""
+    rnd = random.Random(4)
+    text = [f"w{rnd.randrange(10**6)}" for _ in range(200)]
+    docs = [(i, " ".join(w if (j // 10) % 12 != i % 12 else f"v{i}" for j, w in enumerate(text))) for i in range(12)]
+    docs += [(100 + i, t + " end") for i, t in docs]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert rows_of(nearcopies.one_of_each(df), "doc_id") == ordered((min(g),) for g in similar_groups(docs))
+
+
 # --- urls --------------------------------------------------------------------------------
 
 
