@@ -84,7 +84,9 @@ def forest(left: np.ndarray, right: np.ndarray, same_tile: bool) -> tuple[np.nda
     for start in range(0, len(left), BLOCK):
         near = np.bitwise_count(left[start : start + BLOCK, None] ^ right[None, :]) <= RADIUS
         i, j = np.nonzero(near)
-        i, j = i + start, j + shift
+        # The stars of earlier blocks go along: a root that is lowered must take all its nodes with it.
+        held = np.nonzero(root != np.arange(len(nodes)))[0]
+        i, j = np.concatenate([i + start, held]), np.concatenate([j + shift, root[held]])
         while True:
             low = np.minimum(root[i], root[j])
             before = root.copy()

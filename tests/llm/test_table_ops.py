@@ -208,6 +208,26 @@ def test_links_find_every_pair(spark, monkeypatch):
     assert groups(roots) == groups(least)
 
 
+def test_forest_of_several_blocks():
+    """Links of an earlier block hold when a later one lowers their roots (left tile over BLOCK)."""
+    fill = [(0xFFFF_FFFF << 32) | (i * 0x0101_0101 * 7 & 0xFFFF_FFFF) for i in range(neardup.BLOCK)]
+    bits = lambda *at: sum(1 << b for b in at)
+    first = [bits(1, 2), bits(9, 10), bits(5, 6)]
+    left = first + fill[: neardup.BLOCK - len(first)] + [bits(3, 4), bits(7, 8)]
+    right = [bits(*a, *b) for a, b in (((1, 2), (3, 4)), ((5, 6), (3, 4)), ((9, 10), (7, 8)), ((5, 6), (7, 8)))]
+    rows = [np.array(x, np.uint64) for x in (left, right)]
+    root = {p: p for p in left + right}
+
+    def top(p):
+        while root[p] != p:
+            p = root[p]
+        return p
+
+    for a, b in zip(*(x.tolist() for x in neardup.forest(*rows, False))):
+        root[top(a)] = top(b)
+    assert len({top(p) for p in first + left[-2:] + right}) == 1
+
+
 def test_one_of_each(odd_docs, no_docs, real_docs):
     kept = neardup.one_of_each(odd_docs)
     assert kept.columns == odd_docs.columns
