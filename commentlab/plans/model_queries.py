@@ -94,16 +94,15 @@ def top_model_features(spark, sf):
 
 @query("version_sweep", "M31 M30")
 def version_sweep(spark, sf):
-    """The SVM's test scores for each subset of the data, at one setting; ``svm_grid_search`` and
-    ``models.refit_best`` find a setting of its own for a subset."""
+    """The SVM's test scores for each subset of the data, at the subset's own best setting."""
     base = labelled(spark, sf).select(
         "comment_id", "label_id", "lang", "n_chars", tx.feature_text("text", DEMO_SLANG, DEMO_STOPWORDS).alias("feature"))
     subsets = {"all": base, "english": base.filter("lang = 'en'"), "long": base.filter("n_chars >= 1000")}
     parts = []
     for name, df in subsets.items():
-        train, test = train_test(materialize(stratified_split(df, "comment_id", "label_id").hint("rebalance"), "folds", "fold"))
-        stages = models.word_stages("feature", 2.0)
-        _, predicted = models.fit_and_predict(train, test, stages, models.linear_svm("label_id", 0.01, STEPS), "label_id")
+        folded = materialize(stratified_split(df, "comment_id", "label_id").hint("rebalance"), "folds", "fold")
+        grid = models.grid_search(folded, "feature", "label_id", max_iter=STEPS)
+        _, predicted = models.refit_best(folded, "feature", "label_id", grid, max_iter=STEPS)
         parts.append(evaluate(predicted, "label_id", "prediction").withColumn("subset", F.lit(name)))
     return union_all(parts)
 
