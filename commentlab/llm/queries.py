@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, mixing, neardup, pii, quality, secrets, sharding, token_counts, token_files, urls
+from . import collocations, decontamination, mixing, neardup, pii, quality, secrets, sharding, token_counts, token_files, urls
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,3 +75,11 @@ def op3_token_files(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op9_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     return urls.report(documents(spark, sf, "pages"))
+
+
+@query
+def op12_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf))
+
+
+ORACLE_SQL["op12_collocations"] = collocations.ORACLE_SQL
