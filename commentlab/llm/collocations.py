@@ -1,12 +1,14 @@
 """Phrase collocations from one count of the longest windows.
 
 Each word gives one window: itself and its lead columns, the next ``size - 1`` words of its piece,
-null past the end. A window lies inside one row's array, so leads are shifted slices of it and need no
-shuffle. Only these windows are counted; ``ROLLUP`` over the counts sums them to every shorter
-prefix, down to the number of words, so no text is exploded into n-grams of each length.
+null past the end. Only these windows are counted, first within a task (numpy over numbered words),
+then over all; no text is exploded into n-grams of each length. Windows are dealt out by their first
+words, so sums over the last ones need no shuffle; a pair that is too rare to be a phrase, or a part of
+one, ends after its first word, and ``ROLLUP`` sums what is left to all shorter prefixes, down to
+the number of words.
 
-Everything is per language. Sums combine before each shuffle, so a hot phrase is one row a task;
-lookups of single words, the only parts that many phrases share, are salted.
+Everything is per language. Windows are combined before the shuffle, so a hot pair of words is a row
+per task and window; counts of the few words that many phrases share are broadcast.
 
 Defined cases: a null text is empty and gives nothing, a null language is ``und``; ids are not used,
 so repeated rows count as often as they occur; a language without phrases has no rows; ties end
@@ -15,85 +17,185 @@ with the phrase itself, which is unique; other columns are ignored; an empty tab
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from commentlab.operators.keyed import salts_of, top_per_key
+from commentlab.operators.keyed import scalar_of, top_per_key, union_all
 from commentlab.session import materialize
 
-from .common import ascii_lower, whole
+register_pickle_by_value(sys.modules[__name__])  # executors need not have the package
 
 SIZE = 3  # words of the longest phrases
 LEAST = 10  # occurrences of a candidate
 TOP = 2000  # rows of a language
+HOT = 1000  # words that may be broadcast
 SCALE = 1_000_000  # of a score
 # A longer candidate hides a phrase if it holds this share of its occurrences.
 HIDES, OF = 50, 100
 
+# Characters of texts cut up at a time, and windows that a task combines before it hands them on.
+TOGETHER, HELD = 1 << 22, 1 << 22
+PLACES = 1 << 16  # of first words; more than a shuffle has partitions
+
 # What ends a piece, and what parts its words.
 ENDS, BLANKS = r"[.,;:!?\x0A-\x0D]", r"[\x20\x09]+"
 
 
 def keyed(phrase: Column) -> Column:
-    """Language and phrase as one text; no phrase holds a tab."""
-    return F.concat("lang", F.lit("\t"), phrase)
+    """Phrase and language as one text; no phrase holds a tab."""
+    return F.concat(phrase, F.lit("\t"), "lang")
+
+
+def phrase_of_key() -> Column:
+    return F.substring_index("key", "\t", 1)
+
+
+def lang_of_key() -> Column:
+    return F.expr("substring(key, instr(key, '\t') + 1)")
+
+
+def n_words() -> Column:
+    return F.size(F.split(phrase_of_key(), " ", -1))
+
+
+def first_words(n: int) -> Column:
+    """The key of the first ``n`` words."""
+    return F.concat(F.substring_index(phrase_of_key(), " ", n), F.lit("\t"), lang_of_key())
+
+
+class Windows:
+    """Counts of windows of numbered words, by language."""
 
+    def __init__(self, size: int) -> None:
+        self.size, self.bits = size, 63 // size
+        self.clear()
 
-def lead_windows(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """``lang, w1 ... w<size>``: each word with the words that follow it in its piece."""
-    pieces = F.split(ascii_lower(whole("text")), ENDS, -1)
-    lang = F.coalesce(F.col("lang"), F.lit("und")).alias("lang")
-    rows = docs.select(lang, F.explode(pieces).alias("piece"))
-    rows = rows.select("lang", F.array_remove(F.split("piece", BLANKS, -1), "").alias("words"))
-    leads = [F.slice("words", k + 1, F.size("words")).alias(f"w{k + 1}") for k in range(size)]
-    return rows.select("lang", F.inline_outer(F.arrays_zip(*leads))).toDF(
-        "lang", *(f"w{k + 1}" for k in range(size))
-    ).filter("w1 IS NOT NULL")
+    def clear(self) -> None:
+        self.numbers: dict[str, int] = {}  # from 1 on; 0 stands past the end of a piece
+        self.counts: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.held = self.merged = 0
+
+    def add(self, langs: list[str], texts: pa.Array) -> None:
+        pieces = pc.split_pattern_regex(pc.ascii_lower(texts), ENDS)
+        parts = pc.split_pattern_regex(pieces.flatten(), BLANKS)
+        words = parts.flatten()
+        names = {x: k for k, x in enumerate(dict.fromkeys(langs))}
+        lengths = lambda x: x.value_lengths().to_numpy(zero_copy_only=False)
+        lang = np.repeat(np.array([names[x] for x in langs], np.int64), lengths(pieces))
+        kept = np.nonzero(pc.binary_length(words).to_numpy(zero_copy_only=False))[0]
+        piece = np.repeat(np.arange(len(parts)), lengths(parts))[kept]
+        lang, coded = lang[piece], words.dictionary_encode()
+        listed = coded.dictionary.to_pylist()
+        number = np.array([self.numbers.setdefault(w, len(self.numbers) + 1) for w in listed], np.int64)
+        code = number[coded.indices.to_numpy(zero_copy_only=False)[kept]]
+        window = code.copy()
+        for k in range(1, self.size):
+            lead = np.zeros_like(code)
+            lead[:-k] = np.where(piece[k:] == piece[:-k], code[k:], 0)
+            window = (window << self.bits) | lead
+        for name, k in names.items():
+            found = np.unique(window[lang == k], return_counts=True)
+            self.counts.setdefault(name, []).append(found)
+            self.held += len(found[0])
+        if self.held > 2 * self.merged + HELD:
+            self.merge()
+
+    def merge(self) -> None:
+        for name, parts in self.counts.items():
+            keys, place = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+            sums = np.zeros(len(keys), np.int64)
+            np.add.at(sums, place, np.concatenate([n for _, n in parts]))
+            self.counts[name] = [(keys, sums)]
+        self.held = self.merged = sum(len(parts[0][0]) for parts in self.counts.values())
+
+    def full(self) -> bool:
+        return self.merged > HELD or len(self.numbers) + TOGETHER >= 1 << self.bits
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        """All counts as rows ``key, f``, by window; the key is the phrase, a tab and the language."""
+        self.merge()
+        words = pa.array([None, *self.numbers], pa.string())
+        for name, [(keys, sums)] in self.counts.items():
+            for at in range(0, len(keys), 1 << 16):
+                some = keys[at : at + (1 << 16)]
+                codes = [(some >> (self.bits * (self.size - 1 - k))) & ((1 << self.bits) - 1) for k in range(self.size)]
+                texts = pc.binary_join_element_wise(*(words.take(pa.array(c)) for c in codes), " ", null_handling="skip")
+                keys_of = pc.binary_join_element_wise(texts, name, "\t")
+                yield pa.RecordBatch.from_arrays([keys_of, pa.array(sums[at : at + (1 << 16)])], ["key", "f"])
+        self.clear()
+
+
+def counter(size: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def batches(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = Windows(size)
+        for batch in parts:
+            ends = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)) // TOGETHER
+            for some in np.split(np.arange(batch.num_rows), np.nonzero(np.diff(ends))[0] + 1):
+                if len(some):
+                    rows = batch.slice(int(some[0]), len(some))
+                    windows.add(rows.column("lang").to_pylist(), rows.column("text"))
+                if windows.full():
+                    yield from windows.rows()
+        yield from windows.rows()
+
+    return batches
 
 
 def frequencies(docs: DataFrame, size: int = SIZE, least: int = LEAST) -> DataFrame:
     """``lang, size, phrase, f`` of phrases of up to ``size`` words that occur ``least`` times, and
     the number of all words as the phrase of no words; written."""
-    names = [f"w{k + 1}" for k in range(size)]
-    counted = lead_windows(docs, size).groupBy("lang", *names).agg(F.count("*").alias("f"))
-    phrase = lambda k: F.concat_ws(" ", *names[:k]).alias("phrase")
-    longest = counted.filter(F.col(names[-1]).isNotNull()).select("lang", F.lit(size).alias("size"), phrase(size), "f")
-    if size > 1:
-        short = ", ".join(names[:-1])
-        sums = docs.sparkSession.sql(
-            f"SELECT lang, {short}, {size - 1} - bit_count(grouping_id()) AS size, sum(f) AS f "
-            f"FROM {{counted}} GROUP BY lang, ROLLUP ({short})",
-            counted=counted,
-        )
-        # A window that ends early has nulls: it is no phrase of that many words.
-        ends = F.element_at(F.array(F.lit(""), *names[:-1]), F.col("size") + 1)
-        shorter = sums.filter(ends.isNotNull()).select("lang", F.col("size").cast("int").alias("size"), phrase(size - 1), "f")
-    else:
-        shorter = counted.groupBy("lang").agg(F.lit(0).alias("size"), F.lit("").alias("phrase"), F.sum("f").alias("f"))
-    every = longest.unionByName(shorter).filter((F.col("f") >= least) | (F.col("size") == 0))
-    return materialize(every, "phrases")
+    texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").filter("text IS NOT NULL")
+    windows = texts.mapInArrow(counter(size), "key string, f long")
+    # One narrow key packs well in the shuffle. All windows that begin alike go to one place.
+    place = F.pmod(F.xxhash64(first_words(min(2, size - 1))), F.lit(PLACES)).cast("int")
+    dealt = windows.select(place.alias("place"), "key", "f").repartition("place")
+    counted, found = dealt.groupBy("place", "key").agg(F.sum("f").alias("f")), []
+    for k in range(size, 2, -1):
+        # The test is on the count, so that it is not moved below the sum and the shuffle is shared.
+        often = F.when(n_words() == k, F.col("f")) >= least
+        found.append(counted.filter(often).select(lang_of_key().alias("lang"), F.lit(k).alias("size"), phrase_of_key().alias("phrase"), "f"))
+        counted = counted.groupBy("place", first_words(k - 1).alias("key")).agg(F.sum("f").alias("f"))
+    word = lambda k: F.get(F.split(phrase_of_key(), " ", -1), F.lit(k))
+    pairs = counted.select(lang_of_key().alias("lang"), word(0).alias("w1"), F.when(F.col("f") >= least, word(1)).alias("w2"), "f")
+    sums = docs.sparkSession.sql(
+        "SELECT lang, w1, w2, 2 - bit_count(grouping_id()) AS size, sum(f) AS f "
+        "FROM {pairs} GROUP BY lang, ROLLUP (w1, w2)",
+        pairs=pairs,
+    )
+    # A window that ends early has nulls: it is no phrase of that many words.
+    ends = F.element_at(F.array(F.lit(""), "w1", "w2"), F.col("size").cast("int") + 1)
+    shorter = sums.filter(ends.isNotNull() & ((F.col("f") >= least) | (F.col("size") == 0)))
+    found.append(shorter.select("lang", F.col("size").cast("int").alias("size"), F.concat_ws(" ", "w1", "w2").alias("phrase"), "f"))
+    return materialize(union_all(found), "phrases")
 
 
 def part_of(rows: DataFrame, parts: DataFrame, words: Column, name: str) -> DataFrame:
-    """``rows`` with the count ``name`` of the phrase of ``words``. Single words may stand in many
-    phrases, so their rows are dealt to several places."""
-    salts = salts_of(rows)
-    spread = F.pmod(F.xxhash64("phrase"), F.lit(salts)).cast("int")
-    left = rows.withColumns(
-        {
-            "part": keyed(F.concat_ws(" ", words)),
-            "salt": F.when(F.size(words) == 1, spread).otherwise(0),
-        }
-    )
-    places = F.when(F.col("size") == 1, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right = parts.select(keyed(F.col("phrase")).alias("part"), F.col("f").alias(name), F.explode(places).alias("salt"))
-    return left.join(right, ["part", "salt"]).drop("part", "salt")
+    """``rows`` with the count ``name`` of the phrase of ``words``.
+
+    Only a frequent word can be part of many phrases. Words that make up ``1 / HOT`` of all words or
+    more are ``HOT`` at most, so they are broadcast; rows they answer go on under keys of their own.
+    """
+    total = scalar_of(parts.filter("size = 0"), F.sum("f"))
+    hot = parts.filter((F.col("size") == 1) & (F.col("f") * HOT >= total))
+    hot = F.broadcast(hot.select(keyed(F.col("phrase")).alias("part"), F.col("f").alias("_hot")))
+    left = rows.withColumn("part", keyed(F.concat_ws(" ", words))).join(hot, "part", "left")
+    own = F.concat(F.lit("\t"), F.xxhash64("phrase").cast("string"))
+    left = left.withColumn("part", F.when(F.col("_hot").isNull(), F.col("part")).otherwise(own))
+    right = parts.filter("size > 0").select(keyed(F.col("phrase")).alias("part"), F.col("f").alias("_f"))
+    return left.join(right, "part", "left").withColumn(name, F.coalesce("_hot", "_f")).drop("part", "_hot", "_f")
 
 
 def scored(found: DataFrame, size: int = SIZE) -> DataFrame:
     """``lang, phrase, size, a, l, r, score`` of the candidates, each cut where it scores least."""
     candidates = found.filter("size > 1").select("lang", "size", "phrase", F.col("f").alias("a"))
-    parts = found.filter(f"size BETWEEN 1 AND {size - 1}")
+    parts = found.filter(f"size < {size}")
     cuts = candidates.select("*", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
     words = F.split("phrase", " ", -1)
     cuts = part_of(cuts, parts, F.slice(words, F.lit(1), F.col("k")), "l")
