@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import collocations, decontamination, mixing, neardup, pii, quality, secrets, sharding, token_counts, token_files, urls
+from . import collocations, decontamination, mixing, neardup, negatives, pii, quality, secrets, sharding, token_counts, token_files, urls
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,3 +83,11 @@ def op12_collocations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 ORACLE_SQL["op12_collocations"] = collocations.ORACLE_SQL
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    return negatives.hard_negatives(documents(spark, sf, "embeddings"))
+
+
+ORACLE_SQL["op13_hard_negatives"] = negatives.ORACLE_SQL

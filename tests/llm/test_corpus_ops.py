@@ -1,14 +1,17 @@
 """Collocations, hard negatives and language-model scores: against plain Python and SQL."""
 
+import math
+import random
 import re
 from collections import Counter
 
 import brute
+import numpy as np
 import pytest
 from helpers import ordered, pairs, rows_of
 from pyspark.sql import functions as F
 
-from commentlab.llm import collocations
+from commentlab.llm import collocations, negatives
 
 # --- collocations ------------------------------------------------------------------------
 
@@ -74,3 +77,85 @@ def test_collocation_scores_beyond_64_bits(spark):
         [("en", 2, "p q", a), ("en", 1, "p", left), ("en", 1, "q", right), ("en", 0, "", 10**14)], "lang string, size int, phrase string, f long"
     )
     assert collocations.scored(found, 2).first()["score"] == 10**6 * a * a // (left * right)
+
+
+# --- hard negatives ----------------------------------------------------------------------
+
+
+def plain_negatives(rows, every=100):
+    """Every score of every anchor, in Python's integers."""
+    kept = []
+    for i, x, label in rows:
+        if i is None or label is None or x is None or any(v is None or not math.isfinite(v) for v in x):
+            continue
+        kept.append((i, (label + 1) % 10 if i % 7 == 0 else label, [math.floor(256 * v) for v in x]))
+    anchors = {}
+    for i, label, x in sorted(kept):
+        if i % every == 0:
+            anchors.setdefault(i, (label, x))
+    out = []
+    for i, (label, x) in anchors.items():
+        scores = sorted((-sum(a * b for a, b in zip(x, y)), j, other == label) for j, other, y in kept if j != i)
+        for p, j, _ in [s for s in scores if s[2]][:5]:
+            fit = [(-s, k) for s, k, same in scores if not same and 80 * -p <= 100 * -s <= 100 * -p][:5]
+            out += [(i, j, r + 1, k, -p, s) for r, (s, k) in enumerate(fit)]
+    return out
+
+
+NEGATIVE = ("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+VECTORS = "vec_id long, embedding array<float>, label int"
+
+
+@pytest.mark.parametrize("codes", [None, 1, 5])
+def test_hard_negatives_equal_all_scores(spark, sf, monkeypatch, codes):
+    """Small tiles, blocks and probes, so that the second round and its bounds decide."""
+    for name, value in (("TILE", 16), ("BLOCK", 3), ("PROBE", 20)):
+        monkeypatch.setattr(negatives, name, value)
+    table = spark.read.parquet(f"{sf}/embeddings.parquet")
+    want = plain_negatives([tuple(r) for r in table.select("vec_id", "embedding", "label").collect()], 20)
+    assert want and rows_of(negatives.hard_negatives(table, 20, codes=codes), *NEGATIVE) == ordered(want)
+
+
+def test_hard_negatives_of_odd_rows(spark):
+    rnd = random.Random(5)
+    near = lambda k: [math.cos(k / 40), math.sin(k / 40), rnd.random() / 9]
+    rows = [(i, near(i), i % 3) for i in range(0, 300, 3)] + [(i, near(i), i % 4) for i in range(1, 300, 5)]
+    rows += [
+        (None, [1.0, 0.0, 0.0], 1), (400, None, 1), (500, [1.0, None, 0.0], 1), (600, [float("nan"), 0.0, 0.0], 1),
+        (601, [float("inf"), 0.0, 0.0], 1), (700, [1.0, 0.0, 0.0], None), (800, [], 2), (900, [0.5], 1), (1000, [-1.0] * 5, 0),
+        (0, [1.0, 0.0, 0.0], 0), (0, [1.0, 0.0, 0.0], 0), (100, [0.9, 0.1, 0.0], 1), (3, [0.9, 0.1, 0.0], 1), (-100, [1.0, 0.2, 0.0], 0),
+    ]
+    rows += [(2000 + i, [1.0, 0.25, 0.0], i % 2) for i in range(200)]  # ties
+    table = spark.createDataFrame(rows, VECTORS).selectExpr("*", "1 AS id", "'x' AS cell", "0 AS slot", "map(1, 2) AS vector").repartition(4)
+    pad = lambda x: x if x is None else x + [0.0] * (5 - len(x))
+    want = plain_negatives([(i, pad(x), label) for i, x, label in rows_of(table, "vec_id", "embedding", "label")])
+    assert rows_of(negatives.hard_negatives(table), *NEGATIVE) == ordered(want)
+    assert negatives.hard_negatives(table.limit(0)).count() == 0
+    assert negatives.hard_negatives(table.filter("label IS NULL")).count() == 0
+
+
+def test_hard_negatives_with_large_components(spark):
+    """Products beyond 53 bits stay exact."""
+    rows = [(100 * i, [float(2**22 + 3 * i), float(2**21 - 5 * i)], i % 2) for i in range(8)]
+    table = spark.createDataFrame(rows, VECTORS)
+    want = plain_negatives(rows)
+    assert want and want[0][4] > 2**53
+    assert rows_of(negatives.hard_negatives(table), *NEGATIVE) == ordered(want)
+
+
+def test_bounds_hold_all_scores():
+    """Each cell's bounds hold its scores, and cells come by falling bound."""
+    rng = np.random.default_rng(3)
+    rows, query = np.floor(rng.normal(0, 60, (400, 7))), np.floor(rng.normal(0, 60, 7))
+    parts = negatives.halves(rows)
+    books = tuple(negatives.codebook(p, 4) for p in parts)
+    codes = [negatives.nearest(p, b) for p, b in zip(parts, books)]
+    far = [np.sqrt(((p - b[c]) ** 2).sum(axis=1)) for p, b, c in zip(parts, books, codes)]
+    cell = codes[0] * len(books[1]) + codes[1]
+    cells = {int(c): (int((cell == c).sum()), float(far[0][cell == c].max()), float(far[1][cell == c].max())) for c in np.unique(cell)}
+    seen = list(negatives.visits(query, books, cells))
+    assert sorted(c for c, *_ in seen) == sorted(cells)
+    assert [b for _, b, *_ in seen] == sorted((b for _, b, *_ in seen), reverse=True)
+    for c, bound, upper, lower in seen:
+        scores = rows[cell == c] @ query
+        assert lower <= scores.min() and scores.max() <= upper <= bound + 1e-6
