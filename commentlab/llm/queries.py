@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import collocations, decontamination, mixing, neardup, negatives, pii, quality, secrets, sharding, token_counts, token_files, urls
+from . import collocations, decontamination, language_model, mixing, neardup, negatives, pii, quality, secrets, sharding, token_counts, token_files, urls
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,3 +91,8 @@ def op13_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
 
 
 ORACLE_SQL["op13_hard_negatives"] = negatives.ORACLE_SQL
+
+
+@query
+def op11_language_model(spark: SparkSession, sf: str) -> DataFrame:
+    return language_model.report(documents(spark, sf))

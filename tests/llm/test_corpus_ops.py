@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import brute
@@ -11,7 +12,7 @@ import pytest
 from helpers import ordered, pairs, rows_of
 from pyspark.sql import functions as F
 
-from commentlab.llm import collocations, negatives
+from commentlab.llm import collocations, language_model, negatives
 
 # --- collocations ------------------------------------------------------------------------
 
@@ -159,3 +160,105 @@ def test_bounds_hold_all_scores():
     for c, bound, upper, lower in seen:
         scores = rows[cell == c] @ query
         assert lower <= scores.min() and scores.max() <= upper <= bound + 1e-6
+
+
+# --- language model ----------------------------------------------------------------------
+
+
+class PlainTrie:
+    """Contexts as tuples with a counter each; escapes and exclusions as one reads them."""
+
+    def __init__(self, texts, order):
+        self.order, self.counts = order, {}
+        for text in texts:
+            for context, symbol in self.steps(text):
+                for d in range(order + 1):
+                    self.counts.setdefault(context[order - d :], Counter())[symbol] += 1
+
+    def steps(self, text):
+        symbols = [*text, 256]
+        run = [257] * self.order + symbols
+        return [(tuple(run[i : i + self.order]), s) for i, s in enumerate(symbols)]
+
+    def probability(self, context, symbol):
+        p, excluded = 1.0, set()
+        for d in range(self.order, -1, -1):
+            seen = self.counts.get(context[self.order - d :])
+            if seen is None:
+                continue
+            left = {s: n for s, n in seen.items() if s not in excluded}
+            below = sum(left.values()) + len(left)
+            if symbol in left:
+                return p * left[symbol] / below
+            p *= len(left) / below if left else 1
+            excluded |= set(left)
+        return p / (257 - len(excluded))
+
+    def score(self, text):
+        return sum(math.log10(self.probability(c, s)) for c, s in self.steps(text))
+
+
+def plain_scores(docs, order=4):
+    texts = [brute.lower(t).encode() for _, t in docs]
+    held = [zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1 for i, _ in docs]
+    learnt = [t for t, h in zip(texts, held) if not h]
+    trie, counts = PlainTrie(learnt, order), Counter(w for t in learnt for w in [*t.split(), None])
+    total = sum(counts.values())
+    out = []
+    for (i, _), text, h in zip(docs, texts, held):
+        tokens = [*text.split(), None]
+        base = sum(math.log10((counts[w] + 0.5) / (total + 0.5 * (len(counts) + 1))) for w in tokens)
+        out.append((i, h, len(tokens), sum(counts[w] > 0 for w in tokens), total, base, trie.score(text)))
+    return out
+
+
+SCORE = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def check_scores(df, want):
+    got, want = rows_of(df, *SCORE), ordered(want)
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    assert [g[5] for g in got] == pytest.approx([w[5] for w in want])
+    assert [g[6] for g in got] == pytest.approx([w[6] for w in want])
+
+
+@pytest.mark.parametrize("part", [1 << 23, 2000])
+def test_scores_equal_plain_ppm(real_docs, monkeypatch, part):
+    """In one part and in many, held and handed on in small amounts."""
+    for name, value in (("TOGETHER", 5000), ("HELD", 3000), ("HOT", 300)):
+        monkeypatch.setattr(language_model, name, value)
+    docs = real_docs.filter("doc_id < 40")
+    check_scores(language_model.report(docs, part), plain_scores(pairs(docs)))
+
+
+def test_scores_of_odd_documents(odd_docs, no_docs):
+    docs = odd_docs.filter("doc_id IS NULL OR doc_id <> 8")  # plain Python takes long on that one
+    check_scores(language_model.report(docs), plain_scores(pairs(docs)))
+    long = rows_of(language_model.report(odd_docs), *SCORE)
+    assert len(long) == odd_docs.count() and all(math.isfinite(r[6]) for r in long)
+    assert language_model.report(no_docs).count() == 0
+    held = odd_docs.filter(F.crc32(F.col("doc_id").cast("string")) % 5 == 1)
+    check_scores(language_model.report(held), plain_scores(pairs(held)))
+
+
+def test_probabilities_of_all_symbols():
+    """Over all symbols they add up to one, also in contexts never seen."""
+    texts = [b"abracadabra", b"abra", b"", b"brabbel"]
+    keys, n = np.unique(language_model.windows_of(texts)[0], return_counts=True)
+    trie = language_model.Trie((keys, n), (keys, n))
+    for context in (b"abra", b"zzzz", b"zzra", b"bbel", b"zzzl"):
+        head = sum(c << (9 * (len(context) - k)) for k, c in enumerate(context))
+        windows = np.array([head | s for s in range(257)])
+        assert (10 ** trie.log10(windows)).sum() == pytest.approx(1)
+
+
+def test_held_out_texts_are_foreseen(real_docs):
+    """Contexts of four bytes tell more than none: held-out texts take fewer bits than bytes do alone."""
+    docs = language_model.with_fold(real_docs)
+    model = language_model.train(docs)
+    held = [(t or "").encode().lower() for (t,) in docs.filter("held_out").select("text").collect()]
+    learnt = Counter(b for (t,) in docs.filter("NOT held_out").select("text").collect() for b in [*(t or "").encode().lower(), 256])
+    total = sum(learnt.values())
+    alone = sum(math.log10((learnt[b] + 1) / (total + 257)) for t in held for b in [*t, 256])
+    scores = language_model.scores(docs, model).filter("held_out").agg(F.sum("score")).first()[0]
+    assert alone < scores * 1.5 < 0
