@@ -120,7 +120,7 @@ def test_standard_columns(spark):
     assert rows["1"]["is_correct"] is False and rows["1"]["error_pair"] == "Negatif → Netral" and rows["1"]["confidence"] is None
     assert rows["2"]["error_status"] == "Tidak diketahui" and rows["2"]["error_pair"] == "Netral → nan"
     one = mart.standard_features(spark.createDataFrame([("a", "x", 1.0, 4)], "kelas string, fitur string, koef double, rank int")).first()
-    assert tuple(one) == ("a", "x", 1.0, 4)
+    assert tuple(one) == (None, None, "a", "x", 1.0, 4)
 
 
 def test_reports_at_root_or_in_test(spark):
