@@ -41,22 +41,21 @@ def test_table(predicted):
 
 @query("svm_grid_search", "M13 M26")
 def svm_grid_search(spark, sf):
-    return models.grid_search(folded_features(spark, sf), "feature", "label_id", max_iter=STEPS)
+    return models.grid_search(folded_features(spark, sf), "comment_id", "feature", "label_id", max_iter=STEPS)
 
 
 @query("svm_test_predictions", "M9 M13 M16 M24 P2 F4 F6")
 def svm_test_predictions(spark, sf):
     folded = folded_features(spark, sf)
-    grid = models.grid_search(folded, "feature", "label_id", max_iter=STEPS)
-    _, predicted = models.refit_best(folded, "feature", "label_id", grid, max_iter=STEPS)
+    grid = models.grid_search(folded, "comment_id", "feature", "label_id", max_iter=STEPS)
+    _, predicted = models.refit_best(folded, "comment_id", "feature", "label_id", grid, max_iter=STEPS)
     return models.with_margin(predicted).select("comment_id", "label_id", F.col("prediction").cast("int").alias("predicted"), "margin")
 
 
 @query("logistic_test_predictions", "M10")
 def logistic_test_predictions(spark, sf):
-    train, test = train_test(folded_features(spark, sf))
-    stages = models.word_stages("feature", 2.0)
-    return test_table(models.fit_and_predict(train, test, stages, models.logistic("label_id", max_iter=STEPS), "label_id")[1])
+    classifier = models.logistic("label_id", max_iter=STEPS)
+    return test_table(models.fit_test(folded_features(spark, sf), "comment_id", "feature", "label_id", classifier)[1])
 
 
 CLASSES = range(3)
@@ -131,19 +130,21 @@ def word_and_char_test_predictions(spark, sf):
 
 @query("out_of_fold_predictions", "M14 G7")
 def out_of_fold_predictions(spark, sf):
-    df = models.nonempty(folded_features(spark, sf).drop("fold"), "feature")
-    predicted = models.out_of_fold(
-        df, "comment_id", "label_id", lambda: models.word_stages("feature", 2.0),
-        lambda: models.linear_svm("label_id", max_iter=STEPS), 5)
+    predicted = models.out_of_fold_words(
+        folded_features(spark, sf).drop("fold"), "comment_id", "feature", "label_id",
+        lambda: models.linear_svm("label_id", max_iter=STEPS))
     return predicted.select("comment_id", "label_id", "kfold", F.col("prediction").cast("int").alias("predicted"))
 
 
 @query("top_model_features", "M25 G1")
 def top_model_features(spark, sf):
-    train, test = train_test(folded_features(spark, sf))
-    stages = models.word_stages("feature", 2.0)
-    model, _ = models.fit_and_predict(train, test, stages, models.linear_svm("label_id", max_iter=STEPS), "label_id")
-    return models.top_coefficients(model)
+    train, _ = train_test(folded_features(spark, sf))
+    terms = materialize(models.word_terms(train, "feature", ["comment_id", "label_id", "fold"]), "terms")
+    rows = bayes.fold_weights(terms, "comment_id", "label_id", "fold", "terms", ["test"], 2)
+    ids = models.term_ids(rows)
+    vectors = models.sparse_vectors(terms.drop("terms"), rows, ids, "comment_id", ["x0"], ["features"])
+    model, _ = models.fit_and_predict(vectors, vectors, [], models.linear_svm("label_id", max_iter=STEPS), "label_id")
+    return models.top_terms(model.stages[-1], ids)
 
 
 @query("version_sweep", "M31 M30")
@@ -155,8 +156,8 @@ def version_sweep(spark, sf):
     parts = []
     for name, df in subsets.items():
         folded = materialize(stratified_split(df, "comment_id", "label_id").hint("rebalance"), "folds", "fold")
-        grid = models.grid_search(folded, "feature", "label_id", max_iter=STEPS)
-        _, predicted = models.refit_best(folded, "feature", "label_id", grid, max_iter=STEPS)
+        grid = models.grid_search(folded, "comment_id", "feature", "label_id", max_iter=STEPS)
+        _, predicted = models.refit_best(folded, "comment_id", "feature", "label_id", grid, max_iter=STEPS)
         parts.append(evaluate(predicted, "label_id", "prediction").withColumn("subset", F.lit(name)))
     return union_all(parts)
 

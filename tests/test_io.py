@@ -190,8 +190,8 @@ def test_models_learn(spark):
     from commentlab.operators.ranking import stratified_split
 
     folded = stratified_split(corpus(spark), "id", "y").persist()
-    grid = models.grid_search(folded, "t", "y", min_dfs=(1.0,), regs=(0.01,), max_iter=10, size=500)
-    _, svm = models.refit_best(folded, "t", "y", grid, max_iter=10, size=500)
+    grid = models.grid_search(folded, "id", "t", "y", min_dfs=(1.0,), regs=(0.01,), max_iter=10)
+    _, svm = models.refit_best(folded, "id", "t", "y", grid, max_iter=10)
     assert evaluate(svm, "y", "prediction").first()["accuracy"] > 0.9
     assert models.with_margin(svm).filter("margin < 0").count() == 0
     train, test = folded.filter("fold <> 'test'"), folded.filter("fold = 'test'")
