@@ -88,7 +88,7 @@ def error_status(is_correct: str | Column) -> Column:
 
 def extract_id(url: str | Column, patterns: Sequence[str] = lx.VIDEO_URL_PATTERNS) -> Column:
     """Group 1 of the first pattern that matches, else NULL."""
-    u = F.trim(_col(url))
+    u = strip(_col(url))
     return F.coalesce(*[F.nullif(F.regexp_extract(u, p, 1), F.lit("")) for p in patterns])
 
 

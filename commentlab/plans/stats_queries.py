@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from ..functions import labels as lb
 from ..functions import text as tx
 from ..operators import ranking, stats
-from ..operators.keyed import explode_rows, top_per_key
-from ..session import materialize
+from ..operators.keyed import explode_rows, top_per_key, union_all
+from ..session import materialize, new_path
+from ..sources import writers
 from . import sqltext as st
+from .ranking_queries import SPLIT_SQL
 from .registry import query
 from .tables import (
     COMMENTS_SQL,
@@ -395,6 +397,71 @@ def eda_report_query(spark, sf):
     return eda_report(spark, sf)
 
 
+REPORT = """n_total bigint, class_distribution string, length string, vocabulary string, top_terms string,
+  quality string, leakage string, class_terms string"""
+REPORT_SQL = f"""WITH {TOKENS_SQL}, {THREE_SQL.replace('FROM documents', 'FROM labelled')},
+members AS (SELECT comment_id, label_id FROM labelled), {SPLIT_SQL},
+f AS (SELECT d.comment_id, coalesce(array_to_string(ws, ' '), '') AS feature, fold FROM docs d JOIN folded USING (comment_id)),
+per AS (SELECT feature, count(*) AS nr FROM f WHERE feature <> '' GROUP BY 1 HAVING count(DISTINCT fold) > 1),
+filled AS (SELECT count(*) AS n_total, count(*) FILTER (feature = '') AS n_empty, count(DISTINCT feature) FILTER (feature <> '') AS nd FROM f),
+q AS (SELECT *, n_total - n_empty - nd AS n_duplicate FROM filled),
+top AS (SELECT token, count(*) AS n FROM tokens GROUP BY 1 ORDER BY n DESC, token LIMIT 12),
+ct AS (SELECT label_id, count(*) AS class_total FROM tokens GROUP BY 1),
+al AS (SELECT token, count(*) AS n_all FROM tokens GROUP BY 1 HAVING count(*) >= 5),
+pc AS (SELECT label_id, token, count(*) AS n_in FROM tokens GROUP BY 1, 2),
+sc AS (SELECT pc.label_id, pc.token, n_in, round((n_in / class_total) / (n_all / (SELECT count(*) FROM tokens)), 6) AS lift
+       FROM pc JOIN al ON pc.token = al.token JOIN ct ON pc.label_id = ct.label_id),
+lifted AS (SELECT *, row_number() OVER (PARTITION BY label_id ORDER BY lift DESC, token) AS rank FROM sc QUALIFY rank <= 12),
+figures AS (
+  SELECT 'n_total' AS section, 'n_total' AS item, count(*)::DOUBLE AS value FROM labelled
+  UNION ALL SELECT 'class_distribution', label_id::VARCHAR, count(*) FROM labelled GROUP BY label_id
+  UNION ALL SELECT 'length', u.item, u.value FROM (SELECT unnest([
+      {{'item': 'avg_raw', 'value': round(avg(raw), 2)}}, {{'item': 'avg_feature', 'value': round(avg(feature), 2)}},
+      {{'item': 'avg_minimal', 'value': round(avg(minimal), 2)}}, {{'item': 'median_raw', 'value': floor(quantile_cont(raw, 0.5))}},
+      {{'item': 'median_feature', 'value': floor(quantile_cont(feature, 0.5))}},
+      {{'item': 'median_minimal', 'value': floor(quantile_cont(minimal, 0.5))}},
+      {{'item': 'max_raw', 'value': max(raw)}}, {{'item': 'max_feature', 'value': max(feature)}}]) AS u FROM n)
+  UNION ALL SELECT 'vocabulary', 'vocab_size', count(DISTINCT token) FROM tokens
+  UNION ALL SELECT 'top_terms', token, n FROM top
+  UNION ALL SELECT 'quality', u.item, u.value FROM (SELECT unnest([
+      {{'item': 'n_total', 'value': n_total::DOUBLE}}, {{'item': 'n_empty', 'value': n_empty}},
+      {{'item': 'empty_pct', 'value': round(100 * n_empty / n_total, 2)}}, {{'item': 'n_duplicate', 'value': n_duplicate}},
+      {{'item': 'duplicate_pct', 'value': round(100 * n_duplicate / n_total, 2)}}]) AS u FROM q)
+  UNION ALL SELECT 'leakage', 'shared_texts', count(*) FROM per
+  UNION ALL SELECT 'leakage', 'rows_affected', coalesce(sum(nr), 0) FROM per
+  UNION ALL SELECT 'leakage', 'id_overlap', count(*) FROM (SELECT comment_id FROM f GROUP BY 1 HAVING count(DISTINCT fold) > 1)
+  UNION ALL SELECT 'class_terms', label_id || ' ' || rank || ' ' || token, lift FROM lifted
+  UNION ALL SELECT 'class_term_counts', label_id || ' ' || rank || ' ' || token, n_in FROM lifted)
+SELECT section, item, value FROM figures"""
+
+
+@query("eda_report_figures", "D10 K4", REPORT_SQL)
+def eda_report_figures(spark, sf):
+    """Every figure of the report, from the JSON document that was written."""
+    path = new_path(spark, "report")
+    writers.write_report(eda_report(spark, sf), path)
+    doc = spark.read.text(path).select(F.from_json("value", REPORT).alias("r")).select("r.*")
+    number = F.col("value").cast("double").alias("value")
+
+    def fields(name):
+        pairs = F.from_json(name, "map<string,string>")
+        return doc.select(F.lit(name).alias("section"), F.explode(pairs).alias("item", "value")).select("section", "item", number)
+
+    def listed(name, kind, item, value, section=None):
+        rows = doc.select(F.inline(F.from_json(name, f"array<struct<{kind}>>")))
+        return rows.select(F.lit(section or name).alias("section"), item.alias("item"), F.col(value).cast("double").alias("value"))
+
+    term = F.concat_ws(" ", "label_id", "rank", "token")
+    term_kind = "label_id:int,rank:int,token:string,lift:double,n_in:bigint"
+    return union_all([
+        doc.select(F.lit("n_total").alias("section"), F.lit("n_total").alias("item"), F.col("n_total").cast("double").alias("value")),
+        listed("class_distribution", "label_id:int,n:bigint", F.col("label_id").cast("string"), "n"),
+        fields("length"), fields("vocabulary"), listed("top_terms", "token:string,n:bigint", F.col("token"), "n"),
+        fields("quality"), fields("leakage"), listed("class_terms", term_kind, term, "lift"),
+        listed("class_terms", term_kind, term, "n_in", "class_term_counts"),
+    ])
+
+
 @query("top_parts_per_brand", "G14", """SELECT * FROM (SELECT p_brand, p_partkey, p_retailprice,
   CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS INTEGER) AS rank FROM part)
 WHERE rank <= 5""")
