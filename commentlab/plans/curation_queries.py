@@ -217,15 +217,16 @@ def review_queue(spark, sf):
     return rows.select("comment_id", curation.review_task(["comment_id", "label"], "guess", "confidence", "v1").alias("task"))
 
 
-@query("match_tasks", "L15", f"""WITH {LABELLED_SQL}, tasks AS (SELECT doc_id AS comment_id, doc_id + 100000 AS task_id FROM documents WHERE n_chars >= 300),
-done AS (SELECT task_id FROM tasks JOIN documents ON comment_id = doc_id WHERE lang = 'en')
+@query("match_tasks", "L15", """WITH tasks AS (SELECT doc_id AS comment_id, doc_id + 100000 AS task_id FROM labels),
+done AS (SELECT doc_id + 100000 AS task_id FROM labels WHERE quality = 1)
 SELECT CASE WHEN t.task_id IS NULL THEN 'missing' WHEN d.task_id IS NOT NULL THEN 'skipped' ELSE 'push' END AS state, count(*) AS n
-FROM labelled l LEFT JOIN tasks t ON l.comment_id = t.comment_id LEFT JOIN done d ON t.task_id = d.task_id GROUP BY 1""")
+FROM documents l LEFT JOIN tasks t ON l.doc_id = t.comment_id LEFT JOIN done d ON t.task_id = d.task_id GROUP BY 1""")
 def match_tasks(spark, sf):
-    docs = table(spark, sf, "documents").filter("n_chars >= 300")
-    known = docs.select(F.col("doc_id").alias("comment_id"), (F.col("doc_id") + 100000).alias("task_id"), "lang")
-    done = known.filter("lang = 'en'").select("task_id")
-    states = curation.match_tasks(labelled(spark, sf).select("comment_id"), known, done, "comment_id")
+    """Labelled documents have tasks, good ones are done; the others have none."""
+    known = table(spark, sf, "labels").select(F.col("doc_id").alias("comment_id"), (F.col("doc_id") + 100000).alias("task_id"), "quality")
+    done = known.filter("quality = 1").select("task_id")
+    ids = table(spark, sf, "documents").select(F.col("doc_id").alias("comment_id"))
+    states = curation.match_tasks(ids, known, done, "comment_id")
     return states.groupBy("state").agg(F.count("*").alias("n"))
 
 

@@ -245,21 +245,25 @@ def grid_ranking(spark, sf):
 RUN_SCORES = f"{RUN_CELLS}, runs AS (SELECT dataset, model, {SCORE_COLS} FROM cells)"
 
 
-@query("engine_comparison", "M28", f"""WITH {RUN_SCORES}
-SELECT a.dataset, a.macro_f1 AS "first", b.macro_f1 AS "second", round(b.macro_f1 - a.macro_f1, 4) AS difference
-FROM runs a JOIN runs b ON a.dataset = b.dataset WHERE a.model = 'src1' AND b.model = 'src2'""")
+# Sources two by two: an even one is the first engine of its version, the odd one after it the second.
+ENGINES_SQL = f"""WITH {RUN_SCORES}, numbered AS (SELECT *, CAST(substr(model, 4) AS INTEGER) AS i FROM runs),
+pairs AS (SELECT a.dataset, a.i // 2 AS version, a.macro_f1 AS "first", b.macro_f1 AS "second" FROM numbered a
+          JOIN numbered b ON a.dataset = b.dataset AND a.i % 2 = 0 AND b.i = a.i + 1)"""
+
+
+@query("engine_comparison", "M28", f"""{ENGINES_SQL}
+SELECT dataset, version, "first", "second", round("second" - "first", 4) AS difference FROM pairs""")
 def engine_comparison(spark, sf):
-    runs = metrics.scores_from_cells(run_cells(spark, sf), RUN)
-    return metrics.compare_engines(
-        runs.filter("model = 'src1'"), runs.filter("model = 'src2'"), ["dataset"], "macro_f1")
+    number = F.substring("model", 4, 10).cast("int")
+    runs = metrics.scores_from_cells(run_cells(spark, sf), RUN).withColumns({"i": number, "version": F.expr("CAST(substring(model, 4) AS INT) DIV 2").cast("int")})
+    return metrics.compare_engines(runs.filter("i % 2 = 0"), runs.filter("i % 2 = 1"), ["dataset", "version"], "macro_f1")
 
 
-@query("version_winner", "M29", f"""WITH {RUN_SCORES}
-SELECT a.dataset, CASE WHEN a.macro_f1 > b.macro_f1 THEN 'src1' ELSE 'src2' END AS winner
-FROM runs a JOIN runs b ON a.dataset = b.dataset WHERE a.model = 'src1' AND b.model = 'src2'""")
+@query("version_winner", "M29", f"""{ENGINES_SQL}
+SELECT dataset, version, CASE WHEN "first" > "second" THEN 'even' ELSE 'odd' END AS winner FROM pairs""")
 def version_winner(spark, sf):
     pairs = engine_comparison(spark, sf)
-    return pairs.select("dataset", metrics.winner(pairs, "first", "second", ("src1", "src2")).alias("winner"))
+    return pairs.select("dataset", "version", metrics.winner(pairs, "first", "second", ("even", "odd")).alias("winner"))
 
 
 @query("history_reshape", "M33", """SELECT user_id AS epoch, value AS eval_loss, event_id AS step FROM events

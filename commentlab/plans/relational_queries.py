@@ -30,12 +30,13 @@ def path_a(spark, sf):
 
 
 def path_b(spark, sf):
-    return text_table(spark, sf, "documents").filter("n_chars >= 500").select(
-        F.col("doc_id").alias("comment_id"), F.md5(tx.clean_minimal("text")).alias("minimal"))
+    """Of the documents that have labels; the others have no second path."""
+    docs = text_table(spark, sf, "documents").join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
+    return docs.select(F.col("doc_id").alias("comment_id"), F.md5(tx.clean_minimal("text")).alias("minimal"))
 
 
 A_SQL = f"a AS (SELECT doc_id AS comment_id, md5({st.clean_aggressive('text')}) AS aggressive FROM documents)"
-B_SQL = f"b AS (SELECT doc_id AS comment_id, md5({st.clean_minimal('text')}) AS minimal FROM documents WHERE n_chars >= 500)"
+B_SQL = f"b AS (SELECT doc_id AS comment_id, md5({st.clean_minimal('text')}) AS minimal FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))"
 
 
 @query("pruned_scan", "S1", "SELECT l_orderkey, l_quantity FROM lineitem")
@@ -143,11 +144,11 @@ def join_originals_and_paths(spark, sf):
     return originals.join(path_a(spark, sf), "comment_id", "left").join(path_b(spark, sf), "comment_id", "left")
 
 
-@query("members_with_features", "J3", f"""WITH {LABELLED_SQL}, {B_SQL}
+@query("members_with_features", "J3", f"""WITH {COMMENTS_SQL}, {B_SQL}
 SELECT l.comment_id, l.label_id, coalesce(minimal, '') AS feature
-FROM labelled l LEFT JOIN b ON l.comment_id = b.comment_id""")
+FROM comments l LEFT JOIN b ON l.comment_id = b.comment_id""")
 def members_with_features(spark, sf):
-    return labelled(spark, sf).select("comment_id", "label_id").join(path_b(spark, sf), "comment_id", "left").select(
+    return comments(spark, sf).select("comment_id", "label_id").join(path_b(spark, sf), "comment_id", "left").select(
         "comment_id", "label_id", F.coalesce("minimal", F.lit("")).alias("feature"))
 
 
@@ -233,11 +234,10 @@ def candidate_index_join(spark, sf):
         "event_id", "idx", "score", F.col("found").isNull().alias("missing"))
 
 
-@query("missing_metadata", "J13", """SELECT l.doc_id AS comment_id FROM labels l
-LEFT JOIN (SELECT doc_id FROM documents WHERE n_chars >= 100) d ON l.doc_id = d.doc_id WHERE d.doc_id IS NULL""")
+@query("missing_metadata", "J13", """SELECT doc_id AS comment_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
 def missing_metadata(spark, sf):
-    ids = table(spark, sf, "labels").select(F.col("doc_id").alias("comment_id"))
-    meta = table(spark, sf, "documents").filter("n_chars >= 100").select(F.col("doc_id").alias("comment_id"))
+    ids = table(spark, sf, "documents").select(F.col("doc_id").alias("comment_id"))
+    meta = table(spark, sf, "labels").select(F.col("doc_id").alias("comment_id"))
     return upsert.missing_rows(ids, meta, "comment_id")
 
 
