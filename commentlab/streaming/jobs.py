@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions import text as tx
 from ..functions.lexicons import SLANG, STOPWORDS
 from ..operators.ingest import PAGE, flatten_pages
-from ..operators.keyed import first_per_key
+from ..operators.keyed import first_per_key, union_all
 from ..operators.upsert import insert_new
 
 PAGE_SCHEMA = f"video_id string, source_url string, source_title string, {PAGE}"
@@ -78,12 +78,28 @@ def running_counts(stream: DataFrame, key: str) -> DataFrame:
     return stream.groupBy(key).agg(F.count("*").alias("n"))
 
 
-def write_updates(counts: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Changed rows of a running aggregate, one folder per micro-batch."""
+def _beside(target: str, name: str) -> str:
+    return f"{target.rstrip('/')}-{name}"
+
+
+def write_updates(counts: DataFrame, target: str, checkpoint: str, every: int = 16) -> StreamingQuery:
+    """Changed rows of a running aggregate, one folder per micro-batch.
+
+    Each ``every`` batches the last value of every key is written as a snapshot, from the one before
+    and the batches since; a row in ``-done`` then names it, so readers never see half of one.
+    """
+    keys = [c for c in counts.columns if c != "n"]
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(_batch_path(target, number))
-
+        if (number + 1) % every == 0:
+            last = _last_values(batch.sparkSession, target, keys[0], number)
+            last.write.mode("overwrite").parquet(f"{_beside(target, 'snapshots')}/upto={number}")
+            done = batch.sparkSession.range(1).select(F.lit(number).cast("bigint").alias("number"))
+            done.write.mode("overwrite").parquet(f"{_beside(target, 'done')}/upto={number}")
+
+    # The folder of the snapshots' names exists from here on.
+    counts.sparkSession.range(0).select(F.col("id").alias("number")).write.mode("ignore").parquet(f"{_beside(target, 'done')}/upto=-1")
     return (
         counts.writeStream.outputMode("update")
         .foreachBatch(write)
@@ -93,12 +109,30 @@ def write_updates(counts: DataFrame, target: str, checkpoint: str) -> StreamingQ
     )
 
 
-def latest_counts(spark: SparkSession, target: str, key: str) -> DataFrame:
-    """The last written value of each key."""
-    rows = spark.read.parquet(target)
+def update_parts(spark: SparkSession, target: str, before: int | None = None) -> list[DataFrame]:
+    """The newest snapshot (of batches before ``before``), if any, and the batches after it."""
+    done = spark.read.schema("number bigint").parquet(_beside(target, "done"))
+    done = done if before is None else done.filter(F.col("number") < before)
+    last = done.agg(F.max("number")).first()[0]
+    updates = spark.read.parquet(target)
+    if last is None:
+        return [updates]
+    # Both filters are on folders, so older ones are not opened.
+    snapshots = spark.read.parquet(_beside(target, "snapshots")).filter(F.col("upto") == last)
+    return [snapshots.withColumn("batch", F.lit(last)).drop("upto"), updates.filter(F.col("batch") > last)]
+
+
+def _last_values(spark: SparkSession, target: str, key: str, before: int | None = None) -> DataFrame:
+    rows = union_all([p.withColumn("batch", F.col("batch").cast("bigint")) for p in update_parts(spark, target, before)])
     return first_per_key(rows, [key], [F.desc("batch")]).drop("batch")
 
 
+def latest_counts(spark: SparkSession, target: str, key: str) -> DataFrame:
+    """The last written value of each key. What is read does not grow with the number of batches: one
+    snapshot and the batches since."""
+    return _last_values(spark, target, key)
+
+
 def clean_stream(
     stream: DataFrame,
     text: str,

@@ -240,6 +240,19 @@ def test_stream_counts_equal_batch(spark, tmp_path):
     assert got == {r["k"]: r["count"] for r in spark.read.parquet(source).groupBy("k").count().collect()}
 
 
+def test_stream_counts_read_one_snapshot_and_its_tail(spark, tmp_path):
+    """After ten batches with a snapshot each three, only batch 9 is read beside the one of batches 0 to 8."""
+    source, target = str(tmp_path / "in"), str(tmp_path / "counts")
+    for i in range(10):
+        spark.range(i * 7, i * 7 + 7).select((F.col("id") % (4 + i)).alias("k")).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema("k bigint").option("maxFilesPerTrigger", 1).parquet(source)
+    jobs.write_updates(jobs.running_counts(stream, "k"), target, str(tmp_path / "cp"), every=3).awaitTermination()
+    snapshot, tail = jobs.update_parts(spark, target)
+    assert {r["batch"] for r in snapshot.collect()} == {8} and {r["batch"] for r in tail.collect()} == {9}
+    got = {r["k"]: r["n"] for r in jobs.latest_counts(spark, target, "k").collect()}
+    assert got == {r["k"]: r["count"] for r in spark.read.parquet(source).groupBy("k").count().collect()}
+
+
 def test_broken_batch_lines_fail(spark, tmp_path):
     for i, line in enumerate(('{"idx":', '{"label":"positif"}', "nonsense")):
         path = tmp_path / f"b{i}.jsonl"
