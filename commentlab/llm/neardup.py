@@ -28,7 +28,7 @@ from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from commentlab.operators.keyed import first_per_key
+from commentlab.operators.keyed import first_per_key, salted_join
 from commentlab.session import materialize
 
 from .common import packed, same, text_key, unpacked
@@ -42,6 +42,8 @@ RADIUS = 2
 PARTS, PART_BITS = 4, 16
 # Fingerprints in a tile, about; a comparison holds TILE * BLOCK numbers at a time.
 TILE, BLOCK = 2048, 256
+# Left tiles of a cell that meet its neighbours in one place, and places for the rows of a hot key.
+TOGETHER, SALTS = 8, 8
 # A part's count is kept in six bits with RADIUS added, so no sum of steps leaves its bits.
 COUNT_BITS = 6
 
@@ -135,9 +137,10 @@ def links(prints: DataFrame) -> DataFrame:
     near = materialize(tiles(prints), "tiles")
     left = near.select(F.col("cell").alias("from_cell"), F.col("tile").alias("from_tile"), F.col("prints").alias("a"))
     left = left.withColumn("step", F.explode(F.lit(steps()[0]).cast("array<bigint>")))
-    left = left.withColumn("cell", F.col("from_cell") + F.col("step"))
-    right = near.withColumnRenamed("prints", "b")
-    met = left.join(right, "cell").filter("step <> 0 OR from_tile <= tile")
+    left = left.withColumns({"cell": F.col("from_cell") + F.col("step"), "run": F.expr(f"from_tile div {TOGETHER}")})
+    # A cell of many tiles is met in several places, by runs of the left tiles.
+    right = near.withColumnRenamed("prints", "b").join(left.select("cell", "run").distinct(), "cell")
+    met = left.join(right, ["cell", "run"]).filter("step <> 0 OR from_tile <= tile")
     pairs = met.select("a", "b", ((F.col("step") == 0) & (F.col("from_tile") == F.col("tile"))).alias("same_tile"))
     return pairs.mapInArrow(link_batches, "a long, b long")
 
@@ -152,14 +155,13 @@ def components(edges: DataFrame) -> DataFrame:
     both = materialize(both, "links")
     roots = materialize(both.groupBy(F.col("a").alias("print")).agg(F.least(F.min("b"), F.col("a")).alias("root")), "roots")
     while True:
-        ends = both.join(roots.withColumnsRenamed({"print": "b", "root": "near"}), "b").join(
-            roots.withColumnsRenamed({"print": "a", "root": "own"}), "a"
-        )
+        ends = salted_join(both, roots.withColumnsRenamed({"print": "b", "root": "near"}), "b", SALTS)
+        ends = salted_join(ends, roots.withColumnsRenamed({"print": "a", "root": "own"}), "a", SALTS)
         offers = ends.select(F.explode(F.array("a", "own")).alias("print"), "near").groupBy("print").agg(F.min("near").alias("near"))
         lower = roots.join(offers, "print", "left").select("print", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         lower = materialize(lower, "roots")
         above = lower.select(F.col("print").alias("root"), F.col("root").alias("next"))
-        moved = lower.join(above, "root").select("print", "old", F.col("next").alias("root"))
+        moved = salted_join(lower, above, "root", SALTS).select("print", "old", F.col("next").alias("root"))
         moved = materialize(moved, "roots")
         roots = moved.select("print", "root")
         if moved.filter("root <> old").isEmpty():
@@ -169,14 +171,14 @@ def components(edges: DataFrame) -> DataFrame:
 def rooted(prints: DataFrame) -> DataFrame:
     """``prints`` with the ``root`` of each fingerprint's component."""
     found = components(links(prints)).withColumnRenamed("root", "found")
-    return prints.join(found, "print", "left").withColumn("root", F.coalesce("found", "print")).drop("found")
+    return salted_join(prints, found, "print", SALTS).withColumn("root", F.coalesce("found", "print")).drop("found")
 
 
 def report(docs: DataFrame) -> DataFrame:
     """Per document row: ``doc_id, fingerprint`` (16 hex digits), ``component_id``."""
     rows = materialize(rooted(fingerprints(docs)), "rooted")
     least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(least, "root").select(
+    return salted_join(rows, least, "root", SALTS).select(
         "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
