@@ -8,8 +8,9 @@ rarest; alignments that survive are confirmed word by word on the whole text.
 ``proximity_matches`` asks instead that all terms stand close to an occurrence of the rarest.
 
 Defined cases: a null text has no words; a null or repeated id is an id like any other, rows
-alike in id and text share one result; test rows without an id or without words match nothing;
-repeated test rows count once; ids are compared as strings; empty tables give empty matches; other columns are ignored.
+alike in id and text share one result; test rows without words match nothing; test rows without an id
+match like others, count as one item together and are not named; repeated test rows count once; ids
+are compared as strings; empty tables give empty matches; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,8 +35,9 @@ def test_words(text: Column) -> Column:
 
 def phrases_of(benchmark: DataFrame, size: int = PHRASE) -> DataFrame:
     """Distinct test texts: ``item`` (a key), ``ids`` of its rows, ``words``, ``width`` of its phrases."""
-    rows = benchmark.select("item_id", "text").filter("item_id IS NOT NULL").distinct()
-    texts = rows.groupBy("text").agg(F.array_sort(F.collect_list(F.col("item_id").cast("string"))).alias("ids"))
+    rows = benchmark.select(F.col("item_id").cast("string").alias("id"), "text").distinct()
+    # Inside structs, nulls are collected too.
+    texts = rows.groupBy("text").agg(F.array_sort(F.collect_list(F.struct("id"))).alias("rows")).select("text", F.col("rows.id").alias("ids"))
     items = texts.select(F.xxhash64("text").alias("item"), "ids", test_words(whole("text")).alias("words"))
     return items.filter(F.size("words") > 0).withColumn("width", F.least(F.size("words"), F.lit(size)))
 

@@ -20,11 +20,11 @@ def op1(docs, items, size=10):
     windows = {}
     for item, text in items:
         w = TEST_WORD.findall(lower(text))
-        if item is None or not w:
+        if not w:
             continue
         n = min(size, len(w))
         for i in range(len(w) - n + 1):
-            windows.setdefault(tuple(w[i : i + n]), set()).add(str(item))
+            windows.setdefault(tuple(w[i : i + n]), set()).add(item if item is None else str(item))
     widths = {len(w) for w in windows}
     out = []
     for doc, text in docs:
@@ -35,7 +35,7 @@ def op1(docs, items, size=10):
                 if (ids := windows.get(tuple(w[i : i + n]))) is not None:
                     hit |= set(range(i, i + n))
                     found |= ids
-        out.append((doc, len(w), len(hit), len(found), sha(",".join(sorted(found))), bool(hit)))
+        out.append((doc, len(w), len(hit), len(found), sha(",".join(sorted(found - {None}))), bool(hit)))
     return out
 
 
