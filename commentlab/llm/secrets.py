@@ -1,8 +1,9 @@
 """Secret scans: rules for known shapes, and Markov models of characters for the rest.
 
 Two first-order Markov models, of random strings and of ordinary identifiers, are trained from
-labelled samples. A long run of key characters is a secret if its mean log-likelihood ratio per
-step is above a threshold.
+labelled samples. A run of 12 or more key characters is a secret if its log-likelihood ratio says so,
+in all and in the mean per step; if it does not, each of its pieces between ``/``, ``=``, ``-`` and the like
+is judged on its own. No shape is asked for besides the length.
 
 Defined cases: a null text has no spans; ids may be null or repeated, each row is judged on its
 own; other columns are ignored; an empty table gives no rows. A model trained without samples
@@ -17,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, of_kind, span_text, spans, whole
+from .common import SPAN, let, of_kind, span_text, spans, whole
 
 # The shapes of the base rules.
 ASSIGN = (
@@ -27,10 +28,10 @@ ACCESS = r"AKIA[A-Z0-9]{14,}+"
 HEX = r"[0-9a-f]{16,}+"
 ASSIGN_VALUE = 12
 
-# A run that the models judge: key characters, with a letter and a digit among them.
-RUN = r"[A-Za-z0-9+/_=-]{20,}+"
-# Least mean log-likelihood ratio per step, in nats.
-THRESHOLD = 0.5
+# What the models judge: runs of key characters, and the pieces of a run.
+RUN, PIECE = r"[A-Za-z0-9+/_=-]{12,}+", r"[A-Za-z0-9]{12,}+"
+# Least log-likelihood ratio in nats, per step in the mean and in all: random strings are rare.
+THRESHOLD, EVIDENCE = 0.5, 10.0
 # Labelled documents used for training at most, those with the smallest id hash first.
 TRAINING_ROWS = 2000
 
@@ -45,7 +46,7 @@ class MarkovPair:
     ratios: tuple[float, ...]
 
     def score(self, token: Column) -> Column:
-        """Mean ratio per step; null for fewer than two characters."""
+        """Sum of the ratios of all steps; null for fewer than two characters."""
         table = F.split(F.lit(",".join(map(repr, self.ratios))), ",").cast("array<double>")
 
         def total(cells: Column) -> Column:
@@ -55,7 +56,7 @@ class MarkovPair:
                 lambda t: F.aggregate(
                     steps, F.lit(0.0), lambda acc, i: acc + t[cells[i - 1] * CELLS + cells[i]]
                 ),
-            ) / (F.size(cells) - 1)
+            )
 
         return F.when(F.length(token) > 1, let(cells_of(token), total))
 
@@ -101,6 +102,7 @@ def labelled_samples(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_RO
                     lambda i: F.array(
                         F.col("w")[i - 1],
                         F.array_join(F.slice("w", i, 3), "_"), F.lower(F.array_join(F.slice("w", i, 3), "-")),
+                        F.array_join(F.slice("w", i, 3), "/"), F.array_join(F.slice("w", i, 2), "="),
                         F.array_join(F.transform(F.slice("w", i, 3), F.initcap), ""),
                         F.concat(F.array_join(F.slice("w", i, 2), "_"), F.lit("_"), (i % 100).cast("string")),
                     ),
@@ -128,14 +130,31 @@ def find(docs: DataFrame, model: MarkovPair, threshold: float = THRESHOLD) -> Da
     (the models) of spans ``struct<kind, start, end>``."""
     text = whole("text")
     value = lambda s: F.length(F.regexp_extract(s["found"], ASSIGN, 1)) >= ASSIGN_VALUE
-    mixed = lambda s: s["found"].rlike("[0-9]") & s["found"].rlike("[A-Za-z]")
-    likely = lambda s: mixed(s) & (model.score(s["found"]) > threshold)
+
+    def likely(found: Column) -> Column:
+        return let(model.score(found), lambda x: (x > EVIDENCE) & (x > threshold * (F.length(found) - 1)))
+
+    def pieces(run: Column) -> Column:
+        inside = F.filter(spans(run["found"], PIECE, 0, 0), lambda p: likely(p["found"]))
+        return F.transform(
+            inside,
+            lambda p: F.struct(
+                (run["start"] + p["start"]).alias("start"), (run["start"] + p["end"]).alias("end"),
+                p["found"].alias("found"), p["before"].alias("before"), p["after"].alias("after"),
+            ),
+        )
+
+    def judged(run: Column) -> Column:
+        parted = run["found"].rlike("[^A-Za-z0-9]")
+        return F.when(likely(run["found"]), F.array(run)).when(parted, pieces(run)).otherwise(F.array().cast(SPAN))
+
+    random = F.flatten(F.transform(spans(text, RUN, 0, 0), judged))
     return docs.select(
         "doc_id",
         of_kind(F.filter(spans(text, ASSIGN), value), "assign").alias("assign"),
         of_kind(spans(text, ACCESS), "access").alias("access"),
         of_kind(spans(text, HEX), "hex").alias("hex"),
-        of_kind(F.filter(spans(text, RUN), likely), "random").alias("random"),
+        of_kind(random, "random").alias("random"),
     )
 
 

@@ -1,6 +1,7 @@
 """Operators that judge each text: equal to plain Python on the given tables and on odd rows."""
 
 import random
+import re
 
 import brute
 import pytest
@@ -45,9 +46,9 @@ def test_secrets_base(request, markov, table):
 def test_secret_model_tells_random_from_names(spark, markov):
     names = ["the_of_and_that_with", "getUserAccountForSession", "https-the-and-theand", "onthe-with-thing-and"]
     keys = ["wJalrXUtnFEMI7K3MDENG2bPxRfiCYEX", "9f86d081884c7d659a2feaa0c55ad015", "Zm9vYmFyMTIzNDU2Nzg5MHF3ZXJ0eQ"]
-    scores = [
-        spark.createDataFrame([(t,)], "t string").select(markov.score(common.F.col("t"))).first()[0] for t in names + keys
-    ]
+    rows = spark.createDataFrame([(t,) for t in names + keys], "t string").select("t", markov.score(common.F.col("t")).alias("x")).collect()
+    sums = {r["t"]: r["x"] for r in rows}
+    scores = [sums[t] / (len(t) - 1) for t in names + keys]
     assert max(scores[: len(names)]) < secrets.THRESHOLD < min(scores[len(names) :])
 
 
@@ -55,11 +56,48 @@ def test_secret_spans_keep_base_and_add(spark, markov):
     text = "see Zx9Qk3LmP0vT7rYw2BnC6dHs and token = abcdefgh1234 here"
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     spans = secrets.report(docs, markov).first()["spans"].split(",")
-    assert [s.split(":")[0] for s in spans] == ["random", "assign"]
+    # The value of the assignment is 12 characters that the ratio may take too; the base span stays.
+    assert [s.split(":")[0] for s in spans][:2] == ["random", "assign"]
     kind, start, end = spans[0].split(":")
     assert text[int(start) : int(end)] == "Zx9Qk3LmP0vT7rYw2BnC6dHs"
 
 
+@pytest.mark.parametrize("table", ["real_docs", "odd_docs", "pieced"])
+def test_random_spans_equal_plain_ratios(request, markov, table):
+    """The added spans, from the trained ratios, in plain Python."""
+    cell = lambda c: ord(c) - 32 if 0 <= ord(c) - 32 < 96 else 0
+
+    def likely(s):
+        total = sum(markov.ratios[cell(a) * 96 + cell(b)] for a, b in zip(s, s[1:]))
+        return total > secrets.EVIDENCE and total > secrets.THRESHOLD * (len(s) - 1)
+
+    def spans(text):
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{12,}", text or ""):
+            if likely(m[0]):
+                yield m.span()
+            elif re.search("[^A-Za-z0-9]", m[0]):
+                yield from ((m.start() + p.start(), m.start() + p.end()) for p in re.finditer("[A-Za-z0-9]{12,}", m[0]) if likely(p[0]))
+
+    docs = request.getfixturevalue(table)
+    got = ordered((r["doc_id"], ",".join(x for x in r["spans"].split(",") if x.startswith("random"))) for r in secrets.report(docs, markov).collect())
+    assert got == ordered((i, ",".join(f"random:{a}:{b}" for a, b in spans(t))) for i, t in pairs(docs))
+
+
+@pytest.mark.parametrize(
+    "secret, around",
+    [
+        ("kX9vQ2mZp7Lw4T", "{}"), ("QwRtZxPvKmLsJdHgFbNcXzVq", "{}"), ("Zx9Qk3LmP0vT7rYw2BnC6dHs", "docs/the/people/and/places/{}/with/the/other"),
+        ("Zx9Qk3LmP0vT7rYw2BnC6dHs", "session={}"), (None, "internationalisation"), (None, "the/people/and/the/places"), (None, "Aufmerksamkeit"),
+    ],
+)
+def test_ratio_decides_not_the_shape(spark, markov, secret, around):
+    """Short, letters only, beside path words: found; long ordinary words: not."""
+    text = f"see {around.format(secret)} there"
+    spans = secrets.report(spark.createDataFrame([(1, text)], "doc_id long, text string"), markov).first()["spans"]
+    found = [text[int(x.split(":")[1]) : int(x.split(":")[2])] for x in spans.split(",") if x]
+    assert found == ([] if secret is None else found[:1]) and (secret is None or secret in found[0])
+
+
 def test_secret_model_without_samples(spark):
     model = secrets.train(spark.createDataFrame([], "text string, random boolean"))
     assert set(model.ratios) == {0.0}
@@ -236,5 +274,5 @@ def test_running_sums(spark):
         assert got == [sum(x[: i + 1]) for i in range(n)]
 
 
-def test_all_ten_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in llm.QUERIES) == list(range(1, 11))
+def test_all_thirteen_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in llm.QUERIES) == list(range(1, 14))
