@@ -29,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame
@@ -50,7 +51,7 @@ PART = 1 << 23  # windows of a part, about
 HOT = 100_000  # words that may be sent to the workers
 LONGEST = 256  # bytes of such a word
 # Bytes of text scored or counted at a time, and windows or words held before they are handed on.
-TOGETHER, HELD = 1 << 22, 1 << 21
+TOGETHER, HELD = 1 << 19, 1 << 21
 FOLDS, OUT = 5, 1  # documents with this remainder are held out
 
 
@@ -76,11 +77,12 @@ def windows_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def some_texts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Parts of a batch of about ``TOGETHER`` bytes, with A-Z in lower case."""
-    texts = [(t or "").encode().lower() for t in batch.column("text").to_pylist()]
-    ends = np.cumsum([len(t) for t in texts]) // TOGETHER
-    for rows in np.split(np.arange(len(texts)), np.nonzero(np.diff(ends))[0] + 1):
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes) // TOGETHER
+    for rows in np.split(np.arange(batch.num_rows), np.nonzero(np.diff(ends))[0] + 1):
         if len(rows):
-            yield batch.slice(int(rows[0]), len(rows)), texts[rows[0] : rows[-1] + 1]
+            some = batch.slice(int(rows[0]), len(rows))
+            yield some, [(t or "").encode().lower() for t in some.column("text").to_pylist()]
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
