@@ -36,8 +36,10 @@ RULES = (
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 )
-# Longest word that a name is split into, in characters.
-WORD = 24
+# Longer words are looked up by so many first characters, and the rest is compared.
+HEAD = 24
+# Stretches up to this length stand in many names; their rows go to so many places.
+SHORT, SALTS = 3, 8
 # Each character of a stretch that is no known word costs so many nats beyond a word seen once.
 UNKNOWN = math.log(10)
 
@@ -72,19 +74,27 @@ def word_counts(pages: DataFrame) -> DataFrame:
     in_text = pages.select(F.explode(F.split(text, r"[^\p{L}]+", -1)).alias("word"))
     urls = parsed(pages)
     in_urls = urls.select(F.explode(names(F.col("host"), F.col("path"))).alias("word"))
-    found = in_text.unionByName(in_urls).filter(F.length("word").between(1, WORD))
+    found = in_text.unionByName(in_urls).filter("word <> ''")
     return found.groupBy("word").agg(F.count("*").alias("n"))
 
 
 def best_split(name: str, words: dict[tuple[int, int], int], total: int) -> list[str]:
     """The likeliest words, by (start, length) and count; ties prefer the word that starts first."""
     best, back = [0.0] + [-math.inf] * len(name), [0] * (len(name) + 1)
+    known: list[list[tuple[int, float]]] = [[] for _ in best]
+    for (start, length), n in words.items():
+        known[start + length].append((start, math.log(n / total)))
+    # The best unknown stretch so far: it grows by a character, or begins anew.
+    unknown, begun = -math.inf, 0
     for end in range(1, len(name) + 1):
-        for start in range(max(0, end - WORD), end):
-            n = words.get((start, end - start))
-            score = math.log(n / total) if n else -math.log(total) - UNKNOWN * (end - start)
-            if best[start] + score > best[end]:
-                best[end], back[end] = best[start] + score, start
+        if (anew := best[end - 1] - math.log(total)) > unknown:
+            unknown, begun = anew, end - 1
+        unknown -= UNKNOWN
+        best[end], back[end] = unknown, begun
+        for start, score in sorted(known[end]):
+            score += best[start]
+            if score > best[end] or (score == best[end] and start < back[end]):
+                best[end], back[end] = score, start
     out, end = [], len(name)
     while end:
         out.append(name[back[end] : end])
@@ -110,11 +120,19 @@ def segmented(found: DataFrame, counts: DataFrame) -> DataFrame:
     total = counts.agg(F.sum("n").alias("n")).first()["n"] or 1
     size = F.length("name")
     starts = found.select("name", F.explode(F.sequence(F.lit(0), size - 1)).alias("start"))
-    ends = starts.select(
-        "name", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(WORD), size - F.col("start")))).alias("length")
-    )
+    room = size - F.col("start")
+    ends = starts.select("name", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(HEAD), room))).alias("length"))
     stretches = ends.withColumn("word", F.substring("name", F.col("start") + 1, F.col("length")))
-    known = stretches.join(counts, "word").groupBy("name").agg(F.collect_list(F.struct("start", "length", "n")).alias("found"))
+    salted = stretches.withColumn("salt", F.when(F.col("length") <= SHORT, F.pmod(F.xxhash64("name"), F.lit(SALTS))).otherwise(0))
+    places = F.when(F.length("word") <= SHORT, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    words = counts.filter(F.length("word") <= HEAD).select("word", "n", F.explode(places.cast("array<bigint>")).alias("salt"))
+    short = salted.join(words, ["word", "salt"]).select("name", "start", "length", "n")
+    # A longer word is found by its head; then the name must go on as the word does.
+    heads = stretches.filter((F.col("length") == HEAD) & (room > HEAD)).select("name", "start", F.col("word").alias("head"))
+    longer = counts.filter(F.length("word") > HEAD).select(F.left("word", F.lit(HEAD)).alias("head"), "word", "n")
+    long = heads.join(longer, "head").withColumn("length", F.length("word"))
+    long = long.filter(F.expr("substring(name, start + 1, length)") == F.col("word")).select("name", "start", "length", "n")
+    known = short.unionByName(long).groupBy("name").agg(F.collect_list(F.struct("start", "length", "n")).alias("found"))
     empty = F.array().cast("array<struct<start:int,length:int,n:bigint>>")
     every = found.join(known, "name", "left").select("name", F.coalesce("found", empty).alias("found"))
     return every.mapInArrow(split_rows(total), "name string, words array<string>")
