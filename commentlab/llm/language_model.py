@@ -51,7 +51,7 @@ PART = 1 << 23  # windows of a part, about
 HOT = 100_000  # words that may be sent to the workers
 LONGEST = 256  # bytes of such a word
 # Bytes of text scored or counted at a time, and windows or words held before they are handed on.
-TOGETHER, HELD = 1 << 19, 1 << 21
+TOGETHER, HELD = 1 << 19, 1 << 19
 FOLDS, OUT = 5, 1  # documents with this remainder are held out
 
 
@@ -83,6 +83,8 @@ def some_texts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[byt
         if len(rows):
             some = batch.slice(int(rows[0]), len(rows))
             yield some, [(t or "").encode().lower() for t in some.column("text").to_pylist()]
+    # Workers stay for later stages; what they no longer use goes back.
+    pa.default_memory_pool().release_unused()
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +129,7 @@ def word_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in some_texts(batch):
             for out, text in zip(rows.column("held_out").to_pylist(), texts):
                 counts[out].update(text.split())
-            if len(counts[True]) + len(counts[False]) > HELD // 4:
+            if len(counts[True]) + len(counts[False]) > HELD // 2:
                 yield from row_batches()
     yield from row_batches()
 
@@ -292,7 +294,7 @@ def scored(model: Model, frequent: Broadcast, part: Part) -> Callable[[Iterable[
 
     def batches(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts_of = frequent.value
-        logs = {w: math.log10((n + 0.5) / (tokens + 0.5 * (kinds + 1))) for w, n in counts_of.items()}
+        below = tokens + 0.5 * (kinds + 1)
         for batch in parts:
             for rows, texts in some_texts(batch):
                 made: list[list] = [[], [], [], [], []]
@@ -300,11 +302,11 @@ def scored(model: Model, frequent: Broadcast, part: Part) -> Callable[[Iterable[
                     n_tokens, known, base, rest = 1, int(texts_learnt > 0), log10[1], {}
                     for word, n in Counter(text.split()).items():
                         n_tokens += n
-                        if (score := logs.get(word)) is None:
+                        if (seen := counts_of.get(word)) is None:
                             rest[word] = n
                         else:
-                            base += n * score
-                            known += n if counts_of[word] else 0
+                            base += n * math.log10((seen + 0.5) / below)
+                            known += n if seen else 0
                     for to, x in zip(made, (n_tokens, known, base, list(rest), list(rest.values()))):
                         to.append(x)
                 kept = [rows.column(c) for c in columns[:3]]
