@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as lb
 from ..functions import text as tx
-from ..operators import ranking, stats
+from ..operators import ranking, sketches, stats
 from ..operators.keyed import explode_rows, top_per_key, union_all
 from ..session import materialize, new_path
 from ..sources import writers
@@ -86,9 +86,9 @@ def class_distribution_with_absent(spark, sf):
     return stats.with_absent(counts, label_dim(spark), "label_id")
 
 
-def three_texts(spark, sf):
+def three_texts(spark, sf, *keep):
     return texts(spark, sf).select(
-        "text", tx.feature_text("text", DEMO_SLANG, DEMO_STOPWORDS).alias("feature"),
+        *keep, "text", tx.feature_text("text", DEMO_SLANG, DEMO_STOPWORDS).alias("feature"),
         tx.clean_minimal("text").alias("minimal"))
 
 
@@ -136,6 +136,54 @@ def vocabulary_size_approximate(spark, sf):
     return stats.vocabulary_size(feature_tokens(spark, sf), "token", approximate=True)
 
 
+def sketched(spark, df, part, first, numbers=(), items=()):
+    """The stored sketches of all parts. Those of ``first`` come before the rest, which reads only its own rows."""
+    target = new_path(spark, "sketches")
+    for rows in (df.filter(first), df.filter(~first)):
+        made = sketches.part_sketches(rows, part, numbers, items)
+        sketches.store_parts(made, part, target)
+    return sketches.stored_parts(spark, target, part, made.schema)
+
+
+QUANTILES = (0.25, 0.5, 0.75, 0.95)
+
+
+@query("sketched_lengths", "A4", """SELECT t.name, q.q, (SELECT count(*) FROM documents) AS n, TRUE AS "close"
+FROM (VALUES ('raw'), ('feature')) t(name), (VALUES (0.25::DOUBLE), (0.5), (0.75), (0.95)) q(q)""")
+def sketched_lengths(spark, sf):
+    """Quantiles of text lengths from sketches per language, held against the exact ranks of all rows:
+    at most 1 % off."""
+    lengths = materialize(three_texts(spark, sf, "lang").select(
+        "lang", tx.word_count("text").alias("raw"), tx.word_count("feature").alias("feature")), "lengths")
+    parts = sketched(spark, lengths, "lang", F.col("lang").eqNullSafe("en"), ["raw", "feature"])
+    figures = [F.struct(F.lit(name).alias("name"), F.lit(q).alias("q"), sketches.quantile(name, q).alias("estimate"))
+               for name in ("raw", "feature") for q in QUANTILES]
+    found = materialize(sketches.merged(parts).select("n", F.inline(F.array(*figures))), "quantiles")
+    each = F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).alias("words")) for c in ("raw", "feature")))
+    bounds = sketches.rank_bounds(lengths.select(F.inline(each)), "name", "words", found.drop("n"))
+    close = (F.col("below") <= F.col("q") + 0.01) & (F.col("upto") >= F.col("q") - 0.01)
+    return found.join(bounds, ["name", "q"]).select("name", "q", "n", close.alias("close"))
+
+
+@query("sketched_vocabulary", "A6", f"""WITH {TOKENS_SQL}, t AS (SELECT lang, token FROM tokens JOIN labelled USING (comment_id))
+SELECT coalesce(lang, 'all') AS part, count(*) AS n, count(DISTINCT token) AS vocab_size, TRUE AS "close"
+FROM t GROUP BY GROUPING SETS ((lang), ())""")
+def sketched_vocabulary(spark, sf):
+    """Vocabulary per language and of all, from one sketch per language, held against exact counts: at
+    most 5 % off."""
+    docs = labelled(spark, sf).select("lang", tx.feature_tokens("text", DEMO_SLANG, DEMO_STOPWORDS).alias("words"))
+    tokens = materialize(explode_rows(docs, ["lang"], "words", "token"), "tokens")
+    parts = sketched(spark, tokens, "lang", F.col("lang").eqNullSafe("en"), items=["token"])
+    both = union_all([
+        sketches.merged(parts, ["lang"]).select(F.col("lang").alias("part"), "n", sketches.distinct("token").alias("estimate")),
+        sketches.merged(parts).select(F.lit("all").alias("part"), "n", sketches.distinct("token").alias("estimate"))])
+    used = tokens.select("lang", "token").distinct()
+    exact = used.groupBy(F.col("lang").alias("part")).agg(F.count("*").alias("vocab_size"))
+    every = used.select("token").distinct().agg(F.count("*").alias("vocab_size")).select(F.lit("all").alias("part"), "vocab_size")
+    off = F.abs(F.col("estimate") - F.col("vocab_size"))
+    return both.join(union_all([exact, every]), "part").select("part", "n", "vocab_size", (off <= 0.05 * F.col("vocab_size")).alias("close"))
+
+
 @query("top_terms", "A7", f"""WITH {TOKENS_SQL}
 SELECT token, count(*) AS n FROM tokens GROUP BY 1 ORDER BY n DESC, token LIMIT 12""")
 def top_terms(spark, sf):
