@@ -14,8 +14,9 @@ from .text_queries import DEMO_SLANG, DEMO_STOPWORDS
 
 
 def table_stream(spark, sf, name):
+    """New files of a table, which is one file or a folder of files. A stream takes a single file only as a match of a pattern."""
     schema = table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 @query("stream_landing", "X1 X2 K8 I1", """SELECT conv_id || '-' || turn AS comment_id, 'v' || conv_id AS video_id, md5(text) AS text_md5

@@ -7,6 +7,7 @@ from pyspark.ml.pipeline import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
 from commentlab.operators import features, mart, models, stemming
+from commentlab.plans import ENTRIES
 from commentlab.sources import readers, writers
 from commentlab.streaming import jobs
 
@@ -293,3 +294,13 @@ def test_variants_beside_the_majority(spark):
     rows = {r["variant"]: r for r in models.variant_scores(df, "id", "y", variants, "base", k=2).collect()}
     assert set(rows) == {"base", "bias", "naive_bayes"}
     assert all(r["macro_f1"] > 0.9 and r["oof_macro_f1"] > 0.9 and r["accuracy"] > r["majority_accuracy"] for r in rows.values())
+
+
+@pytest.mark.parametrize("name", ["stream_cleaning", "stream_running_counts"])
+def test_streams_over_tables_of_many_files(spark, sf, tmp_path, name):
+    """A table that is a folder of files streams like one that is a file."""
+    for table in ("documents", "events"):
+        spark.read.parquet(f"{sf}/{table}.parquet").repartition(3).write.parquet(f"{tmp_path}/{table}.parquet")
+    rows = lambda folder: sorted(map(str, ENTRIES[name].run(spark, folder).collect()))
+    got = rows(str(tmp_path))
+    assert got and got == rows(sf)
