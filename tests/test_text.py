@@ -206,3 +206,23 @@ def test_white_space_at_the_ends(spark):
     assert run(spark, spaced, tx.strip("t")) == ["Positif", "neg", "Netral", None, "x y"]
     assert run(spark, ["\t\n", " ", "", None, " a"], tx.is_blank("t")) == [True, True, True, True, False]
     assert run(spark, ["3000000000", "7\n", "4.0", "1e3"], lb.safe_int("t")) == [3000000000, 7, 0, 0]
+
+
+def test_flags_search_only_texts_with_a_word(spark):
+    """Lists of plain words get a cheap test first; other patterns, and word ends, are as before."""
+    assert tx.plain_words(r"\broy\b|pria solo") == ["roy", "pria solo"] and tx.plain_words(r"\b(tidak|gak)\b") == ["tidak", "gak"]
+    assert tx.plain_words(r"a.c|b") == tx.plain_words(r"(a|b)c") == tx.plain_words(r"\ba\w|b") == tx.plain_words("a|") == []
+    patterns = {"ends": r"\broy\b|solo", "group": r"\b(gak|tak)\b", "dots": r"a.c|zz", "empty": "x|"}
+    texts = ["Roy", "royal", "SOLO", "gak", "gaky \u00e9gak", "tak.", "abc", "", None, "\u00e9roy roy\u0301"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = [F.lower(F.coalesce("t", F.lit(""))).rlike(f"(?U){p}").cast("int").alias(f"want_{n}") for n, p in patterns.items()]
+    for r in df.select("t", *plain, *[c.alias(n) for n, c in tx.domain_flags("t", patterns).items()]).collect():
+        assert [r[n] for n in patterns] == [r[f"want_{n}"] for n in patterns], r["t"]
+
+
+def test_repeated_steps_run_once(spark):
+    """Counting words and minimal cleaning name their cleaned text several times and compute it once."""
+    df = spark.createDataFrame([("a",)], "t string")
+    for column in (tx.word_count("t"), tx.clean_minimal("t")):
+        plan = df.select(column.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("coalesce(") == 1, plan
