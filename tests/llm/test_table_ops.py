@@ -324,6 +324,19 @@ def test_near_copies_of_one_large_group(spark, monkeypatch):
     assert sum(seen) < 40 * len(docs)
 
 
+def test_near_copies_without_lucky_leaders(spark, monkeypatch):
+    """Links that no round draws are found by the exact step: here leaders are the least texts, always."""
+    rnd = random.Random(9)
+    text = [f"w{rnd.randrange(10**6)}" for _ in range(200)]
+    docs = [(i, " ".join(w if (j // 10) % 12 != i % 12 else f"v{i}" for j, w in enumerate(text))) for i in range(24)]
+    docs += [(100 + i, t + " end") for i, t in docs]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    led = nearcopies.led_pairs
+    monkeypatch.setattr(nearcopies, "led_pairs", lambda members, least, *leaders: led(members, least, F.col("print")))
+    monkeypatch.setattr(nearcopies, "SMALL", 1)
+    assert rows_of(nearcopies.one_of_each(df), "doc_id") == ordered((min(g),) for g in similar_groups(docs))
+
+
 def test_near_copies_recall(spark, sf):
     """Of all pairs at 0.8 and more, at least nine in ten end in one component (all, as measured)."""
     docs = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/documents.parquet")
