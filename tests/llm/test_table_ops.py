@@ -1,5 +1,6 @@
 """Operators on whole tables: against plain Python, exact round trips and the limits they promise."""
 
+import gc
 import math
 import random
 import re
@@ -551,3 +552,11 @@ def test_pipeline_stages_take_odd_and_no_rows(spark, sf, odd_docs, no_docs):
             out = stage(spark, table, sf)
             assert out.columns[: len(table.columns)] == table.columns
             assert out.count() >= 0
+
+
+def test_tokens_are_found_without_the_collector(monkeypatch):
+    """No search for cycles among the many small objects of a batch; it is on again afterwards."""
+    chunks, seen, found = token_files.Chunks(WORD_BPE, "H"), [], token_files.Chunks.found
+    monkeypatch.setattr(token_files.Chunks, "found", lambda *a: seen.append(gc.isenabled()) or found(*a))
+    assert len(chunks.texts(["some words, and others", ""])) == 2
+    assert seen == [False] and gc.isenabled()
