@@ -18,6 +18,7 @@ with the phrase itself, which is unique; other columns are ignored; an empty tab
 from __future__ import annotations
 
 import sys
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -61,15 +62,6 @@ def lang_of_key() -> Column:
     return F.expr("substring(key, instr(key, '\t') + 1)")
 
 
-def n_words() -> Column:
-    return F.size(F.split(phrase_of_key(), " ", -1))
-
-
-def first_words(n: int) -> Column:
-    """The key of the first ``n`` words."""
-    return F.concat(F.substring_index(phrase_of_key(), " ", n), F.lit("\t"), lang_of_key())
-
-
 class Windows:
     """Counts of windows of numbered words, by language."""
 
@@ -119,16 +111,24 @@ class Windows:
         return self.merged > HELD or len(self.numbers) + TOGETHER >= 1 << self.bits
 
     def rows(self) -> Iterator[pa.RecordBatch]:
-        """All counts as rows ``key, f``, by window; the key is the phrase, a tab and the language."""
+        """All counts as rows ``place, key, f``, by window. The key is the words from the third on, a tab,
+        the first two, a tab and the language; windows with the same first two have one place."""
         self.merge()
         words = pa.array([None, *self.numbers], pa.string())
+        hashes = np.array([0, *(zlib.crc32(w.encode()) for w in self.numbers)], np.int64)
         for name, [(keys, sums)] in self.counts.items():
             for at in range(0, len(keys), 1 << 16):
                 some = keys[at : at + (1 << 16)]
                 codes = [(some >> (self.bits * (self.size - 1 - k))) & ((1 << self.bits) - 1) for k in range(self.size)]
-                texts = pc.binary_join_element_wise(*(words.take(pa.array(c)) for c in codes), " ", null_handling="skip")
-                keys_of = pc.binary_join_element_wise(texts, name, "\t")
-                yield pa.RecordBatch.from_arrays([keys_of, pa.array(sums[at : at + (1 << 16)])], ["key", "f"])
+                found = [words.take(pa.array(c)) for c in codes]
+                texts = pc.binary_join_element_wise(*found[:2], " ", null_handling="skip")
+                rest = found[2].fill_null("") if self.size > 2 else pa.array([""] * len(some))
+                if self.size > 3:
+                    rest = pc.binary_join_element_wise(rest, *found[3:], " ", null_handling="skip")
+                keys_of = pc.binary_join_element_wise(rest, texts, name, "\t")
+                place = (hashes[codes[0]] * 31 + hashes[codes[1]]) % PLACES
+                columns = [pa.array(place.astype(np.int32)), keys_of, pa.array(sums[at : at + (1 << 16)])]
+                yield pa.RecordBatch.from_arrays(columns, ["place", "key", "f"])
         self.clear()
 
 
@@ -152,16 +152,21 @@ def frequencies(docs: DataFrame, size: int = SIZE, least: int = LEAST) -> DataFr
     """``lang, size, phrase, f`` of phrases of up to ``size`` words that occur ``least`` times, and
     the number of all words as the phrase of no words; written."""
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").filter("text IS NOT NULL")
-    windows = texts.mapInArrow(counter(size), "key string, f long")
     # One narrow key packs well in the shuffle. All windows that begin alike go to one place.
-    place = F.pmod(F.xxhash64(first_words(min(2, size - 1))), F.lit(PLACES)).cast("int")
-    dealt = windows.select(place.alias("place"), "key", "f").repartition("place")
+    dealt = texts.mapInArrow(counter(size), "place int, key string, f long").repartition("place")
     counted, found = dealt.groupBy("place", "key").agg(F.sum("f").alias("f")), []
+    rest, pair = F.substring_index("key", "\t", 1), F.expr("substring(key, instr(key, '\t') + 1)")
     for k in range(size, 2, -1):
         # The test is on the count, so that it is not moved below the sum and the shuffle is shared.
-        often = F.when(n_words() == k, F.col("f")) >= least
-        found.append(counted.filter(often).select(lang_of_key().alias("lang"), F.lit(k).alias("size"), phrase_of_key().alias("phrase"), "f"))
-        counted = counted.groupBy("place", first_words(k - 1).alias("key")).agg(F.sum("f").alias("f"))
+        # Words are counted in the rows that are frequent, which are few.
+        often = F.when(F.col("f") >= least, (rest != "") & (F.size(F.split(rest, " ", -1)) == k - 2))
+        frequent = counted.filter(often).select(rest.alias("rest"), pair.alias("key"), "f")
+        phrase = F.concat_ws(" ", phrase_of_key(), "rest").alias("phrase")
+        found.append(frequent.select(lang_of_key().alias("lang"), F.lit(k).alias("size"), phrase, "f"))
+        if k > 3:
+            shorter = F.concat(F.substring_index(rest, " ", k - 3), F.lit("\t"), pair)
+            counted = counted.groupBy("place", shorter.alias("key")).agg(F.sum("f").alias("f"))
+    counted = counted.groupBy("place", pair.alias("key")).agg(F.sum("f").alias("f"))
     word = lambda k: F.get(F.split(phrase_of_key(), " ", -1), F.lit(k))
     pairs = counted.select(lang_of_key().alias("lang"), word(0).alias("w1"), F.when(F.col("f") >= least, word(1)).alias("w2"), "f")
     sums = docs.sparkSession.sql(

@@ -8,6 +8,7 @@ from collections import Counter
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import ordered, pairs, rows_of
 from pyspark.sql import functions as F
@@ -262,3 +263,15 @@ def test_held_out_texts_are_foreseen(real_docs):
     alone = sum(math.log10((learnt[b] + 1) / (total + 257)) for t in held for b in [*t, 256])
     scores = language_model.scores(docs, model).filter("held_out").agg(F.sum("score")).first()[0]
     assert alone < scores * 1.5 < 0
+
+
+def test_windows_come_in_parts():
+    """The first two words stand together at the end of the key, and have one place."""
+    windows = collocations.Windows(4)
+    windows.add(["en"], pa.array(["a b c d. e"]))
+    rows = [r for batch in windows.rows() for r in batch.to_pylist()]
+    want = {"c d\ta b\ten", "d\tb c\ten", "\tc d\ten", "\td\ten", "\te\ten"}
+    assert {(r["key"], r["f"]) for r in rows} == {(key, 1) for key in want}
+    windows.add(["en"], pa.array(["x. a b x"]))
+    places = {r["key"]: r["place"] for batch in windows.rows() for r in batch.to_pylist()}
+    assert places["x\ta b\ten"] == next(r["place"] for r in rows if r["key"] == "c d\ta b\ten")
