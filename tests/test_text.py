@@ -226,3 +226,17 @@ def test_repeated_steps_run_once(spark):
     for column in (tx.word_count("t"), tx.clean_minimal("t")):
         plan = df.select(column.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("coalesce(") == 1, plan
+
+
+def test_terms_are_counted_in_their_row(spark):
+    """Counts per document, also of rows that share a key, null or empty arrays; nothing is moved by key or term."""
+    from commentlab.operators.features import term_counts
+
+    rows = [(1, ["b", "a", "b"]), (2, []), (3, None), (4, ["a"]), (4, ["a", "c"]), (5, ["x"] * 9 + ["", "é"])]
+    df = spark.createDataFrame(rows, "id int, words array<string>")
+    got = sorted(map(tuple, term_counts(df, "id", "words").collect()))
+    assert got == [(1, "a", 1), (1, "b", 2), (4, "a", 2), (4, "c", 1), (5, "", 1), (5, "x", 9), (5, "é", 1)]
+    single = term_counts(df.filter("id <> 4"), "id", "words")
+    assert [f.dataType.simpleString() for f in single.schema.fields] == ["int", "string", "bigint"]
+    plan = single._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan
