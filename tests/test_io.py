@@ -304,3 +304,26 @@ def test_streams_over_tables_of_many_files(spark, sf, tmp_path, name):
     rows = lambda folder: sorted(map(str, ENTRIES[name].run(spark, folder).collect()))
     got = rows(str(tmp_path))
     assert got and got == rows(sf)
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    """What a table was made through goes when it is written, the session's setting stays, and ``discard`` deletes it."""
+    import os
+    import time
+
+    from commentlab import session
+
+    def shuffled():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().endswith(".data")}
+
+    before, setting = shuffled(), spark.conf.get(session.CLEANUP_KEY)
+    made = session.materialize(spark.range(1000).repartition(3, "id"), "made")
+    for _ in range(50):
+        if shuffled() <= before:
+            break
+        time.sleep(0.2)
+    assert shuffled() <= before and made.count() == 1000 and spark.conf.get(session.CLEANUP_KEY) == setting
+    folder = os.path.dirname(made.inputFiles()[0]).removeprefix("file://")
+    session.discard(spark, made)
+    assert not os.path.exists(folder)
